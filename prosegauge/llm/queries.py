@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing
+from . import decontam, langid, mixing
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = langid.train(langid.training_rows(docs))
+    return langid.predict(docs.select("doc_id", "text"), field).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -26,5 +32,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op10_mix": op10_mix}
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op10_mix": op10_mix}
 ORACLE_SQL = {"op3_decontaminate": decontam.ORACLE, "op10_mix": mixing.ORACLE}
