@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing
+from . import decontam, langid, mixing, secrets
 from .common import table
 
 
@@ -27,10 +27,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.coalesce("secret_spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
+    base = F.filter(spans, lambda x: x["kind"] != "markov")
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of_kind = lambda k: F.filter(spans, lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op10_mix": op10_mix}
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op8_secrets": op8_secrets, "op10_mix": op10_mix}
 ORACLE_SQL = {"op3_decontaminate": decontam.ORACLE, "op10_mix": mixing.ORACLE}
