@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .bytegrid import Words, mixed
 from .common import arrow_columns, checkpointed, fresh
 from .components import components
@@ -98,8 +99,9 @@ def signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     return arrow_columns(rows, "text", [("node", "binary"), ("n_words", "bigint"), ("keys", "array<bigint>")], compute, 1 << 20).drop("text")
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Which pairs of shingle sets reach the threshold; side: only pairs of different sides."""
+def linked(payloads: list[bytes], side: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which pairs of shingle sets (sorted hashes) reach the threshold; side: only pairs of different sides."""
+    sets = [np.frombuffer(x, np.uint64) for x in payloads]
     m = len(sets)
     size = np.array([len(x) for x in sets], np.float64)
     if m == 2:
@@ -127,40 +129,6 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, threshold: float) ->
     return ok
 
 
-def settle(ok: np.ndarray) -> np.ndarray:
-    """Smallest index reachable by links."""
-    label = np.arange(len(ok))
-    while True:
-        new = np.minimum(label, np.where(ok, label[None], len(ok)).min(axis=1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def verify(table: pa.Table, threshold: float) -> pa.Table:
-    """A task's components, or one pair of blocks: each node's links (in rows of the corpus) and a node of its group."""
-    node, comp, copies = (table.column(c).to_pylist() for c in ("node", "comp", "copies"))
-    block, bi, bj = (table.column(c).to_pylist() for c in ("block", "bi", "bj"))
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-    groups: dict = {}
-    for i, c in enumerate(comp):
-        groups.setdefault(c, []).append(i)
-    out_node, out_label, out_links = [], [], []
-    for at in groups.values():
-        at.sort(key=lambda i: node[i])
-        if len(at) > 1:
-            side = np.array([block[i] for i in at]) if bi[at[0]] != bj[at[0]] else None
-            ok = linked([sets[i] for i in at], side, threshold)
-            links = ok @ np.array([copies[i] for i in at], np.int64)
-            for i, label, n in zip(at, settle(ok), links, strict=True):
-                if n:
-                    out_node.append(node[i])
-                    out_label.append(node[at[label]])
-                    out_links.append(int(n))
-    return pa.table({"node": pa.array(out_node, pa.binary()), "label": pa.array(out_label, pa.binary()), "links": pa.array(out_links, pa.int64())})
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, target: float = TARGET) -> DataFrame:
     """Rows (doc_id, rid, node, class_id, n_links), one for each row of docs (doc_id, text)."""
     depth = prefix_depth(threshold, trees, longest, target)
@@ -170,30 +138,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, l
     shared = tries.groupBy("tree", "prefix").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("tree", "prefix", "first")
     pairs = tries.join(shared, ["tree", "prefix"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     comps = components(pairs).select("node", F.col("label").alias("comp"))
-    members = checkpointed(nodes.select("node", "rid", "copies", "n_words").join(comps, "node"))
-    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.col("n_words") * 8).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    total = members.agg(F.sum(F.col("n_words") * 8)).first()[0] or 0
-    shards = int(total // SHARD_BYTES) + 1
-    placed = members.join(sizes.select("comp", blocks.alias("blocks")), "comp")
+    members = checkpointed(nodes.select("node", "rid", "copies", (F.col("n_words") * 8).alias("weight")).join(comps, "node"))
+    placed, shards = blocks.place(members, BLOCK_NODES, BLOCK_BYTES, SHARD_BYTES)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), "text").join(placed, "rid")
 
     def shingled(column: pa.Array) -> list[pa.Array]:
         s = Shingles(column)
         return [pa.array(s.nodes(), pa.binary()), pa.array([np.unique(s.hash[i:j]).tobytes() for i, j in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())]
 
-    sets = arrow_columns(texts, "text", [("own", "binary"), ("shingles", "binary")], shingled, 2 << 20).where("own = node").drop("text", "own", "rid", "n_words")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    one = F.col("blocks") == 1
-    dealt = dealt.select(
-        "node", "comp", "copies", "shingles", "block",
-        F.when(one, F.pmod(F.xxhash64("comp"), F.lit(shards))).otherwise(F.lit(-1)).alias("shard"),
-        F.when(one, F.lit(b"")).otherwise(F.col("comp")).alias("big"),
-        F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-    )
-    dealt = dealt.dropDuplicates(["node", "shard", "big", "bi", "bj"]) if _repeated_ids(members, rows) else dealt
-    found = checkpointed(dealt.groupBy("shard", "big", "bi", "bj").applyInArrow(lambda t: verify(t, threshold), "node binary, label binary, links bigint"))
+    sets = arrow_columns(texts, "text", [("own", "binary"), ("payload", "binary")], shingled, 2 << 20).where("own = node")
+    found = checkpointed(blocks.compare(sets, shards, lambda payloads, side: linked(payloads, side, threshold)))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     told = nodes.select("node", "rid", "copies").join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -203,11 +157,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, l
     return out.select("doc_id", "rid", "node", F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _repeated_ids(members: DataFrame, rows: DataFrame) -> bool:
-    """Whether an id stands on several rows, so that a node's text could come twice."""
-    return bool(rows.join(members.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").head(1))
-
-
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each class: that of the smallest id; the columns of docs. Rows repeated whole stay once."""
     rid, n = fresh(docs, "neardup_rid"), fresh(docs, "neardup_rows")
