@@ -16,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -32,11 +38,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Rows dealt out evenly by no key: for inputs of fewer files than there are cores."""
-    return df.repartition(min_parts) if min_parts else df
-
-
 def text_slices(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most max_bytes of text each, or of a single longer row: whole texts in bounded memory."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, mixing, neardup, secrets, substrings, vectors
+from . import decontam, htmltext, langid, mixing, neardup, pii, secrets, substrings, vectors
 from .common import table
 
 
@@ -31,6 +31,16 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("pii_spans", lambda x: ~x["added"])
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of_kind = lambda k: F.filter(base, lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -58,5 +68,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op4_html_text": op4_html_text, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_embedding_neardup": op7_embedding_neardup, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_mix": op10_mix}
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op4_html_text": op4_html_text, "op5_personal_data": op5_personal_data, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_embedding_neardup": op7_embedding_neardup, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_mix": op10_mix}
 ORACLE_SQL = {"op3_decontaminate": decontam.ORACLE, "op10_mix": mixing.ORACLE}
