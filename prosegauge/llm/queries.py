@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, mixing, neardup, pii, secrets, substrings, vectors
+from . import decontam, htmltext, langid, licences, mixing, neardup, pii, secrets, substrings, vectors
 from .common import table
 
 
@@ -15,6 +15,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), field).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.train(docs))
+    known = F.filter("licences", lambda x: x["family"] != "unknown")
+    families = F.array_sort(F.array_distinct(F.transform(known, lambda x: x["family"])))
+    spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["family"], x["start"], x["end"])), ",")
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("licences").cast("long").alias("n_licence"),
+        (F.size("licences") - F.size(known)).cast("long").alias("n_unknown"),
+        F.array_join(families, ",").alias("families"),
+        F.coalesce(F.array_max(F.transform("licences", lambda x: x["score"])), F.lit(0.0)).alias("score"),
+        spans.alias("spans"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -68,5 +85,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op4_html_text": op4_html_text, "op5_personal_data": op5_personal_data, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_embedding_neardup": op7_embedding_neardup, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_mix": op10_mix}
+QUERIES = {"op1_language_id": op1_language_id, "op2_licences": op2_licences, "op3_decontaminate": op3_decontaminate, "op4_html_text": op4_html_text, "op5_personal_data": op5_personal_data, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_embedding_neardup": op7_embedding_neardup, "op8_secrets": op8_secrets, "op9_substring_dedup": op9_substring_dedup, "op10_mix": op10_mix}
 ORACLE_SQL = {"op3_decontaminate": decontam.ORACLE, "op10_mix": mixing.ORACLE}
