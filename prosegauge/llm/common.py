@@ -74,5 +74,13 @@ def arrow_columns(
     return df.mapInArrow(run, schema)
 
 
+def drawn(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """About size rows, and never more than three times as many, by a hash of the key: a filter, so that no task or driver
+    gathers more than it keeps. Needs the count of rows."""
+    total = rows.count()
+    share = F.lit(min(1.0, size / total) if total else 1.0)
+    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("drawn")), F.lit(1 << 30)) < share * (1 << 30)).limit(3 * size)
+
+
 def crc32_of_id(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, fresh
+from .common import arrow_columns, drawn, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample, the least probability of an added span, hash cells of the unary features.
@@ -279,9 +279,9 @@ def labelled(text: str, base: list[tuple[int, int, int]], put: dict[int, int]) -
 
 
 def train(docs: DataFrame) -> Field | None:
-    """Fit on a bounded, hash-drawn sample of docs (text)."""
-    drawn = docs.select("text").where((F.length("text") <= LONGEST_DRAWN) & F.col("text").rlike("@|[0-9]{3}"))
-    texts = sorted(r.text for r in drawn.orderBy(F.xxhash64("text")).limit(SAMPLE).collect())
+    """Fit on a bounded, hash-drawn sample of docs (doc_id, text)."""
+    rows = docs.select("doc_id", "text").where((F.length("text") <= LONGEST_DRAWN) & F.col("text").rlike("@|[0-9]{3}"))
+    texts = sorted(r.text for r in drawn(rows, SAMPLE).collect())
     examples = [x for i, t in enumerate(texts) for x in examples_of(t, i) if x[0].nodes]
     return fit(examples) if examples else None
 
