@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrid import Words, mixed
-from .common import arrow_columns
+from .common import arrow_columns, drawn
 
 # Customary notices of well-known licences.
 TEMPLATES = {
@@ -188,9 +188,8 @@ def pairs_of(words: list[bytes]) -> set[tuple]:
 
 
 def train(docs: DataFrame) -> Classifier:
-    """Fit with ordinary paragraphs of a bounded, hash-drawn sample of docs (text)."""
-    drawn = docs.select("text").where((F.length("text") <= LONGEST_DRAWN) & (F.length("text") > 0))
-    texts = [r.text for r in drawn.orderBy(F.xxhash64("text")).limit(SAMPLE).collect()]
+    """Fit with ordinary paragraphs of a bounded, hash-drawn sample of docs (doc_id, text)."""
+    texts = [r.text for r in drawn(docs.select("doc_id", "text"), SAMPLE).where(F.length("text") <= LONGEST_DRAWN).collect()]
     lines = sorted({line for t in texts for line in t.split("\n") if line.strip()})
     # notices that stand in the sample are not ordinary
     cues = ("licen", "rights reserved", "copyright", "creative commons", "public domain", "redistribut", "permission is hereby")
