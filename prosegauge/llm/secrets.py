@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import drawn, fresh
 
 # Fixed patterns: kind, matcher, least code points of the whole match, least of group 2.
 KINDS = [
@@ -32,6 +32,8 @@ HINTS = [r"(?i)password|passwd|secret|token|api_?key", r"AKIA[A-Z0-9]{14}", r"[0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bounds of the labelled samples: texts drawn for ordinary words (of at most so many code points), random strings made.
 DRAWN_TEXTS, LONGEST_DRAWN, RANDOM_STRINGS = 300, 20_000, 1500
+#: Pseudo-counts of a character's own frequency in its transitions.
+BACK_OFF = 5.0
 #: Least mean log-likelihood ratio of a pair of characters, in nats.
 LEAST_RATIO = 0.6
 
@@ -46,10 +48,8 @@ def markov_ratios(texts: DataFrame) -> DataFrame:
     """Rows (pair, ratio) for all pairs of the alphabet: log of transition probability in random strings over that in words."""
     spark = texts.sparkSession
     ordinary = (
-        texts.where(F.length("text") <= LONGEST_DRAWN)
-        .select("text")
-        .orderBy(F.xxhash64("text"))
-        .limit(DRAWN_TEXTS)
+        drawn(texts.select("doc_id", "text"), DRAWN_TEXTS)
+        .where(F.length("text") <= LONGEST_DRAWN)
         .select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("token"))
         .where(~F.col("token").rlike(rf"^(?=.*[0-9])(?=.*[A-Za-z]){TOKEN}$|^[0-9a-f]{{16,}}$"))
     )
@@ -58,8 +58,14 @@ def markov_ratios(texts: DataFrame) -> DataFrame:
     chars = spark.range(1).select(F.explode(F.array(*map(F.lit, ALPHABET))).alias("a"))
     every = chars.select("a", F.explode(F.array(*map(F.lit, ALPHABET))).alias("b")).select(F.concat("a", "b").alias("pair"))
     both = every.join(bigram_counts(random, "n_random"), "pair", "left").join(bigram_counts(ordinary, "n_ordinary"), "pair", "left").fillna(0)
-    of = Window.partitionBy(F.substring("pair", 1, 1))
-    chance = lambda c: (F.col(c) + F.lit(0.5)) / (F.sum(c).over(of) + F.lit(0.5 * len(ALPHABET)))
+    first, second = Window.partitionBy(F.substring("pair", 1, 1)), Window.partitionBy(F.substring("pair", 2, 1))
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # of the alphabet's pairs, a fixed number
+
+    def chance(c: str):
+        """Of the second character after the first, backed off to its frequency anywhere, and that to an even one."""
+        alone = (F.sum(c).over(second) + F.lit(0.5)) / (F.sum(c).over(whole) + F.lit(0.5 * len(ALPHABET)))
+        return (F.col(c) + BACK_OFF * alone) / (F.sum(c).over(first) + BACK_OFF)
+
     return both.select("pair", F.log(chance("n_random") / chance("n_ordinary")).alias("ratio"))
 
 
@@ -106,6 +112,6 @@ def scan(docs: DataFrame) -> DataFrame:
     for hint in HINTS:
         any_hint = any_hint | F.col("text").rlike(hint)
     texts = keyed.where(any_hint).groupBy(F.col(key).alias("text_key")).agg(F.min("text").alias("text"))
-    spans = spans_of(texts, docs.where("text is not null"))
+    spans = spans_of(texts, docs.select("doc_id", "text"))
     found = spans.groupBy(F.col("text_key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("secret_spans"))
     return keyed.join(found, key, "left").drop(key)
