@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import WORDS, count_of, java, moments, round4, sentences_drop, variation
+from ..functions.columns import WORDS, count_of, java, moments, prefix_tree, round4, sentence_sizes, variation
 
 DASH, SPACED_HYPHEN = "—", r"(?<!\p{Nd}) - (?!\p{Nd})"
-PATTERNS = {name: java(p) for name, p in fixed.CATEGORIES.items()}
+PATTERNS = {name: java(p) for name, p in fixed.CATEGORIES.items()} | {"ai_vocab": java(rf"\b({prefix_tree(fixed.VOCABULARY)})\b")}
 
 
 def rule_of_three(lengths: Column) -> Column:
@@ -21,7 +21,7 @@ def rule_of_three(lengths: Column) -> Column:
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with words, one n_<category> column each, tells, tells_per_100w, by_category, burstiness_cv and low_burstiness."""
     t = F.coalesce(F.col(text), F.lit(""))
-    sizes = F.transform(sentences_drop(t), lambda s: F.regexp_count(s, F.lit(WORDS)))
+    sizes = sentence_sizes(t, WORDS)
     semicolons = count_of(t, ";")
     columns = {"n_em_dash": count_of(t, DASH) + count_of(t, SPACED_HYPHEN)}
     columns |= {f"n_{name}": count_of(t, p) for name, p in PATTERNS.items()}

@@ -161,27 +161,27 @@ def _t(text: str) -> str:
 @query("first_long_answer", f"""WITH a AS (SELECT conv_id, list_filter(list(text ORDER BY turn), lambda t: {_n('t')} > 30) AS l FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
 SELECT conv_id, md5({_t('l[1]')}) AS digest FROM a WHERE len(l) > 0""")
 def first_long_answer(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
+    c = tables.read(spark, sf_dir, "conversations").where("role = 'assistant'")
     rows = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("answers"))
     return tables.first_long_answers(rows, "answers", "conv_id").select("conv_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("machine_generations", f"SELECT doc_id, md5({_t('text')}) AS digest FROM documents WHERE lang <> 'en' AND {_n('text')} > 30")
 def machine_generations(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read(spark, sf_dir, "documents")
     rows = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("generation"), "text", F.when(F.col("lang") == "en", "human").otherwise(F.col("lang")).alias("model"))
     return tables.generations(rows, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("machine_labelled", f"SELECT doc_id, md5({_t('text')}) AS digest FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND {_n('text')} > 30")
 def machine_labelled(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    d = tables.read(spark, sf_dir, "documents").join(tables.read(spark, sf_dir, "labels"), "doc_id")
     return tables.machine_labelled(d.select("doc_id", "text", F.col("quality").alias("label")), "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("loader_fallback", f"SELECT i AS id, md5(text) AS digest FROM range(0, 5) r(i) JOIN (VALUES {_LITERAL}) t(k, text) ON i = k")
 def loader_fallback(spark, sf_dir):
-    none = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 0").select("text")
+    none = tables.read(spark, sf_dir, "documents").where("doc_id < 0").select("text")
     got = tables.or_passages(none, spark, 5)
     order = spark.createDataFrame([(i, t) for i, t in enumerate(tables.PASSAGES)], "id long, text string")
     return got.join(order, "text").select("id", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -189,7 +189,7 @@ def loader_fallback(spark, sf_dir):
 
 @query("labelled_scores", f"""SELECT doc_id, floor(greatest(0, least(1, (doc_id % 150) / 100::DOUBLE)) * 10000 + 0.5::DOUBLE)::BIGINT AS label_e4 FROM documents WHERE doc_id % 10 <> 3 AND {_n('text')} >= 5""")
 def labelled_scores(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = tables.read(spark, sf_dir, "documents")
     score = F.when(F.col("doc_id") % 10 == 3, F.lit("n/a")).otherwise((F.col("doc_id") % 150 / 100.0).cast("string"))
     rows = tables.labelled(d.select(F.concat(F.col("doc_id").cast("string"), F.lit("|"), "text").alias("text"), score.alias("score")))
     return rows.select(F.substring_index("text", "|", 1).cast("long").alias("doc_id"), e4(F.col("label")).alias("label_e4"))
@@ -198,7 +198,7 @@ def labelled_scores(spark, sf_dir):
 @query("balanced_sample", """WITH x AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels), k AS (SELECT least(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0), 50) AS k FROM labels)
 SELECT doc_id, quality::DOUBLE AS label FROM x, k WHERE r <= k""")
 def balanced_sample(spark, sf_dir):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("label"))
+    labels = tables.read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     return tables.balanced(labels, "doc_id", 100)  # the size of the sample is the operator's argument
 
 
@@ -236,7 +236,7 @@ def markdown_report(spark, sf_dir):
 @query("text_files", "SELECT 3::BIGINT AS n_files, sum(len(text))::BIGINT AS n_chars FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 3)")
 def text_files(spark, sf_dir):
     path = _folder(spark)
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(3).select("text")
+    items = tables.read(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).select("text")
     items.write.option("maxRecordsPerFile", 1).text(path)  # one file each, with a line end after the text
     read = tables.text_files(spark, path).where("text != ''")
     return read.agg(F.count("*").alias("n_files"), F.sum(F.length("text") - 1).alias("n_chars"))
@@ -270,7 +270,7 @@ def marker_stream(spark, sf_dir):
 @query("stream_equals_batch")
 def stream_equals_batch(spark, sf_dir):
     live = _drain(scores.scored(_stream(spark, sf_dir)).select("doc_id", e4(F.col("score")).alias("live")), spark)
-    batch = scoring.lite_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", e4(F.col("score")).alias("batch"))
+    batch = scoring.lite_scores(tables.read(spark, sf_dir, "documents")).select("doc_id", e4(F.col("score")).alias("batch"))
     return batch.join(live, "doc_id", "full").select("doc_id", F.coalesce(F.col("live") == F.col("batch"), F.lit(False)).alias("same"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.columns import WORDS, clamp01, e4, mean_e4
 from ..operators import reports, rewriting, scoring, similarity
+from ..sources import tables
 from .seeds import SEEDED, quoted, seeded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -39,7 +40,7 @@ PHASED = f"{READINGS}, {_readings_sql('r2', 61)}, phased AS (SELECT 'after' AS p
 def readings(spark: SparkSession, sf_dir: str, factor: int = 37) -> DataFrame:
     """(doc_id, k, detector, tier, score, error): five scorers a document, some out, some failed, some documents without any."""
     table = spark.createDataFrame([(k, d, t) for k, (d, t) in enumerate(SCORERS)], "k int, detector string, tier string")
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").join(F.broadcast(table), how="cross")
+    df = tables.read(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(table), how="cross")
     n = F.col("doc_id") + F.col("k")
     live = (n % 7 != 0) & (n % 11 != 0) & (F.col("doc_id") % 50 != 0)
     score = F.when(live, (F.col("doc_id") * factor + F.col("k") * 1013) % 10001 / 10000.0)
@@ -132,7 +133,7 @@ STORED = f"""stored AS (SELECT doc_id, s AS strategy, (doc_id * 41) % 10001 AS p
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame([("noop", 0), ("single_pass", 1), ("full_loop", 3)], "strategy string, g int")
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").join(F.broadcast(table), how="cross")
+    df = tables.read(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(table), how="cross")
     post = F.floor(F.col("doc_id") * 41 * (7 - F.col("g")) / 7).cast("long") % 10001
     return df.select("doc_id", "strategy", (F.col("doc_id") * 41 % 10001 / 10000.0).alias("pre_max"), (post / 10000.0).alias("post_max"), ((10000 - F.col("doc_id") * 13 * F.col("g") % 4000) / 10000.0).alias("similarity"), F.col("g").alias("iterations"))
 
@@ -199,7 +200,7 @@ def best_of_n(spark, sf_dir):
 
 @query("first_n", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 25")
 def first_n(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").orderBy("doc_id").limit(25)
+    return tables.read(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(25)
 
 
 # --- pairs -------------------------------------------------------------------------------------------------------------
@@ -213,13 +214,13 @@ dice AS (SELECT conv_id, turn, coalesce(common, 0) AS common, coalesce(total, 0)
 
 
 def turn_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.turn_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("key", F.struct("conv_id", "turn"))
+    pairs = similarity.turn_pairs(tables.read(spark, sf_dir, "conversations")).withColumn("key", F.struct("conv_id", "turn"))
     return similarity.dice(pairs, "key", "source", "rewrite").select("key.*", "common", "total", "similarity")
 
 
 @query("turn_pairs", "SELECT conv_id, turn, md5(a) AS source, md5(b) AS rewrite FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations) WHERE a IS NOT NULL")
 def turn_pairs(spark, sf_dir):
-    pairs = similarity.turn_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    pairs = similarity.turn_pairs(tables.read(spark, sf_dir, "conversations"))
     return pairs.select("conv_id", "turn", F.md5(F.col("source").cast("binary")).alias("source"), F.md5(F.col("rewrite").cast("binary")).alias("rewrite"))
 
 
@@ -239,7 +240,7 @@ _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DO
 
 @query("cosine_pairs", f"SELECT a.vec_id, floor(greatest(0, least(1, {_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}))) * 10000 + 0.5::DOUBLE)::BIGINT AS cosine_e4 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = tables.read(spark, sf_dir, "embeddings")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return e.join(after, "vec_id").select("vec_id", e4(similarity.cosine(F.col("embedding"), F.col("other"))).alias("cosine_e4"))
 
@@ -259,7 +260,7 @@ def bar_confidence(spark, sf_dir):
 
 @query("prompt_lookup", "SELECT doc_id, coalesce(source, lang) AS source FROM (SELECT doc_id, lang FROM documents) d LEFT JOIN (VALUES ('en', 'English'), ('de', 'Deutsch')) t(lang, source) USING (lang)")
 def prompt_lookup(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "lang")
     return similarity.lookup(docs, spark.createDataFrame([("en", "English"), ("de", "Deutsch")], "lang string, source string"), "lang", "source").select("doc_id", "source")
 
 
@@ -271,7 +272,7 @@ fluent AS (SELECT doc_id, len(w)::BIGINT AS words, greatest(len(w) - 1, 0)::BIGI
 
 
 def fluent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = seeded(tables.read(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", reports.fluency_counts(F.col("text")).alias("f"))
 
 
@@ -335,7 +336,7 @@ def web_percentages(spark, sf_dir):
 
 @query("scan_ids", f"WITH {SEEDED} SELECT doc_id, 'hz' || substr(sha1(text), 1, 20) AS scan_id FROM seeded")
 def scan_ids(spark, sf_dir):
-    return seeded(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", scoring.scan_id(F.col("text")).alias("scan_id"))
+    return seeded(tables.read(spark, sf_dir, "documents")).select("doc_id", scoring.scan_id(F.col("text")).alias("scan_id"))
 
 
 @query(
@@ -345,14 +346,14 @@ SELECT doc_id, floor(greatest(0, least(1, 0.7::DOUBLE * greatest(0, least(1, (60
 )
 def perplexity_score(spark, sf_dir):
     p = F.array((F.col("doc_id") * 7 % 90).cast("double"), (F.col("doc_id") * 11 % 70).cast("double"), F.lit(40.0))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", e4(scoring.perplexity_score(p)).alias("e4"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", e4(scoring.perplexity_score(p)).alias("e4"))
 
 
 @query("logistic_scores", """SELECT doc_id, floor(1 / (1 + exp(-(z - 1.0::DOUBLE) * 1.2::DOUBLE)) * 10000 + 0.5::DOUBLE)::BIGINT AS curvature_e4, floor(1 / (1 + exp((z - 0.9::DOUBLE) / 0.08::DOUBLE)) * 10000 + 0.5::DOUBLE)::BIGINT AS ratio_e4,
 floor(1 / (1 + exp(-z)) * 10000 + 0.5::DOUBLE)::BIGINT AS logit_e4 FROM (SELECT doc_id, (doc_id % 401 - 200) / 100::DOUBLE AS z FROM documents)""")
 def logistic_scores(spark, sf_dir):
     z = (F.col("doc_id") % 401 - 200) / 100.0
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", z.alias("z"))
+    df = tables.read(spark, sf_dir, "documents").select("doc_id", z.alias("z"))
     z = F.col("z")
     return df.select("doc_id", e4(scoring.curvature_score(z)).alias("curvature_e4"), e4(scoring.ratio_score(z)).alias("ratio_e4"), e4(scoring.logit_score(z)).alias("logit_e4"))
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.columns import DROP_SPLIT, LITE_WORDS, SPACE, WORDS, e4, re2
 from ..operators import hidden, locks, markers, rewriting, scoring
+from ..sources import tables
 from .seeds import SEEDED, quoted, seeded
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return seeded(tables.read(spark, sf_dir, "documents"))
 
 
 QUERIES, ORACLE_SQL = {}, {}

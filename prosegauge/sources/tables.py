@@ -22,6 +22,20 @@ LABELLED = [(PASSAGES[0], 1.0), (PASSAGES[1], 1.0), (PASSAGES[2], 1.0)] + [
 ]
 
 
+#: Tables of fewer bytes than this are dealt out evenly: a file of one row group is otherwise one task.
+SMALL = 20 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores if its files are small; larger inputs come in many splits and are not moved."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 1 << 19 < size < SMALL else df
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def passages(spark: SparkSession, n: int) -> DataFrame:
     """The first n sample passages, over and over if n is larger: a range joined to the literal table."""
     table = spark.createDataFrame(list(enumerate(PASSAGES)), "k int, text string")
