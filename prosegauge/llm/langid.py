@@ -284,7 +284,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out())
 
 
-def reject(docs: DataFrame, field: Field | None, least: float = 0.4) -> DataFrame:
+def reject(docs: DataFrame, field: Field | None, least: float = 0.3) -> DataFrame:
     """docs without those in no language: no letter, or no language reaches the mean probability `least`."""
     names = [fresh(docs, f"langid_{n}") for n, _ in ADDED]
     return predict(docs, field, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*docs.columns)
