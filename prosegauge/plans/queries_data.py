@@ -13,7 +13,7 @@ from ..operators import markers, reports, rewriting, scoring
 from ..sources import tables
 from ..streaming import scores
 from .queries_reports import readings
-from .queries_text import LITE, documents, quoted
+from .queries_text import LITE, MARKED, documents, quoted
 from .seeds import SEEDED
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -267,13 +267,16 @@ def marker_stream(spark, sf_dir):
     return _drain(scores.marked(_stream(spark, sf_dir)).select("doc_id", "words", "tells"), spark).agg(F.count("*").alias("n_docs"))
 
 
-@query("stream_equals_batch")
+@query("stream_equals_batch", "SELECT doc_id, TRUE AS same FROM documents")
 def stream_equals_batch(spark, sf_dir):
     live = _drain(scores.scored(_stream(spark, sf_dir)).select("doc_id", e4(F.col("score")).alias("live")), spark)
     batch = scoring.lite_scores(tables.read(spark, sf_dir, "documents")).select("doc_id", e4(F.col("score")).alias("batch"))
     return batch.join(live, "doc_id", "full").select("doc_id", F.coalesce(F.col("live") == F.col("batch"), F.lit(False)).alias("same"))
 
 
-@query("marker_rates_of_samples")
+_SAMPLES = f"seeded AS (SELECT k AS doc_id, text, '' AS lang, '' AS source FROM (VALUES {_LITERAL}) t(k, text))"
+
+
+@query("marker_rates_of_samples", f"WITH {MARKED.replace(SEEDED, _SAMPLES)} SELECT doc_id AS id, words, tells, rate_e2 FROM rated")
 def marker_rates_of_samples(spark, sf_dir):
-    return markers.counts(tables.passages(spark, 5)).select("id", "words", "tells", "tells_per_100w")
+    return markers.counts(tables.passages(spark, 5)).select("id", F.col("words").cast("long").alias("words"), "tells", F.floor(F.col("tells_per_100w") * 100 + 0.5).cast("long").alias("rate_e2"))

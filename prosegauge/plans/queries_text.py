@@ -96,22 +96,22 @@ def sentence_split_drop(spark, sf_dir):
     return scoring.sentence_rows(documents(spark, sf_dir), keep=False).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("sentence").cast("binary")).alias("digest"))
 
 
-@query(
-    "sentence_flags",
-    f"""WITH {KEEP},
+FLAGS = f"""{KEEP},
 c AS (SELECT doc_id, pos, len(regexp_extract_all(sentence, {quoted(LITE_WORDS)})) AS w, len(list_filter(regexp_extract_all(sentence, {quoted(LITE_WORDS)}), lambda x: lower(x) IN ({_COMMON}))) AS k,
-             list_filter(list_transform(string_split_regex(sentence, '{DROP_SPLIT}'), lambda s: len(regexp_extract_all(s, {quoted(LITE_WORDS)}))), lambda n: n > 0) AS l FROM sentences),
-s AS (SELECT doc_id, pos, floor((0.6::DOUBLE * (CASE WHEN len(l) < 2 THEN 0.5::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, (0.55::DOUBLE - sqrt((len(l) * list_sum(list_transform(l, lambda x: x * x)) - list_sum(l) * list_sum(l))::DOUBLE) / list_sum(l)) / 0.55::DOUBLE)) END)
-        + 0.4::DOUBLE * greatest(0::DOUBLE, least(1::DOUBLE, ((CASE WHEN w > 0 THEN k / w::DOUBLE ELSE 0 END) - 0.30::DOUBLE) / 0.30::DOUBLE))) * 10000 + 0.5::DOUBLE)::BIGINT AS score_e4 FROM c)
-SELECT doc_id, pos, score_e4, row_number() OVER (PARTITION BY doc_id ORDER BY score_e4 DESC, pos) <= greatest(1, (count(*) OVER (PARTITION BY doc_id) + 2) // 3) AND score_e4 >= 3000 AS flagged FROM s""",
-)
+             list_filter(list_transform(string_split_regex(sentence, '{DROP_SPLIT}'), lambda s: len(regexp_extract_all(s, {quoted(LITE_WORDS)}))), lambda n: n > 0) AS l, sentence FROM sentences),
+s AS (SELECT doc_id, pos, sentence, floor((0.6::DOUBLE * (CASE WHEN len(l) < 2 THEN 0.5::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, (0.55::DOUBLE - sqrt((len(l) * list_sum(list_transform(l, lambda x: x * x)) - list_sum(l) * list_sum(l))::DOUBLE) / list_sum(l)) / 0.55::DOUBLE)) END)
+        + 0.4::DOUBLE * greatest(0::DOUBLE, least(1::DOUBLE, ((CASE WHEN w > 0 THEN k / w::DOUBLE ELSE 0 END) - 0.30::DOUBLE) / 0.30::DOUBLE))) * 10000 + 0.5::DOUBLE)::BIGINT AS score_e4 FROM c),
+flags AS (SELECT doc_id, pos, sentence, score_e4, row_number() OVER (PARTITION BY doc_id ORDER BY score_e4 DESC, pos) <= greatest(1, (count(*) OVER (PARTITION BY doc_id) + 2) // 3) AND score_e4 >= 3000 AS flagged FROM s)"""
+
+
+@query("sentence_flags", f"WITH {FLAGS} SELECT doc_id, pos, score_e4, flagged FROM flags")
 def sentence_flags(spark, sf_dir):
     return scoring.sentence_flags(documents(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), e4(F.col("score")).alias("score_e4"), "flagged")
 
 
-@query("flagged_sentences")
+@query("flagged_sentences", f"WITH {FLAGS} SELECT doc_id, count(*)::BIGINT AS n, string_agg(sentence, chr(10) ORDER BY pos) AS flagged FROM flags WHERE flagged GROUP BY doc_id")
 def flagged_sentences(spark, sf_dir):
-    return rewriting.flagged_sentences(documents(spark, sf_dir)).select("doc_id", F.size("flagged").alias("n"), F.array_join("flagged", "\n").alias("flagged"))
+    return rewriting.flagged_sentences(documents(spark, sf_dir)).select("doc_id", F.size("flagged").cast("long").alias("n"), F.array_join("flagged", "\n").alias("flagged"))
 
 
 # --- markers -----------------------------------------------------------------------------------------------------------
@@ -188,7 +188,12 @@ def marker_matches(spark, sf_dir):
     return rows.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 
-@query("marker_report")
+_LINES = ", ".join(f"{{'n': n_{c}, 'k': {k}, 'line': '  {c.ljust(22)} ' || n_{c}}}" for k, c in enumerate(fixed.EVERY_CATEGORY))
+
+
+@query("marker_report", f"""WITH {MARKED}, lines AS (SELECT doc_id, unnest([{_LINES}]) AS e FROM rated),
+joined AS (SELECT doc_id, string_agg(e.line, chr(10) ORDER BY e.n DESC, e.k) AS l FROM lines WHERE e.n > 0 GROUP BY doc_id)
+SELECT doc_id, 'markers: ' || tells || ' in ' || words || ' words' || chr(10) || coalesce(l, '') AS report FROM rated LEFT JOIN joined USING (doc_id)""")
 def marker_report(spark, sf_dir):
     return markers.rendered(marked(spark, sf_dir)).select("doc_id", "report")
 
@@ -246,7 +251,10 @@ def find_sentinels(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(locks.sentinels(F.col("text"))).cast("long").alias("n"))
 
 
-@query("missing_sentinels")
+_ANY = " OR ".join(f"regexp_matches(text, {quoted(re2(p, ''))})" for p in fixed.LOCKED.values())
+
+
+@query("missing_sentinels", f"WITH {SEEDED} SELECT doc_id, CASE WHEN {_ANY} THEN '⟦HZ0000⟧' ELSE '' END AS missing FROM seeded")
 def missing_sentinels(spark, sf_dir):
     df = locks.lock(documents(spark, sf_dir))
     lost = F.regexp_replace("masked", "⟦HZ0000⟧", "")
