@@ -11,8 +11,12 @@ windows with one anchor make a run (at most length - k + 1 windows); about one a
    that are equal over `length` are verified byte by byte. Each class of equal windows keeps its smallest id.
 4. Each bucket cuts the bytes out of its documents.
 
+A passage with ever new surroundings has an anchor with as many runs as documents at each of its ends. A bucket
+that finds more than HOT_RUNS runs at an anchor sends one hot mark for all, and everyone's runs at that anchor are then
+sent window by window to parts named by the window itself, so that they spread.
+
 Rows that travel are blobs of one bucket for one part, so the shuffle is about the size of the compressed text, and a
-hot passage costs each bucket one entry, whatever the number of copies. All four steps are one query: lost work is
+hot passage costs each bucket a bounded number of entries at any part. All four steps are one query: lost work is
 recomputed from the input.
 
 Defined results: null and empty texts have 0 bytes; documents of equal id do not remove from each other; a null id counts as larger
@@ -34,8 +38,10 @@ BUCKET_BYTES = 4 << 20
 #: Bytes worked on at once inside a bucket.
 BLOCK_BYTES = 1 << 20
 LARGEST = np.iinfo(np.int64).max
-#: Answers: alone or first; known from a smaller id; to be told apart by the windows.
-FREE, KNOWN, MIXED = 0, 1, 2
+#: Runs of one anchor in a bucket beyond which the anchor is hot, and the run hash that says so.
+HOT_RUNS, HOT_MARK = 16, np.uint64((1 << 40) - 1)
+#: Answers: alone or first; known from a smaller id; to be told apart by the windows, at the anchor's part or at each window's.
+FREE, KNOWN, MIXED, HOT = 0, 1, 2, 3
 
 
 def runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -106,7 +112,17 @@ class Bucket:
         self.lead = by[new]
         self.of = np.empty(len(by), np.int64)
         self.of[by] = np.cumsum(new) - 1
-        self.slices = np.searchsorted(self.part[self.lead], np.arange(parts + 1))
+        # hot anchors: only the first of their runs is sent
+        g, p = self.gram[self.lead], self.part[self.lead]
+        opens = np.flatnonzero(np.insert((g[1:] != g[:-1]) | (p[1:] != p[:-1]), 0, True)) if len(g) else np.zeros(0, np.int64)
+        count = np.diff(np.append(opens, len(g)))
+        self.hot = np.repeat(count > HOT_RUNS, count)
+        sent = ~self.hot
+        sent[opens] = True
+        self.sent = np.flatnonzero(sent)
+        #: Of each distinct run, its place among the sent ones.
+        self.via = np.cumsum(sent) - 1
+        self.slices = np.searchsorted(p[self.sent], np.arange(parts + 1))
         lead_id = self.ids[self.doc[self.lead]]
         #: A run of a larger id than its first is known from that.
         self.known = self.ids[self.doc] > lead_id[self.of] if len(by) else np.zeros(0, bool)
@@ -125,8 +141,8 @@ def unfive(b: bytes) -> np.ndarray:
 
 SEND = "part bigint, bucket bigint, gram binary, run binary, doc binary, ids binary"
 ANSWER = "bucket bigint, part bigint, code binary"
-BYTES = "part bigint, bucket bigint, code binary, entry binary, gram binary, lead binary, size binary, ids binary, bytes binary"
-WINDOWS = "bucket bigint, part bigint, code binary, entry binary, mask binary"
+BYTES = "part bigint, bucket bigint, code binary, entry binary, shift binary, gram binary, lead binary, size binary, ids binary, bytes binary"
+WINDOWS = "bucket bigint, part bigint, code binary, entry binary, shift binary, mask binary"
 
 
 def rows(schema: str, columns: list[list]) -> pa.Table:
@@ -138,10 +154,11 @@ def send(table: pa.Table, length: int, parts: int) -> pa.Table:
     b = Bucket(table, length, parts)
     bucket, out = table.column("bucket")[0].as_py(), [[] for _ in range(6)]
     for p in range(parts):
-        lead = b.lead[b.slices[p] : b.slices[p + 1]]
+        sent = b.sent[b.slices[p] : b.slices[p + 1]]
+        lead = b.lead[sent]
         if len(lead):
             docs, at = np.unique(b.doc[lead], return_inverse=True)
-            for c, x in zip(out, (p, bucket, five(b.gram[lead]), five(b.run[lead]), at.astype("<u4" if len(docs) > 65535 else "<u2").tobytes(), b.ids[docs].tobytes()), strict=True):
+            for c, x in zip(out, (p, bucket, five(b.gram[lead]), five(np.where(b.hot[sent], HOT_MARK, b.run[lead])), at.astype("<u4" if len(docs) > 65535 else "<u2").tobytes(), b.ids[docs].tobytes()), strict=True):
                 c.append(x)
     return rows(SEND, out)
 
@@ -170,7 +187,9 @@ def answer(table: pa.Table) -> pa.Table:
         n_runs = np.add.reduceat(new_r.astype(np.int64), at_g)
         several = (np.minimum.reduceat(d, at_g) < np.maximum.reduceat(d, at_g)) & (n_runs > 1)
         first = d[np.flatnonzero(new_r)][in_r]
-        code[by] = np.where(d > first, KNOWN, np.where(new_r & several[in_g], MIXED, FREE))
+        hot = np.bitwise_or.reduceat(r == HOT_MARK, at_g)[in_g]
+        code[by] = np.where(hot, HOT, np.where(d > first, KNOWN, np.where(new_r & several[in_g], MIXED, FREE)))
+    code[run == HOT_MARK] = HOT
     cuts = np.concatenate(([0], np.cumsum(each)))
     part = table.column("part")[0].as_py()
     told = [(b, part, code[i:j].tobytes()) for b, i, j in zip(buckets, cuts[:-1], cuts[1:], strict=True) if code[i:j].any()]
@@ -178,27 +197,47 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 def codes(b: Bucket, answers: pa.Table) -> np.ndarray:
-    code = np.zeros(len(b.lead), np.uint8)
+    """The answer to each distinct run; runs behind a hot mark share its answer."""
+    code = np.zeros(len(b.sent), np.uint8)
     for p, c in zip(answers.column("part").to_pylist(), answers.column("code").to_pylist(), strict=True):
-        code[b.slices[p] : b.slices[p + 1]] = np.frombuffer(c, np.uint8)
-    return code
+        if c:
+            code[b.slices[p] : b.slices[p + 1]] = np.frombuffer(c, np.uint8)
+    return code[b.via] if len(code) else code
 
 
 def send_bytes(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa.Table:
     if not len(docs) or not len(answers):
-        return rows(BYTES, [[] for _ in range(9)])
+        return rows(BYTES, [[] for _ in range(10)])
     b = Bucket(docs, length, parts)
-    code, out = codes(b, answers), [[] for _ in range(9)]
+    code, out = codes(b, answers), [[] for _ in range(10)]
     bucket = docs.column("bucket")[0].as_py()
-    for p, c in sorted(zip(answers.column("part").to_pylist(), answers.column("code").to_pylist(), strict=True)):
-        lo, hi = b.slices[p], b.slices[p + 1]
-        entry = np.flatnonzero(code[lo:hi] == MIXED)
-        lead = b.lead[lo:hi][entry]
-        size = b.last[lead] - b.first[lead]
-        text = b"".join(b.data[i : j + length].tobytes() for i, j in zip(b.first[lead], b.last[lead], strict=True))
-        row = (p, bucket, c, entry.astype("<u4").tobytes(), five(b.gram[lead]), (b.anchor[lead] - b.first[lead]).astype(np.uint8).tobytes(), size.astype(np.uint8).tobytes(), b.ids[b.doc[lead]].tobytes(), text)
-        for col, x in zip(out, row, strict=True):
-            col.append(x)
+    told = dict(zip(answers.column("part").to_pylist(), answers.column("code").to_pylist(), strict=True))
+    # runs of mixed anchors go as they are; those of hot ones as single windows, named and dealt by their own hash
+    entry = np.flatnonzero(code == MIXED)
+    lead = b.lead[entry]
+    first, size, anchor = b.first[lead], b.last[lead] - b.first[lead], b.anchor[lead] - b.first[lead]
+    part, gram, shift, doc = b.part[lead], b.gram[lead], np.zeros(len(lead), np.int64), b.doc[lead]
+    if len(hot := np.flatnonzero(code == HOT)):
+        lead = b.lead[hot]
+        n = b.last[lead] - b.first[lead] + 1
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(b.first[lead], n) + nth
+        name = np.fromiter((int.from_bytes(hashlib.blake2b(b.data[i : i + length].tobytes(), digest_size=8).digest(), "little") for i in start), np.uint64, len(start))
+        zero = np.zeros(len(start), np.int64)
+        entry, shift, first = np.concatenate((entry, np.repeat(hot, n))), np.concatenate((shift, nth)), np.concatenate((first, start))
+        size, anchor, doc = np.concatenate((size, zero)), np.concatenate((anchor, zero)), np.concatenate((doc, np.repeat(b.doc[lead], n)))
+        part = np.concatenate((part, (name % np.uint64(parts)).astype(np.int64)))
+        gram = np.concatenate((gram, name >> np.uint64(24)))
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(parts + 1))
+    for p in range(parts):
+        at = by[cuts[p] : cuts[p + 1]]
+        if len(at) or p in told:
+            text = b"".join(b.data[i : i + k + length].tobytes() for i, k in zip(first[at], size[at], strict=True))
+            small = lambda x: x[at].astype(np.uint8).tobytes()  # noqa: E731, B023
+            row = (p, bucket, told.get(p, b""), entry[at].astype("<u4").tobytes(), small(shift), five(gram[at]), small(anchor), small(size), b.ids[doc[at]].tobytes(), text)
+            for col, x in zip(out, row, strict=True):
+                col.append(x)
     return rows(BYTES, out)
 
 
@@ -287,9 +326,9 @@ def windows(table: pa.Table, length: int) -> pa.Table:
         least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(doc))))
         hit = which[doc > least]
         np.bitwise_or.at(mask, run[hit], np.uint32(1) << nth[hit].astype(np.uint32))
-    cuts, out = np.concatenate(([0], np.cumsum(each))), [[] for _ in range(5)]
-    for k, (p, b, c, e) in enumerate(zip(cols["part"], cols["bucket"], cols["code"], cols["entry"], strict=True)):
-        for col, v in zip(out, (b, p, c, e, mask[cuts[k] : cuts[k + 1]].tobytes()), strict=True):
+    cuts, out = np.concatenate(([0], np.cumsum(each))), [[] for _ in range(6)]
+    for k, (p, b, c, e, s) in enumerate(zip(cols["part"], cols["bucket"], cols["code"], cols["entry"], cols["shift"], strict=True)):
+        for col, v in zip(out, (b, p, c, e, s, mask[cuts[k] : cuts[k + 1]].tobytes()), strict=True):
             col.append(v)
     return rows(WINDOWS, out)
 
@@ -301,8 +340,8 @@ def cut(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa.Table:
     b = Bucket(docs, length, parts)
     code = codes(b, answers)
     mask = np.zeros(len(b.lead), np.uint32)
-    for p, e, m in zip(*(answers.column(c).to_pylist() for c in ("part", "entry", "mask")), strict=True):
-        mask[b.slices[p] + np.frombuffer(e, "<u4")] = np.frombuffer(m, np.uint32)
+    for e, s, m in zip(*(answers.column(c).to_pylist() for c in ("entry", "shift", "mask")), strict=True):
+        np.bitwise_or.at(mask, np.frombuffer(e, "<u4"), np.frombuffer(m, np.uint32) << np.frombuffer(s, np.uint8).astype(np.uint32))
     known = b.known | (code[b.of] == KNOWN) if len(b.of) else b.known
     delta = np.zeros(len(b.data) + 1, np.int32)
     np.add.at(delta, b.first[known], 1)

@@ -407,6 +407,33 @@ def brute_substrings(docs, n=50):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("hot_runs", [1, 16])
+def test_substring_tasks_equal_brute_force(monkeypatch, hot_runs):
+    """The four tasks without Spark, with hot anchors nearly everywhere and nearly nowhere."""
+    monkeypatch.setattr(substrings, "HOT_RUNS", hot_runs)
+    rng, n, length = random.Random(hot_runs), 5, 50
+    for _ in range(12):
+        pool = ["".join(rng.choice("abé ") for _ in range(rng.randint(20, 120))) for _ in range(6)]
+        docs = [(rng.choice([i, i, 5, None]), "".join(rng.choice(pool) if rng.random() < 0.7 else rng.choice("xyz") for _ in range(rng.randint(0, 7)))) for i in range(40)]
+        buckets: dict = {}
+        for i, t in docs:
+            buckets.setdefault((i or 0) * 7 % n, []).append((i, t))
+        tabs = {b: pa.table({"doc_id": pa.array([x for x, _ in v], pa.int64()), "text": pa.array([y for _, y in v], pa.string()), "bucket": pa.array([b] * len(v), pa.int64())}) for b, v in buckets.items()}
+
+        def dealt(tables, key, schema):
+            whole = pa.concat_tables([substrings.rows(schema, [[] for _ in schema.split(", ")]), *tables])
+            k = whole.column(key).to_numpy()
+            return {int(x): whole.filter(pa.array(k == x)) for x in np.unique(k)}
+
+        none = lambda schema: substrings.rows(schema, [[] for _ in schema.split(", ")])
+        sent = dealt([substrings.send(t, length, n) for t in tabs.values()], "part", substrings.SEND)
+        told = dealt([substrings.answer(t) for t in sent.values()], "bucket", substrings.ANSWER)
+        raw = dealt([substrings.send_bytes(t, told.get(b, none(substrings.ANSWER)), length, n) for b, t in tabs.items()], "part", substrings.BYTES)
+        seen = dealt([substrings.windows(t, length) for t in raw.values()], "bucket", substrings.WINDOWS)
+        got = [tuple(r.values()) for b, t in tabs.items() for r in substrings.cut(t, seen.get(b, none(substrings.WINDOWS)), length, n).drop(["kept"]).to_pylist()]
+        assert sorted(got, key=repr) == brute_substrings(docs)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_equal_brute_force(spark, seed):
     rng = random.Random(seed)
