@@ -11,8 +11,6 @@ count once; an empty table gives an empty table; extra columns pass or are dropp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -11,6 +11,7 @@ import corpus_pipeline
 from prosegauge.llm import queries
 
 from ..conftest import ROOT, duck, same_rows
+from .test_operators import brute_hits, brute_links, brute_pii
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -42,6 +43,33 @@ def test_pipeline_stages(spark, tiny, tmp_path):
     assert ran == {r.doc_id: r.taken for r in docs.collect()}
 
 
+def test_pipeline_stages_equal_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    one = stages[0](spark, docs, tiny).cache()
+    first = {r.doc_id: r for r in docs.collect()}
+    assert {r.doc_id for r in one.collect()} >= {i for i, r in first.items() if any(c.isalpha() for c in r.text)}
+
+    rows = sorted(one.collect())
+    two = stages[1](spark, one, tiny).cache()
+    _, label = brute_links([r.text for r in rows])
+    assert sorted(two.collect()) == [r for i, r in enumerate(rows) if label[i] == i]
+
+    rows = sorted(two.collect())
+    three = stages[2](spark, two, tiny).cache()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    assert sorted(three.collect()) == [r for r, (_, n, _) in zip(rows, brute_hits([r.text for r in rows], items), strict=True) if n == 0]
+
+    rows = {r.doc_id: r for r in three.collect()}
+    four = {r.doc_id: r for r in stages[3](spark, three, tiny).collect()}
+    assert four.keys() == rows.keys()
+    for i, r in rows.items():
+        if found := brute_pii(r.text):
+            assert not any(r.text[s:e] in four[i].text for k, s, e in found if k in (0, 3)) and len(four[i].text) == four[i].n_chars
+        elif not any(c.isdigit() or c == "@" for c in r.text):
+            assert four[i] == r
+
+
 def test_pipeline_on_odd_documents(spark, tiny, odd_docs, tmp_path):
     for name, rows in (("odd", odd_docs), ("none", odd_docs.where("1 = 0"))):
         docs = rows
