@@ -16,11 +16,14 @@ def tokens(text: Column) -> Column:
 def dice(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Rows (key, common, total, similarity): Dice over token multisets, counted per (key, token) with map-side sums.
 
-    Blank texts: 1 for two, 0 for one. A pair keeps its row if it has no token at all."""
-    side = lambda col, x, y: pairs.select(key, F.explode(tokens(F.col(col))).alias("token"), F.lit(x).alias("in_a"), F.lit(y).alias("in_b"))
-    each = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(key, "token").agg(F.sum("in_a").alias("ca"), F.sum("in_b").alias("cb"))
-    sums = each.groupBy(key).agg(F.sum(F.least("ca", "cb")).alias("common"), F.sum(F.col("ca") + F.col("cb")).alias("total"))
-    out = pairs.select(key, is_blank(F.col(a)).alias("blank_a"), is_blank(F.col(b)).alias("blank_b")).join(sums, key, "left").fillna(0, ["common", "total"])
+    One scan: both texts' tokens are one list, with an entry of no token that keeps pairs without any. Blank texts: 1 for
+    two, 0 for one."""
+    entry = lambda token, x, y: F.struct(token.alias("token"), F.lit(x).alias("in_a"), F.lit(y).alias("in_b"))
+    listed = F.concat(F.array(entry(F.lit(None).cast("string"), 0, 0)), F.transform(tokens(F.col(a)), lambda t: entry(t, 1, 0)), F.transform(tokens(F.col(b)), lambda t: entry(t, 0, 1)))
+    rows = pairs.select(key, is_blank(F.col(a)).alias("blank_a"), is_blank(F.col(b)).alias("blank_b"), F.explode(listed).alias("t"))
+    blanks = [F.max("blank_a").alias("blank_a"), F.max("blank_b").alias("blank_b")]
+    each = rows.groupBy(key, "t.token").agg(F.sum("t.in_a").alias("ca"), F.sum("t.in_b").alias("cb"), *blanks)
+    out = each.groupBy(key).agg(F.sum(F.least("ca", "cb")).alias("common"), F.sum(F.col("ca") + F.col("cb")).alias("total"), *blanks)
     value = F.when(F.col("blank_a") & F.col("blank_b"), 1.0).when(F.col("blank_a") | F.col("blank_b"), 0.0).when(F.col("total") == 0, 1.0).otherwise(2.0 * F.col("common") / F.greatest(F.col("total"), F.lit(1)))
     return out.select(key, "common", "total", value.alias("similarity"))
 
