@@ -252,6 +252,7 @@ def closed_loop(
 
 # --- training rows -----------------------------------------------------------------------------------------------------
 
+# Fixed value: the prompt of training rows.
 PROMPT = "Rewrite the following text so it reads as natural human writing while preserving its exact meaning:\n\n"
 
 
