@@ -33,14 +33,17 @@ AUDITED, RECALL = 1024, 0.98
 BLOCK_NODES, BLOCK_BYTES, SHARD_BYTES = 1024, 4 << 20, 2 << 20
 
 
-def unit(raw: list[bytes] | np.ndarray) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def unit(raw: list[bytes]) -> np.ndarray:
+    """Unit vectors in double precision; a vector's bytes are floats or doubles, as its last byte says."""
+    kind = "<f4" if raw[0][-1] == 4 else "<f8"
+    x = np.frombuffer(b"".join(r[:-1] for r in raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, node, grp, vec) of usable vectors, the rest with null node."""
-    v = F.col("embedding").cast("array<double>")
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    v = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     bad = F.col("label").isNull() | F.col("embedding").isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.when(~F.coalesce(bad, F.lit(True)), v).alias("v"))
 
@@ -50,8 +53,11 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
             for label, x in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 a = np.asarray(x.values, np.float64) if x.is_valid else np.zeros(0)
                 size = float(np.abs(a).max()) if len(a) else 0.0
-                a = a / size if size else a  # squares neither overflow nor vanish
-                raw.append(a.astype("<f8").tobytes() if size else None)
+                if single:  # half the bytes, and their squares are safe in double precision
+                    raw.append(a.astype("<f4").tobytes() + b"\x04" if size else None)
+                else:
+                    a = a / size if size else a  # squares neither overflow nor vanish
+                    raw.append(a.astype("<f8").tobytes() + b"\x08" if size else None)
                 grp.append(f"{len(a)}:{label}" if size else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grp, pa.string()), pa.array(raw, pa.binary())], names=["vec_id", "grp", "vec"])
 
@@ -67,9 +73,10 @@ def start(nodes: DataFrame, orders: int, seed: int, bits: int) -> DataFrame:
         for b in batches:
             node, grp, vec = (b.column(i).to_pylist() for i in range(3))
             parts = []
-            for dim in sorted({len(x) // 8 for x in vec}):
-                at = [i for i, x in enumerate(vec) if len(x) // 8 == dim]
+            for size in sorted({len(x) for x in vec}):
+                at = [i for i, x in enumerate(vec) if len(x) == size]
                 x = unit([vec[i] for i in at])
+                dim = x.shape[1]
                 for t in range(orders):
                     p = x @ np.random.default_rng((seed, t, dim)).normal(size=(dim, bits + 1))
                     key = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
@@ -192,11 +199,12 @@ def neardup(vectors: DataFrame, rounds: int = 4, repeats: int = 3) -> tuple[Data
     for repeat in range(repeats):
         first = start(nodes, ORDERS, repeat, bits)
         graph = checkpointed(best(first if graph is None else graph.unionByName(first), k))
-        before = None
+        count = lambda: graph.agg(F.sum((F.col("sim") >= THRESHOLD).cast("long"))).first()[0] or 0
+        before = count()
         for turn in range(rounds):
             graph = checkpointed(best(graph.unionByName(joined(nodes, graph, 10 * repeat + turn)), k))
-            now = graph.agg(F.count("*"), F.sum((F.col("sim") >= THRESHOLD).cast("long"))).first()
-            if before is not None and (now[1] or 0) <= 1.001 * (before[1] or 0):
+            now = count()
+            if now <= 1.001 * before:
                 break  # lists of links have settled
             before = now
         labels = checkpointed(components(graph.where(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))))
