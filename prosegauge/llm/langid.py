@@ -284,7 +284,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out())
 
 
-def reject(docs: DataFrame, field: Field | None, least: float = 0.3) -> DataFrame:
-    """docs without those in no language: no letter, or no language reaches the mean probability `least`."""
+def reject(docs: DataFrame, field: Field | None, least: float | None = None) -> DataFrame:
+    """docs without those in no language: no letter, or no language's mean probability reaches `least`, by default 1.05
+    times the even chance. Texts that mix languages are documents and stay."""
     names = [fresh(docs, f"langid_{n}") for n, _ in ADDED]
-    return predict(docs, field, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*docs.columns)
+    bound = least if least is not None else 1.05 / max(1, len(field.labels) if field else 1)
+    if field is not None and len(field.labels) == 1:
+        bound = 0.0
+    return predict(docs, field, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= bound)).select(*docs.columns)
