@@ -334,17 +334,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
     refs = trees.groupBy("host").agg(F.max_by("form", F.struct("pages", F.md5(F.encode("form", "UTF-8")))).alias("ref"), F.sum("pages").alias("host_pages"))
     slots = trees.select("host", "form").join(refs.select("host", "ref"), "host").mapInArrow(_align, "host string, form string, form_key string, slot int, ref_slot int, furniture boolean, rooted boolean")
     slots = slots.join(sums, ["host", "form", "slot"], "left")
-    same = Window.partitionBy("host", "ref_slot")
-    aligned = F.col("ref_slot") >= 0
-    n = F.when(aligned, F.sum("pages").over(same)).otherwise(F.col("pages"))
-    constant = F.when(aligned, F.min("least").over(same) == F.max("greatest").over(same)).otherwise(F.lit(False))
-    share = F.when(aligned, F.try_divide(F.sum("links").over(same), F.sum("chars").over(same))).otherwise(F.try_divide("links", "chars"))
-    slots = slots.withColumns({"n": n, "constant": constant & (n >= 3), "link_share": F.coalesce(share, F.lit(0.0))})
-    # a host varies if the text of some slot does; copies of one page say nothing about its template
-    slots = slots.withColumn("varies", F.max(~F.col("constant") & (F.col("n") >= 3) & ~F.col("furniture")).over(Window.partitionBy("host")))
+    # per aligned node of the host: sums that are added up before any shuffle, a row for each node of the reference
+    same = slots.where("ref_slot >= 0").groupBy("host", "ref_slot").agg(
+        F.sum("pages").alias("n"), (F.min("least") == F.max("greatest")).alias("one_text"), F.sum("chars").alias("all_chars"), F.sum("links").alias("all_links"), F.min("furniture").alias("always_furniture")
+    )
+    same = same.withColumn("constant", F.coalesce(F.col("one_text") & (F.col("n") >= 3), F.lit(False)))
+    # a host varies if the text of some node does; copies of one page say nothing about its template
+    varies = same.groupBy("host").agg(F.max(~F.col("constant") & (F.col("n") >= 3) & ~F.col("always_furniture")).alias("varies"))
+    slots = slots.join(same.drop("always_furniture"), ["host", "ref_slot"], "left").join(varies, "host", "left")
+    share = F.coalesce(F.try_divide(F.coalesce("all_links", "links"), F.coalesce("all_chars", "chars")), F.lit(0.0))
     has_root = F.max(F.col("rooted") & ~F.col("furniture") & (F.coalesce("chars", F.lit(0)) > 0)).over(Window.partitionBy("host", "form_key"))
-    template = F.col("constant") & F.coalesce("varies", F.lit(False))
-    keep = ~F.col("furniture") & ~template & F.when(has_root, F.col("rooted")).otherwise(F.col("link_share") < 0.5)
+    template = F.coalesce(F.col("constant") & F.col("varies"), F.lit(False))
+    keep = ~F.col("furniture") & ~template & F.when(has_root, F.col("rooted")).otherwise(share < 0.5)
     told = slots.withColumn("keep", keep).groupBy("host", "form_key").agg(F.array_sort(F.collect_list(F.struct("slot", "keep"))).alias("k"))
     return told.select("host", "form_key", F.transform("k", lambda x: x["keep"]).alias("keep"))
 
