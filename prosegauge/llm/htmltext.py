@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 _TAG = re.compile(
     r"""<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>)""",
     re.S,
@@ -283,10 +285,10 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per (host, skeleton, slot): pages, least and greatest text hash, characters and link characters; added up while memory is small."""
 
     def out(sums: dict) -> pa.RecordBatch:
-        rows = [(h, f, s, *v) for (h, f, s), v in sums.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 8
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "form", "slot", "pages", "least", "greatest", "chars", "links"])
+        rows = [(h, md5(f.encode()).hexdigest(), None if s else f, s, *v) for (h, f, s), v in sums.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 9
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "form_key", "form", "slot", "pages", "least", "greatest", "chars", "links"])
 
     sums: dict = {}
     for b in batches:
@@ -310,30 +312,32 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, form, reference) -> one row per slot."""
+    """(host, key, form, reference) -> one row per slot."""
     memo: dict = {}
     for b in batches:
         rows = []
-        for host, form, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for host, key, form, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (form, ref) not in memo:
                 if len(memo) > 5000:
                     memo.clear()
                 memo[form, ref] = [(i, r, d, c) for i, (r, (d, c)) in enumerate(zip(match(ref, form), places(form), strict=True))]
-            key = md5(form.encode()).hexdigest()
-            rows += [(host, form, key, *x) for x in memo[form, ref]]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "form", "form_key", "slot", "ref_slot", "furniture", "rooted"])
+            rows += [(host, key, *x) for x in memo[form, ref]]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "form_key", "slot", "ref_slot", "furniture", "rooted"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """Rows (host, form_key, keep): for each tree of each host, which slots are content."""
-    tally = pages.select("url", "html").mapInArrow(_tally, "host string, form string, slot int, pages bigint, least bigint, greatest bigint, chars bigint, links bigint")
-    sums = tally.groupBy("host", "form", "slot").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    trees = sums.where("slot = 0").select("host", "form", "pages")
-    refs = trees.groupBy("host").agg(F.max_by("form", F.struct("pages", F.md5(F.encode("form", "UTF-8")))).alias("ref"), F.sum("pages").alias("host_pages"))
-    slots = trees.select("host", "form").join(refs.select("host", "ref"), "host").mapInArrow(_align, "host string, form string, form_key string, slot int, ref_slot int, furniture boolean, rooted boolean")
-    slots = slots.join(sums, ["host", "form", "slot"], "left")
+    tally = pages.select("url", "html").mapInArrow(_tally, "host string, form_key string, form string, slot int, pages bigint, least bigint, greatest bigint, chars bigint, links bigint")
+    sums = tally.groupBy("host", "form_key", "slot").agg(
+        F.max("form").alias("form"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    )
+    sums = checkpointed(sums)  # used four times below; the pages are parsed for it once
+    trees = sums.where("slot = 0").select("host", "form_key", "form", "pages")
+    refs = trees.groupBy("host").agg(F.max_by("form", F.struct("pages", "form_key")).alias("ref"))
+    slots = trees.select("host", "form_key", "form").join(refs, "host").mapInArrow(_align, "host string, form_key string, slot int, ref_slot int, furniture boolean, rooted boolean")
+    slots = slots.join(sums.drop("form"), ["host", "form_key", "slot"], "left")
     # per aligned node of the host: sums that are added up before any shuffle, a row for each node of the reference
     same = slots.where("ref_slot >= 0").groupBy("host", "ref_slot").agg(
         F.sum("pages").alias("n"), (F.min("least") == F.max("greatest")).alias("one_text"), F.sum("chars").alias("all_chars"), F.sum("links").alias("all_links"), F.min("furniture").alias("always_furniture")
