@@ -4,9 +4,11 @@ Vectors are compared only inside a label (and dimension). Copies collapse to one
 several orders by random hyperplanes; then neighbours of neighbours are joined: every node brings its forward and
 reverse neighbours together, their cosines are taken in double precision and improve one another's lists, until a round
 changes little. Nodes whose list is full of links get lists twice as long, up to MOST; longer neighbourhoods are left to the last
-step. An audit compares a bounded, hash-drawn set of nodes with all others and, if links across components are
-missing, more orders and longer lists follow. Edges at the threshold make the components, and inside each
-component all pairs are checked exactly by blocks, so that dense groups lose no link and need no long lists.
+step. Edges at the threshold make components. A list pushes links out only where MOST closer ones stand in it, so a lost
+link lies between components of more than MOST nodes: those whose balls around a pivot come close enough for a link are put
+together. An audit compares a hash-drawn set of nodes with all others; while it misses any link, more orders and longer
+lists follow, and labels that still miss some after the last repeat are compared whole. Then all pairs of each of these
+sets are checked exactly by blocks, and the links found there make the counts and the components.
 
 Defined results: null or zero vectors and those with null or non-finite components, and rows without a label, link with
 nothing and are their own component; copies of a vector link with each other; a null vec_id stays null, and is its own component unless
@@ -28,8 +30,8 @@ from .components import components
 THRESHOLD = 0.98
 #: Starting and longest lists, orders of the start, neighbours taken on each side of an order, members joined at once.
 LIST, MOST, ORDERS, REACH, CHUNK = 8, 32, 8, 3, 32
-#: The audit's query nodes, and the share of their links that must lie inside components.
-AUDITED, RECALL = 1024, 0.98
+#: The audit's query nodes at least; for large tables they grow with the root of the nodes.
+AUDITED = 1024
 BLOCK_NODES, BLOCK_BYTES, SHARD_BYTES = 1024, 4 << 20, 2 << 20
 
 
@@ -153,11 +155,11 @@ def joined(nodes: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
     return lists.mapInArrow(run, "u binary, v binary, sim double")
 
 
-def audit(nodes: DataFrame, labels: DataFrame) -> tuple[int, int]:
-    """Links of the audited nodes with any node, and how many of them lie inside a component."""
-    drawn = nodes.select("node", "grp", "vec").orderBy(F.xxhash64("node", F.lit(99))).limit(AUDITED).collect()
+def audit(nodes: DataFrame, placed: DataFrame, size: int, turn: int) -> tuple[int, int, list[str]]:
+    """Links of the audited nodes with any node, how many of them lie inside a set of placed (node, comp), and the groups of the others."""
+    drawn = nodes.select("node", "grp", "vec").orderBy(F.xxhash64("node", F.lit(99 + turn))).limit(size).collect()
     if not drawn:
-        return 0, 0
+        return 0, 0, []
     query = nodes.sparkSession.sparkContext.broadcast([(bytes(r.node), r.grp, bytes(r.vec)) for r in drawn])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +174,14 @@ def audit(nodes: DataFrame, labels: DataFrame) -> tuple[int, int]:
                 at = [i for i, x in enumerate(grp) if x == g]
                 names, x = packed[g]
                 i, j = np.nonzero(unit([vec[k] for k in at]) @ x.T >= THRESHOLD)
-                out += [(names[b_], node[at[a]]) for a, b_ in zip(i, j, strict=True) if names[b_] != node[at[a]]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                out += [(names[b_], node[at[a]], g) for a, b_ in zip(i, j, strict=True) if names[b_] != node[at[a]]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.string()))], names=["a", "b", "grp"])
 
-    true = nodes.select("node", "grp", "vec").mapInArrow(run, "a binary, b binary")
-    with_a = true.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-    both = with_a.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    r = both.agg(F.count("*"), F.sum(F.coalesce(F.col("la") == F.col("lb"), F.lit(False)).cast("long"))).first()
-    return r[0], r[1] or 0
+    true = nodes.select("node", "grp", "vec").mapInArrow(run, "a binary, b binary, grp string")
+    with_a = true.join(placed.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+    both = with_a.join(placed.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    found = both.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("long")).alias("inside")).collect()
+    return sum(r.n for r in found), sum(r.inside for r in found), [r.grp for r in found if r.inside < r.n]
 
 
 def cosines(payloads: list[bytes], side: np.ndarray | None, threshold: float) -> np.ndarray:
@@ -189,13 +191,53 @@ def cosines(payloads: list[bytes], side: np.ndarray | None, threshold: float) ->
     return ok if side is None else ok & (side[:, None] != side[None])
 
 
+def put_together(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (node, comp) of labels (node, label): components of more than MOST nodes share a comp if a link between them is possible.
+
+    A component lies in the ball around its label's vector that reaches its farthest node, and angles obey the triangle inequality."""
+    large = checkpointed(labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("label"))
+    if len(large.head(2)) < 2:
+        return labels.select("node", F.col("label").alias("comp"))
+    pivots = nodes.select(F.col("node").alias("label"), "grp", F.col("vec").alias("pivot")).join(large, "label")
+    members = nodes.select("node", "vec").join(labels, "node").join(pivots.drop("grp"), "label").select("label", "vec", "pivot")
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vec, pivot = b.column(1).to_pylist(), b.column(2).to_pylist()
+            angle = np.zeros(len(vec))
+            for size in {len(x) for x in vec}:
+                at = [i for i, x in enumerate(vec) if len(x) == size]
+                angle[at] = np.arccos(np.clip(np.einsum("ij,ij->i", unit([vec[i] for i in at]), unit([pivot[i] for i in at])), -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(angle)], names=["label", "angle"])
+
+    radius = members.mapInArrow(angles, "label binary, angle double").groupBy("label").agg(F.max("angle").alias("radius"))
+    balls = pivots.join(radius, "label").select(
+        F.col("label").alias("node"), F.unhex(F.md5(F.encode("grp", "UTF-8"))).alias("comp"), F.lit(1).cast("long").alias("copies"),
+        F.concat("pivot", F.encode(F.format_string("%.12f", "radius"), "UTF-8")).alias("payload"), (F.octet_length("pivot") + 14).alias("weight"),
+    )
+    placed, shards = blocks.place(balls, BLOCK_NODES, BLOCK_BYTES, SHARD_BYTES)
+    met = blocks.compare(placed, shards, meeting).select(F.col("node").alias("a"), F.col("label").alias("b"))
+    joint = components(met).select(F.col("node").alias("label"), F.col("label").alias("joint"))
+    return labels.join(joint, "label", "left").select("node", F.coalesce("joint", "label").alias("comp"))
+
+
+def meeting(payloads: list[bytes], side: np.ndarray | None) -> np.ndarray:
+    """Which balls (a vector's bytes, then its radius in 14 characters) are so close that they may hold a link."""
+    radius = np.array([float(p[-14:]) for p in payloads])
+    x = unit([p[:-14] for p in payloads])
+    ok = np.arccos(np.clip(x @ x.T, -1, 1)) <= radius[:, None] + radius[None] + np.arccos(THRESHOLD) + 1e-6
+    np.fill_diagonal(ok, False)
+    return ok if side is None else ok & (side[:, None] != side[None])
+
+
 def neardup(vectors: DataFrame, rounds: int = 4, repeats: int = 3) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Rows (vec_id, n_links, component_id, kept), and the audits' (links, links found)."""
     rows = checkpointed(nodes_of(vectors))
     nodes = checkpointed(rows.where("node is not null").groupBy("node").agg(F.min("grp").alias("grp"), F.min("vec").alias("vec"), F.count("*").alias("copies")))
-    largest = nodes.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    largest, total = nodes.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    largest, audited = largest or 0, max(AUDITED, int(4 * (total or 0) ** 0.5))
     bits = max(4, int(largest).bit_length() - 5)
-    graph, k, audits, labels = None, LIST, [], None
+    graph, k, audits, sets = None, LIST, [], None
     for repeat in range(repeats):
         first = start(nodes, ORDERS, repeat, bits)
         graph = checkpointed(best(first if graph is None else graph.unionByName(first), k))
@@ -208,13 +250,20 @@ def neardup(vectors: DataFrame, rounds: int = 4, repeats: int = 3) -> tuple[Data
                 break  # lists of links have settled
             before = now
         labels = checkpointed(components(graph.where(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))))
-        audits.append(audit(nodes, labels))
-        if audits[-1][1] >= RECALL * audits[-1][0]:
+        sets = checkpointed(put_together(nodes, labels))
+        *seen, missing = audit(nodes, sets, audited, repeat)
+        audits.append(tuple(seen))
+        if not missing:
             break
         k *= 2
-    members = nodes.join(labels.select("node", F.col("label").alias("comp")), "node").withColumn("weight", F.octet_length("vec")).withColumnRenamed("vec", "payload")
+    else:  # what the lists could not find is compared whole
+        whole = F.when(F.col("grp").isin(missing), F.unhex(F.md5(F.encode("grp", "UTF-8"))))
+        sets = nodes.select("node", "grp").join(sets, "node", "left").select("node", F.coalesce(whole, "comp").alias("comp")).where("comp is not null")
+    members = nodes.join(sets, "node").withColumn("weight", F.octet_length("vec")).withColumnRenamed("vec", "payload")
     placed, shards = blocks.place(members, BLOCK_NODES, BLOCK_BYTES, SHARD_BYTES)
-    links = blocks.compare(placed, shards, lambda p, side: cosines(p, side, THRESHOLD)).groupBy("node").agg(F.sum("links").alias("links"))
+    found = checkpointed(blocks.compare(placed, shards, lambda p, side: cosines(p, side, THRESHOLD)))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     told = nodes.select("node", "copies").join(labels, "node", "left").join(links, "node", "left")
     told = told.select("node", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("vec_id", "node").join(told, "node", "left")

@@ -350,6 +350,38 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[i].component_id <= i for i in range(400)) and vectors.neardup(df.where("1 = 0"))[0].count() == 0
 
 
+def same_as_all_pairs(df, x):
+    got = {r.vec_id: r for r in vectors.neardup(df)[0].collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ok = u @ u.T >= 0.98
+    np.fill_diagonal(ok, False)
+    label = np.arange(len(x))
+    for _ in x:
+        label = np.minimum(label, np.where(ok, label[None], len(x)).min(axis=1))
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(n, c, c == i) for i, (n, c) in enumerate(zip(ok.sum(axis=1), label, strict=True))]
+    return ok
+
+
+def test_embeddings_link_between_dense_groups(spark):
+    rng = np.random.default_rng(7)
+    groups = []
+    for middle in (0.0, 0.225, 3.0):  # two groups of 80 whose nearest members alone are linked, and one far away
+        angle = middle + rng.uniform(-0.013, 0.013, 80)
+        groups.append(np.stack([np.cos(angle), np.sin(angle)] + [rng.normal(0, 0.003, 80) for _ in range(6)], axis=1))
+    x = np.concatenate(groups)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    ok = same_as_all_pairs(df, x)
+    assert 0 < ok[:80, 80:160].sum() < 0.02 * ok.sum() / 2 and not ok[:160, 160:].any()
+
+
+def test_embeddings_compared_whole_when_the_audit_fails(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "start", lambda nodes, *_: nodes.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(-1.0).alias("sim")))
+    x = np.random.default_rng(8).normal(size=(60, 8))
+    x[40:] = x[:20] + 0.01
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert same_as_all_pairs(df, x).any()
+
+
 # --- 8 secrets ---------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
