@@ -47,11 +47,25 @@ FURNITURE = set(
 )
 #: Words that name the content root.
 ROOT = {"main", "article"}
+TELLING = FURNITURE | ROOT | {"header", "topbar"}
+#: Characters of a class, id or role that stand in a node's key as they are.
+LONGEST_VALUE = 60
 _CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 _NO_P_CLOSE = {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "template", "svg", "select", "button", "canvas", "object", "audio", "video", "math"}
 
 
+def names_in(value: str) -> set[str]:
+    return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", value)}
+
+
+def short(value: str) -> str:
+    """An attribute's value for a key: long ones as their telling words and a number that stands for the whole value."""
+    if len(value) <= LONGEST_VALUE:
+        return value
+    return " ".join([*sorted(names_in(value) & TELLING), str(int.from_bytes(blake2b(value.encode(), digest_size=8).digest(), "big"))])
+
+
 class Node:
     __slots__ = ("tag", "key", "children", "slot", "form")
 
@@ -138,7 +152,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             key = tag
             if m[3] and "=" in m[3]:
                 found = sorted((a.lower(), re.sub(r"\d+", "0", x or y or z)) for a, x, y, z in _ATTR.findall(m[3]))
-                key += "".join(f"[{a}={re.sub(r'[^0-9A-Za-z_ -]', '_', v)[:60]}]" for a, v in found)
+                key += "".join(f"[{a}={short(re.sub(r'[^0-9A-Za-z_ -]', '_', v))}]" for a, v in found)
             node = Node(tag, key)
             stack[-1].children.append(node)
             if not m[3].rstrip().endswith("/") or tag not in ("svg", "object"):
@@ -256,8 +270,7 @@ def match(a: str, b: str) -> list[int]:
 
 
 def words_of(key: str) -> set[str]:
-    names = " ".join(re.findall(r"\[\w+=([^\]]*)\]", key))
-    return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", names)}
+    return names_in(" ".join(re.findall(r"\[\w+=([^\]]*)\]", key)))
 
 
 def places(form: str) -> list[tuple[bool, bool]]:

@@ -196,6 +196,12 @@ def test_html_copies_are_not_template(spark):
     assert texts_of(spark, [(f"http://h/{i}", h) for i in range(5)]) == ["Same story on all pages."] * 5
 
 
+def test_html_telling_word_after_many_classes(spark):
+    many = "mt-4 flex items-center justify-between rounded-lg border bg-white p-6 shadow"
+    pages = [("http://w.example/1", page(f'<div class="{many} cookie-banner">We set cookies</div><div class="{many} story">Words of the story</div>'))]
+    assert texts_of(spark, pages) == ["Words of the story"]
+
+
 def test_html_broken_and_deep(spark):
     deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
     got = texts_of(spark, [("http://d/1", deep), ("http://d/2", "<p>a<p>b<li>c<li>d</p"), ("http://d/3", "text only < 5 & more"), ("http://d/4", "<!-- open <p>x"), ("http://d/5", "<article><p>x" * 50)])
