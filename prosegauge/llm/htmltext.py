@@ -2,15 +2,16 @@
 
 Pages become trees of their block elements; runs of equal siblings fold into one repeated node. The most frequent tree of
 a host is its reference, and simple tree matching aligns every other tree of the host with it. Over all pages of the host, an aligned
-node whose text never changes belongs to the template, a varying one is a slot. Slots become content unless their
+node whose text never changes belongs to the template, a varying one is a slot. A text that stands at one path of element keys on more than two thirds of
+the host's pages with that path is template as well, beside varying siblings and across layouts. Slots become content unless their
 place says otherwise (navigation, page header and footer, asides, forms, notices, adverts, reader comments, by element,
 role, class or id); where pages mark an article or main element, content is what lies inside it.
 
 Each page's statistics are added up per (host, tree) before the shuffle; trees are aligned once for each pair that
 occurs; the pages are then parsed again and joined with their tree's kept nodes, a join that Spark broadcasts or shuffles by size.
 
-Defined results: null and empty html, and pages without content, give an empty text; a host of one page has no template; a
-null url is a host of its own; pages repeated whole each get their row; broken markup is closed as browsers do for
+Defined results: null and empty html, and pages without content, give an empty text; a host of one page, or of copies of
+one page, has no template, and a template text stands on at least two different pages; a null url is a host of its own; pages repeated whole each get their row; broken markup is closed as browsers do for
 paragraphs, list items and table cells; empty tables give empty tables; extra columns are dropped."""
 
 from __future__ import annotations
@@ -55,6 +56,14 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"
 _NO_P_CLOSE = {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "template", "svg", "select", "button", "canvas", "object", "audio", "video", "math"}
 
 
+def _digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=8).digest()
+
+
+def _number(data: bytes) -> int:
+    return int.from_bytes(_digest(data), "big", signed=True)
+
+
 def names_in(value: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", value)}
 
@@ -67,10 +76,11 @@ def short(value: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "slot", "form")
+    __slots__ = ("tag", "key", "children", "slot", "form", "path")
 
-    def __init__(self, tag: str, key: str):
+    def __init__(self, tag: str, key: str, above: bytes = b""):
         self.tag, self.key, self.children = tag, key, []
+        self.path = _digest(above + key.encode())  # the keys from the root down
 
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
@@ -153,7 +163,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             if m[3] and "=" in m[3]:
                 found = sorted((a.lower(), re.sub(r"\d+", "0", x or y or z)) for a, x, y, z in _ATTR.findall(m[3]))
                 key += "".join(f"[{a}={short(re.sub(r'[^0-9A-Za-z_ -]', '_', v))}]" for a, v in found)
-            node = Node(tag, key)
+            node = Node(tag, key, stack[-1].path)
             stack[-1].children.append(node)
             if not m[3].rstrip().endswith("/") or tag not in ("svg", "object"):
                 stack.append(node)
@@ -192,11 +202,12 @@ def number(node: Node) -> None:
             todo.append(c)
 
 
-def read(html: str | None) -> tuple[str, list[tuple[int, str, int]]]:
+def read(html: str | None) -> tuple[str, list[tuple[int, str, int, int, int]]]:
+    """The skeleton, and of each block slot, text, link characters and the numbers of its path and of path and text."""
     root, blocks = parse(html or "")
     form = fold(root)
     number(root)
-    return form, [(n.slot, text, links) for n, text, links in blocks]
+    return form, [(n.slot, text, links, int.from_bytes(n.path, "big", signed=True), _number(n.path + text.encode("utf-8", "surrogatepass"))) for n, text, links in blocks]
 
 
 def tree_of(form: str) -> tuple[list[str], list[list[int]], list[int]]:
@@ -294,34 +305,56 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+_TALLY = [
+    ("host", "string"), ("form_key", "string"), ("form", "string"), ("slot", "int"), ("path", "bigint"), ("item", "bigint"), ("pages", "bigint"),
+    ("first", "bigint"), ("last", "bigint"), ("least", "bigint"), ("greatest", "bigint"), ("chars", "bigint"), ("links", "bigint"),
+]
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per (host, skeleton, slot): pages, least and greatest text hash, characters and link characters; added up while memory is small."""
+    """Per (host, skeleton, slot): pages, least and greatest page hash, least and greatest text hash, characters and link characters;
+    per (host, path) and (host, path, text): pages and page hashes; added up while memory is small."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 
     def out(sums: dict) -> pa.RecordBatch:
-        rows = [(h, md5(f.encode()).hexdigest(), None if s else f, s, *v) for (h, f, s), v in sums.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 9
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "form_key", "form", "slot", "pages", "least", "greatest", "chars", "links"])
+        rows = []
+        for (h, f, *key), v in sums.items():
+            rows.append((h, f and md5(f.encode()).hexdigest(), None if key[0] else f, *key, *v))
+        cols = list(zip(*rows, strict=True)) or [[]] * len(_TALLY)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, _TALLY, strict=True)], names=[n for n, _ in _TALLY])
 
     sums: dict = {}
+    texts: dict = {}
+
+    def add(to: dict, key: tuple, page: int, text: int = 0, chars: int = 0, links: int = 0) -> None:
+        old = to.get(key)
+        to[key] = (1, page, page, text, text, chars, links) if old is None else (
+            old[0] + 1, min(old[1], page), max(old[2], page), min(old[3], text), max(old[4], text), old[5] + chars, old[6] + links
+        )
+
     for b in batches:
         for url, html in zip(b.column(0), b.column(1), strict=True):
             host = host_of(url.as_py())
             form, blocks = read(html.as_py())
-            texts: dict[int, list] = {0: [[], 0, 0]}
-            for slot, text, links in blocks:
-                t = texts.setdefault(slot, [[], 0, 0])
+            page = _number("\n".join(text for _, text, _, _, _ in blocks).encode("utf-8", "surrogatepass"))
+            slots: dict[int, list] = {0: [[], 0, 0]}
+            for slot, text, links, _, _ in blocks:
+                t = slots.setdefault(slot, [[], 0, 0])
                 t[0].append(text)
                 t[1] += len(text)
                 t[2] += links
-            for slot, (parts, chars, links) in texts.items():
-                h = int.from_bytes(blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                old = sums.get((host, form, slot))
-                sums[host, form, slot] = (1, h, h, chars, links) if old is None else (old[0] + 1, min(old[1], h), max(old[2], h), old[3] + chars, old[4] + links)
+            for slot, (parts, chars, links) in slots.items():
+                add(sums, (host, form, slot, None, None), page, _number("\n".join(parts).encode("utf-8", "surrogatepass")), chars, links)
+            for path, item in {(x[3], i) for x in blocks for i in (None, x[4])}:
+                add(texts, (host, None, -1, path, item), page)
             if len(sums) > 50_000:
                 yield out(sums)
                 sums = {}
+            if len(texts) > 100_000:
+                yield out(texts)
+                texts = {}
     yield out(sums)
+    yield out(texts)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,34 +374,43 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows (host, form_key, keep): for each tree of each host, which slots are content."""
-    tally = pages.select("url", "html").mapInArrow(_tally, "host string, form_key string, form string, slot int, pages bigint, least bigint, greatest bigint, chars bigint, links bigint")
-    sums = tally.groupBy("host", "form_key", "slot").agg(
-        F.max("form").alias("form"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    """Rows (host, form_key, keep, common): for each tree of each host, which slots are content; its host's template texts by path."""
+    tally = pages.select("url", "html").mapInArrow(_tally, ", ".join(f"{n} {k}" for n, k in _TALLY))
+    sums = tally.groupBy("host", "form_key", "slot", "path", "item").agg(
+        F.max("form").alias("form"), F.sum("pages").alias("pages"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
     )
-    sums = checkpointed(sums)  # used four times below; the pages are parsed for it once
+    # texts of one page alone, most of them, end here; the rest is used several times below and the pages are parsed for it once
+    sums = checkpointed(sums.where("item is null or first != last"))
+    places_ = sums.where("path is not null")
+    of_path = places_.where("item is null").select("host", "path", F.col("pages").alias("all_pages"))
+    common = places_.where("item is not null").join(of_path, ["host", "path"]).where(F.col("pages") * 3 > F.col("all_pages") * 2)
+    common = common.groupBy("host").agg(F.collect_set("item").alias("common"))
+    sums = sums.where("path is null").drop("path", "item")
     trees = sums.where("slot = 0").select("host", "form_key", "form", "pages")
     refs = trees.groupBy("host").agg(F.max_by("form", F.struct("pages", "form_key")).alias("ref"))
     slots = trees.select("host", "form_key", "form").join(refs, "host").mapInArrow(_align, "host string, form_key string, slot int, ref_slot int, furniture boolean, rooted boolean")
     slots = slots.join(sums.drop("form"), ["host", "form_key", "slot"], "left")
     # per aligned node of the host: sums that are added up before any shuffle, a row for each node of the reference
     same = slots.where("ref_slot >= 0").groupBy("host", "ref_slot").agg(
-        F.sum("pages").alias("n"), (F.min("least") == F.max("greatest")).alias("one_text"), F.sum("chars").alias("all_chars"), F.sum("links").alias("all_links"), F.min("furniture").alias("always_furniture")
+        F.sum("pages").alias("n"), (F.min("least") == F.max("greatest")).alias("one_text"), (F.min("first") != F.max("last")).alias("several"), F.sum("chars").alias("all_chars"), F.sum("links").alias("all_links"), F.min("furniture").alias("always_furniture")
     )
-    same = same.withColumn("constant", F.coalesce(F.col("one_text") & (F.col("n") >= 3), F.lit(False)))
+    same = same.withColumn("constant", F.coalesce(F.col("one_text") & F.col("several"), F.lit(False)))
     # a host varies if the text of some node does; copies of one page say nothing about its template
-    varies = same.groupBy("host").agg(F.max(~F.col("constant") & (F.col("n") >= 3) & ~F.col("always_furniture")).alias("varies"))
-    slots = slots.join(same.drop("always_furniture"), ["host", "ref_slot"], "left").join(varies, "host", "left")
+    some = same.where(~F.col("one_text") & ~F.col("always_furniture")).select("host").unionByName(slots.where(~F.col("furniture") & (F.col("least") != F.col("greatest"))).select("host"))
+    varies = some.distinct().withColumn("varies", F.lit(True))
+    slots = slots.join(same.drop("always_furniture", "several"), ["host", "ref_slot"], "left").join(varies, "host", "left")
     share = F.coalesce(F.try_divide(F.coalesce("all_links", "links"), F.coalesce("all_chars", "chars")), F.lit(0.0))
     has_root = F.max(F.col("rooted") & ~F.col("furniture") & (F.coalesce("chars", F.lit(0)) > 0)).over(Window.partitionBy("host", "form_key"))
     template = F.coalesce(F.col("constant") & F.col("varies"), F.lit(False))
     keep = ~F.col("furniture") & ~template & F.when(has_root, F.col("rooted")).otherwise(share < 0.5)
     told = slots.withColumn("keep", keep).groupBy("host", "form_key").agg(F.array_sort(F.collect_list(F.struct("slot", "keep"))).alias("k"))
-    return told.select("host", "form_key", F.transform("k", lambda x: x["keep"]).alias("keep"))
+    common = common.join(varies.select("host"), "host")
+    return told.join(common, "host", "left").select("host", "form_key", F.transform("k", lambda x: x["keep"]).alias("keep"), "common")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
+    block = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("item", pa.int64())]))
     for b in batches:
         step = 200
         for i in range(0, b.num_rows, step):
@@ -378,14 +420,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 form, found = read(html.as_py())
                 hosts.append(host_of(url.as_py()))
                 keys.append(md5(form.encode()).hexdigest())
-                blocks.append([{"slot": s, "text": t} for s, t, _ in found])
+                blocks.append([{"slot": s, "text": t, "item": i} for s, t, _, _, i in found])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(blocks, block)], names=["page_id", "url", "host", "form_key", "blocks"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, blocks): the kept blocks and their text, joined by one space."""
     kinds = dict(pages.dtypes)
-    seen = pages.select("page_id", "url", "html").mapInArrow(_read, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, form_key string, blocks array<struct<slot:int,text:string>>")
+    seen = pages.select("page_id", "url", "html").mapInArrow(_read, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, form_key string, blocks array<struct<slot:int,text:string,item:bigint>>")
     out = seen.join(wrappers(pages), ["host", "form_key"], "left")
-    kept = F.filter("blocks", lambda x: F.element_at("keep", x["slot"] + 1))
+    kept = F.filter("blocks", lambda x: F.element_at("keep", x["slot"] + 1) & ~F.coalesce(F.array_contains("common", x["item"]), F.lit(False)))
     return out.select("page_id", "url", F.transform(kept, lambda x: x["text"]).alias("blocks")).withColumn("text", F.coalesce(F.array_join("blocks", " "), F.lit("")))

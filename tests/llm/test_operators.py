@@ -196,6 +196,13 @@ def test_html_copies_are_not_template(spark):
     assert texts_of(spark, [(f"http://h/{i}", h) for i in range(5)]) == ["Same story on all pages."] * 5
 
 
+def test_html_constant_siblings_are_template(spark):
+    body = lambda i: page(f"<div>Our daily list</div><div>Story {i} of the day</div><div>All about us</div><section><p>Mind the gap</p><p>Part {i}</p><p>More {i * i}</p></section>")
+    assert texts_of(spark, [(f"http://s.example/{i}", body(i)) for i in range(4)]) == [f"Story {i} of the day Part {i} More {i * i}" for i in range(4)]
+    copies = [("http://c.example/1", body(1))] * 6 + [("http://c.example/2", page("<div>Another</div><div>Story two</div>"))]
+    assert "Part 1" in texts_of(spark, copies)[0]
+
+
 def test_html_telling_word_after_many_classes(spark):
     many = "mt-4 flex items-center justify-between rounded-lg border bg-white p-6 shadow"
     pages = [("http://w.example/1", page(f'<div class="{many} cookie-banner">We set cookies</div><div class="{many} story">Words of the story</div>'))]
