@@ -2,7 +2,8 @@
 
 Pages become trees of their block elements; runs of equal siblings fold into one repeated node. The most frequent tree of
 a host is its reference, and simple tree matching aligns every other tree of the host with it. Over all pages of the host, an aligned
-node whose text never changes belongs to the template, a varying one is a slot. A text that stands at one path of element keys on more than two thirds of
+node whose text never changes belongs to the template, a varying one is a slot; nodes that align with none of the
+reference are judged within their own tree. A text that stands at one path of element keys on more than two thirds of
 the host's pages with that path is template as well, beside varying siblings and across layouts. Slots become content unless their
 place says otherwise (navigation, page header and footer, asides, forms, notices, adverts, reader comments, by element,
 role, class or id); where pages mark an article or main element, content is what lies inside it.
@@ -400,9 +401,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     some = same.where(~F.col("one_text") & ~F.col("always_furniture")).select("host").unionByName(slots.where(~F.col("furniture") & (F.col("least") != F.col("greatest"))).select("host"))
     varies = some.distinct().withColumn("varies", F.lit(True))
     slots = slots.join(same.drop("always_furniture", "several"), ["host", "ref_slot"], "left").join(varies, "host", "left")
+    own = (F.col("least") == F.col("greatest")) & (F.col("first") != F.col("last"))  # of nodes that align with none of the reference
     share = F.coalesce(F.try_divide(F.coalesce("all_links", "links"), F.coalesce("all_chars", "chars")), F.lit(0.0))
     has_root = F.max(F.col("rooted") & ~F.col("furniture") & (F.coalesce("chars", F.lit(0)) > 0)).over(Window.partitionBy("host", "form_key"))
-    template = F.coalesce(F.col("constant") & F.col("varies"), F.lit(False))
+    template = F.coalesce(F.coalesce("constant", own) & F.col("varies"), F.lit(False))
     keep = ~F.col("furniture") & ~template & F.when(has_root, F.col("rooted")).otherwise(share < 0.5)
     told = slots.withColumn("keep", keep).groupBy("host", "form_key").agg(F.array_sort(F.collect_list(F.struct("slot", "keep"))).alias("k"))
     common = common.join(varies.select("host"), "host")

@@ -203,6 +203,13 @@ def test_html_constant_siblings_are_template(spark):
     assert "Part 1" in texts_of(spark, copies)[0]
 
 
+def test_html_every_layout_has_a_template(spark):
+    one = lambda i: page(f"<div class=a><p>Story {i}</p></div><div class=b>Line of all</div>")
+    two = lambda i: page(f"<div class=mobile><div class=c>Read in the app</div><div class=d>Short {i}</div></div>")
+    pages = [("http://l.example/", one(i)) for i in range(5)] + [("http://l.example/", two(i)) for i in range(4)] + [("http://m.example/", two(i)) for i in range(2)]
+    assert texts_of(spark, pages) == [f"Story {i}" for i in range(5)] + [f"Short {i}" for i in range(4)] + [f"Short {i}" for i in range(2)]
+
+
 def test_html_telling_word_after_many_classes(spark):
     many = "mt-4 flex items-center justify-between rounded-lg border bg-white p-6 shadow"
     pages = [("http://w.example/1", page(f'<div class="{many} cookie-banner">We set cookies</div><div class="{many} story">Words of the story</div>'))]
