@@ -7,6 +7,8 @@ and around), from templates whose family words are replaced by invented ones (un
 bounded sample of the corpus (SAMPLE documents drawn by hash). A temperature fitted on a held-out part calibrates the
 probabilities. A family is given only if its probability reaches LEAST and a template of the family confirms
 it: the share of the template's word pairs found in the paragraph reaches CONFIRMED; otherwise the paragraph is unknown.
+Notices that are wrapped over lines are found by joining: neighbouring lines without a blank one between them are classified and
+confirmed together where they hold more of a template than each of them, and count as one licence paragraph.
 
 Defined results: null and empty texts have no paragraphs; lines without words are no paragraphs; repeated rows each get their
 row; very long texts are read whole; empty tables give empty tables; extra columns pass."""
@@ -55,7 +57,7 @@ TEMPLATES = {
 COMMON_FRAME = set("this work program source code form file software is are licensed released under the a of license licence version v or later terms subject to 1 2 3 4 0 international public general and".split())
 CLASSES = ["ordinary", *TEMPLATES, "unknown"]
 SAMPLE, LONGEST_DRAWN, MOST_PARAGRAPHS = 300, 20_000, 3000
-LEAST, CONFIRMED = 0.5, 0.6
+LEAST, CONFIRMED, RESEMBLES = 0.5, 0.6, 0.2
 COPIES = 60
 
 
@@ -83,6 +85,10 @@ class Paragraphs:
         #: First word of each paragraph, and paragraphs before each text.
         self.first = np.append(np.flatnonzero(new), len(line))
         self.before = np.searchsorted(self.first[:-1], w.first)
+        #: Whether a paragraph stands on the line right after the one before, in the same text.
+        self.follows = np.zeros(len(self.first) - 1, bool)
+        self.follows[1:] = np.diff(line[new]) == 1
+        self.follows[self.before[self.before < len(self.follows)]] = False
 
 
 class Classifier:
@@ -196,6 +202,45 @@ def train(docs: DataFrame) -> Classifier:
     return fit([line for line in lines if not any(c in line.lower() for c in cues)][:MOST_PARAGRAPHS])
 
 
+def runs(which: np.ndarray, follows: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of two and more neighbouring lines that begin and end with one of which, with at most one other between two of these."""
+    out: list[list[int]] = []
+    for k in which.tolist():
+        if out and k - out[-1][1] < 2 and follows[out[-1][1] : k + 1].all():
+            out[-1][1] = k + 1
+        else:
+            out.append([k, k + 1])
+    return [(i, j) for i, j in out if j - i > 1]
+
+
+def windows(lines: list[list[bytes]], templates: list[set[tuple]]) -> list[tuple[int, int, int]]:
+    """(word pairs, first, last) of two and more neighbouring lines that together confirm a template better than any one of them;
+    most pairs first. A window has at most three times as many words as the template has pairs, and 30 more."""
+    out = []
+    words = [x for line in lines for x in line]
+    row = [i for i, line in enumerate(lines) for _ in line]
+    pairs = list(zip(words, words[1:], row, row[1:], strict=False))
+    for template in templates:
+        hits = [((a, b), i, j) for a, b, i, j in pairs if (a, b) in template]
+        if len({h[0] for h in hits}) < CONFIRMED * len(template):
+            continue
+        alone = [len({h[0] for h in hits if h[1] == h[2] == i}) for i in range(len(lines))]
+        for first in sorted({h[1] for h in hits}):
+            seen: set = set()
+            size, last, at, inside = len(lines[first]), first, [h for h in hits if h[1] >= first], 0
+            best = (0, first)
+            while last + 1 < len(lines) and size + len(lines[last + 1]) <= 3 * len(template) + 30:
+                last += 1
+                size += len(lines[last])
+                while inside < len(at) and at[inside][2] <= last:
+                    seen.add(at[inside][0])
+                    inside += 1
+                best = max(best, (len(seen), last), key=lambda x: (x[0], -x[1]))
+            if best[0] >= CONFIRMED * len(template) and best[0] > max(alone[first : best[1] + 1]):
+                out.append((best[0], first, best[1]))
+    return sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1]))
+
+
 _SPAN = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
 ADDED = [("n_paragraphs", "bigint"), ("licences", "array<struct<family:string,start:bigint,end:bigint,score:double,overlap:double>>")]
 
@@ -209,21 +254,53 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
         w = p.words
         templates = {f: [pairs_of(_words(t)) for t in ts] for f, ts in TEMPLATES.items()}
         out: list[list] = [[] for _ in range(len(column))]
-        which, prob = clf.probabilities(w.hash, p.unit)
-        for k, q in zip(which, prob, strict=True):
-            if q[0] >= 0.5:
-                continue
-            i, j = p.first[k], p.first[k + 1]
-            own = pairs_of([w.low[w.start[x] : w.end[x]].tobytes() for x in range(i, j)])
+
+        def words(i: int, j: int) -> list[bytes]:
+            return [w.low[w.start[x] : w.end[x]].tobytes() for x in range(i, j)]
+
+        def judged(q: np.ndarray, i: int, j: int) -> tuple[bool, dict]:
+            own = pairs_of(words(i, j))
             best = int(q[1:-1].argmax()) + 1
             family = CLASSES[best]
             overlap = max(len(t & own) / len(t) for t in templates[family])
-            known = q[best] >= LEAST and overlap >= CONFIRMED
-            d = int(np.searchsorted(w.first, i, "right")) - 1
-            base = w.off[d]
+            known = bool(q[best] >= LEAST and overlap >= CONFIRMED)
+            base = w.off[int(np.searchsorted(w.first, i, "right")) - 1]
             start = len(w.low[base : w.start[i]].tobytes().decode("utf-8", "replace"))
             size = len(w.low[w.start[i] : w.end[j - 1]].tobytes().decode("utf-8", "replace"))
-            out[d].append({"family": family if known else "unknown", "start": start, "end": start + size, "score": float(q[best] if known else 1 - q[0]), "overlap": overlap})
+            return known, {"family": family if known else "unknown", "start": start, "end": start + size, "score": float(q[best] if known else 1 - q[0]), "overlap": overlap}
+
+        which, prob = clf.probabilities(w.hash, p.unit)
+        found = {int(k): judged(q, p.first[k], p.first[k + 1])[1] for k, q in zip(which, prob, strict=True) if q[0] < 0.5}
+        every = [t for ts in templates.values() for t in ts]
+        for i, j in runs(which, p.follows):
+            taken: set = set()
+            for _, first, last in windows([words(p.first[k], p.first[k + 1]) for k in range(i, j)], every):
+                lines = range(i + first, i + last + 1)
+                if taken & {*lines}:
+                    continue
+                a, b = p.first[lines[0]], p.first[lines[-1] + 1]
+                _, q = clf.probabilities(w.hash[a:b], np.zeros(b - a, np.int64))
+                known, span = judged(q[0], a, b) if len(q) else (False, {})
+                if not known:
+                    continue
+                # lines beside it that are unknown and resemble no template carry on the notice
+                first_, last_ = lines[0], lines[-1]
+                while first_ > i and (f := found.get(first_ - 1)) and f["family"] == "unknown" and f["overlap"] < RESEMBLES and first_ - 1 not in taken:
+                    first_ -= 1
+                while last_ + 1 < j and (f := found.get(last_ + 1)) and f["family"] == "unknown" and f["overlap"] < RESEMBLES and last_ + 1 not in taken:
+                    last_ += 1
+                if first_ < lines[0] or last_ > lines[-1]:
+                    lines = range(first_, last_ + 1)
+                    a, b = p.first[first_], p.first[last_ + 1]
+                    wider, more = judged(q[0], a, b)
+                    span = more if wider else span
+                if {found[k]["family"] for k in lines if k in found} <= {span["family"], "unknown"}:
+                    taken |= {*lines}
+                    for k in lines:
+                        found.pop(k, None)
+                    found[lines[0]] = span
+        for k in sorted(found):
+            out[int(np.searchsorted(w.first, p.first[k], "right")) - 1].append(found[k])
         return [pa.array(np.diff(p.before)), pa.array(out, _SPAN)]
 
     return arrow_columns(docs, "text", ADDED, compute, 2 << 20)

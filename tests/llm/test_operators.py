@@ -91,6 +91,28 @@ def test_licences(spark, prose):
     assert got[5] == [] and got[6] == [] and [x.family for x in got[7]] in ([], ["unknown"])
 
 
+def test_licences_wrapped_notices(spark, prose):
+    import textwrap
+
+    notices = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+    }
+    wrapped = [textwrap.fill(t, width) for width in (40, 72) for t in notices.values()]
+    texts = [f"{prose(i, 20)}\n\n{t}\n\n{prose(i + 50, 20)} é" for i, t in enumerate(wrapped)]
+    texts.append("\n\n".join(wrapped[4:]))
+    texts.append("# " + wrapped[0].replace("\n", "\r\n# "))
+    docs = table(spark, texts)
+    rows = licences.scan(docs, licences.train(table(spark, [prose(i, 60) for i in range(40)]))).orderBy("doc_id").collect()
+    for r, text, family in zip(rows, wrapped, [*notices] * 2, strict=False):
+        assert [x.family for x in r.licences] == [family], text
+        span = r.text[r.licences[0].start : r.licences[0].end]
+        assert text.startswith(span) and len(span) > len(text) / 2 and r.n_paragraphs == len(text.split("\n")) + 2
+    assert [x.family for x in rows[8].licences] == [*notices] and [x.family for x in rows[9].licences] == ["MIT"]
+
+
 def test_licences_odd(spark, odd_docs):
     model = licences.train(odd_docs)
     assert licences.scan(odd_docs, model).count() == 11 and licences.scan(empty(odd_docs), licences.train(empty(odd_docs))).count() == 0
