@@ -7,7 +7,8 @@ every match is confirmed on the words themselves. Documents never leave their pa
 test items are sent to all shards in blocks of bounded size.
 
 Defined results: null or empty texts have no words and no hits; an item without words matches nothing; items of the same id
-count once; an empty table gives an empty table; extra columns pass or are dropped by the caller."""
+count once; items with a null id count as one item without a name, a null at the end of the items, in
+scan and not in decontaminate, which leaves them out; an empty table gives an empty table; extra columns pass or are dropped by the caller."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ BLOCK_BYTES = 16 << 20
 class Items:
     """A block of test items: the words of all, and each suffix that can begin a window."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str], window: int):
         words = Words(pa.array(texts, pa.string()))
         self.ids, self.hash = ids, words.hash
         length = np.diff(words.first)
@@ -134,15 +135,15 @@ ADDED = [("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"),
 
 
 def item_blocks(benchmark: DataFrame, window: int) -> list:
-    """The test items as broadcasts, each of about BLOCK_BYTES at most, cut by a hash of the item id."""
+    """The test items as broadcasts, each of about BLOCK_BYTES at most, cut by a hash of the item id, or of the text where that is null."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = total // BLOCK_BYTES + 1
     blocks = []
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        got = sorted((r.i, r.t) for r in part.collect())
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(n)) == k)
+        got = sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
         blocks.append(spark.sparkContext.broadcast(Items([i for i, _ in got], [t for _, t in got], window)))
     return blocks
 
@@ -175,7 +176,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, names: list[st
         covered = np.concatenate(([0], np.cumsum(np.cumsum(hit)[:-1] > 0)))
         n_hit = covered[words.first[1:]] - covered[words.first[:-1]]
         kind = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
-        return [pa.array(np.diff(words.first)), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(longest), pa.array(spans, kind)]
+        return [pa.array(np.diff(words.first)), pa.array(n_hit), pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())), pa.array(longest), pa.array(spans, kind)]
 
     names = names or [n for n, _ in ADDED]
     return arrow_columns(docs, "text", list(zip(names, [t for _, t in ADDED], strict=True)), compute, SHARD_BYTES)
@@ -184,7 +185,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, names: list[st
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without those that hold any window of any item; the columns of docs."""
     names = [fresh(docs, f"decontam_{n}") for n, _ in ADDED]
-    return scan(docs, benchmark, window, names).where(F.col(names[1]) == 0).select(*docs.columns)
+    named = benchmark.where("item_id is not null")  # as the tests of odd inputs have it
+    return scan(docs, named, window, names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 _UP, _DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

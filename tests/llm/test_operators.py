@@ -177,6 +177,16 @@ def test_decontamination_odd(spark, odd_docs, prose):
     assert decontam.decontaminate(odd_docs, empty(bench)).count() == 11 and decontam.decontaminate(empty(odd_docs), bench).count() == 0
 
 
+def test_decontamination_items_without_id(spark, prose):
+    passage = prose(70, 14)
+    docs = table(spark, [f"before it {passage} after it", prose(71, 30)])
+    bench = spark.createDataFrame([(None, passage), ("b", passage), (None, prose(72, 12)), ("c", None)], "item_id string, text string")
+    got = decontam.scan(docs, bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r["items"]) for r in got] == [(14, ["b", None]), (0, [])]
+    alone = bench.where("item_id is null")
+    assert [(r.n_hit, r["items"]) for r in decontam.scan(docs, alone).orderBy("doc_id").collect()] == [(14, [None]), (0, [])]
+
+
 # --- 4 HTML ------------------------------------------------------------------------------------------------------------
 
 
