@@ -242,6 +242,16 @@ def text_files(spark, sf_dir):
     return read.agg(F.count("*").alias("n_files"), F.sum(F.length("text") - 1).alias("n_chars"))
 
 
+@query("text_files_all")
+def text_files_all(spark, sf_dir):
+    """text_files over the whole benchmark table; a null text is an empty file."""
+    path = _folder(spark)
+    items = tables.read(spark, sf_dir, "benchmark").select(F.coalesce("text", F.lit("")).alias("text"))
+    items.write.option("maxRecordsPerFile", 1).text(path)  # one file each, with a line end after the text
+    read = tables.text_files(spark, path).where("text != ''")
+    return read.agg(F.count("*").alias("n_files"), F.sum(F.length("text") - 1).alias("n_chars"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 

@@ -294,6 +294,13 @@ def leave_one_out(spark, sf_dir):
     return f.select("doc_id", "word", (F.length("text") - F.length(rewriting.without_word(F.col("text"), F.col("word")))).cast("long").alias("n_removed"))
 
 
+@query("leave_one_out_all")
+def leave_one_out_all(spark, sf_dir):
+    """leave_one_out on every document with a word, with words and word edges of any script; SQL's know ASCII only."""
+    f = documents(spark, sf_dir).select("doc_id", "text", F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0).alias("word")).where("word != ''")
+    return f.select("doc_id", "word", (F.length("text") - F.length(rewriting.without_word(F.col("text"), F.col("word")))).cast("long").alias("n_removed"))
+
+
 _SYN = ", ".join(f"({quoted(k)}, {i + 1}, {quoted(s)})" for k, v in fixed.SYNONYMS.items() for i, s in enumerate(v))
 
 
