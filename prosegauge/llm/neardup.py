@@ -1,11 +1,13 @@
-"""N-gram Jaccard join: MinHash LSH forest over shingles of five words, exact verification at 0.8.
+"""N-gram Jaccard join: MinHash bands of fixed depth over shingles of five words, exact verification at 0.8.
 
-Words are those of the decontamination operator (ASCII lower-cased). Texts of one word sequence are one node. Each node
-has `trees` signatures of up to `longest` MinHash labels; a tree's sorted signatures form a prefix trie, and nodes under
-one trie node of depth d are candidates. d starts at the longest prefix and is shortened until the expected recall at
-the threshold, 1 - (1 - t**d)**trees, reaches the target (0.9999; 24 trees give d = 5).
+Words are those of the decontamination operator (ASCII lower-cased). Texts of one word sequence are one node. This is an LSH
+forest reduced to bands of one depth: the depth d is worked out once, from `longest` down, as the first with an expected recall
+at the threshold, 1 - (1 - t**d)**trees, of at least the target (0.9999; 24 trees give d = 5). Only those d MinHash labels of
+each tree are computed, as one key, and nodes of one key are candidates; no sorted signatures are kept and no prefix is
+shortened from the data. For a join at one fixed threshold all nodes need the same depth: prefixes longer than d would find no
+further candidates, and the recall at d is what is asked for.
 
-Candidates are kept as components of the trie nodes, not as pairs. Each component's exact shingle sets are compared
+Candidates are kept as components of the nodes of one key, not as pairs. Each component's exact shingle sets are compared
 by block products (large ones as pairs of blocks, dealt to different tasks), so every pair of the component is checked
 and links are counted, while only labels and counts leave a task.
 
