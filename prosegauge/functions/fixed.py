@@ -71,11 +71,11 @@ LOCKED = {
 }
 
 # Invisible carriers, and letters that look like ASCII ones.
-INVISIBLE = "​‌⁠﻿"
+INVISIBLE = "\u200b\u200c\u2060\ufeff"
 LOOKALIKES, ASCII_LETTERS = "асеорхуАВСЕНКМОРТХ", "aceopxyABCEHKMOPTX"
 
 # Opener phrases and swaps of the scripted rewrite.
-DROPPED_OPENERS = "Moreover Furthermore Additionally Overall In_conclusion In_summary Notably Importantly Consequently Therefore Thus Hence".split()
+DROPPED_OPENERS = ["Moreover", "Furthermore", "Additionally", "Overall", "In conclusion", "In summary", "Notably", "Importantly", "Consequently", "Therefore", "Thus", "Hence"]
 SWAPS = {
     "numerous": "many", "significant": "real", "significantly": "sharply", "fundamentally": "deeply", "various": "different", "crucial": "key",
     "essential": "needed", "represents": "is", "enables": "lets", "enabled": "let", "utilize": "use", "utilizing": "using",

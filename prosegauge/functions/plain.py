@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from math import floor, sqrt
 
 from . import fixed
@@ -116,45 +119,70 @@ def importance(text: str) -> list[tuple[str, float]]:
     return sorted(drops, key=lambda x: -x[1])
 
 
-def substituted(text: str, threshold: float = fixed.THRESHOLD, most: int = 8) -> tuple[str, int]:
-    """Greedy swaps of the most important words for the first synonym that lowers the score; the text and how many."""
-    now, swaps, score = text, 0, top_score(text)
-    for word, drop in importance(text):
-        if swaps >= most or score < threshold:
-            break
-        if drop <= 0:
-            continue
-        for synonym in list(dict.fromkeys(fixed.SYNONYMS.get(word.lower(), [])))[:6]:
-            candidate = re.sub(rf"\b{re.escape(word)}\b", lambda _, s=synonym: s, now, count=1)
-            if (lower := top_score(candidate)) < score:
-                now, swaps, score = candidate, swaps + 1, lower
-                break
-    return now, swaps
+@dataclass(frozen=True)
+class Draft:
+    """A text under revision: its reading, how many words were swapped, and the place of the word swapped last."""
 
+    text: str
+    reading: float
+    swaps: int = 0
+    place: int = -1
 
-_OPENERS = re.compile(rf"^({'|'.join(fixed.DROPPED_OPENERS).replace('_', ' ')}),?\s+", re.I)
-_SWAPS = [(re.compile(rf"\b{re.escape(k)}\b", re.I), v) for k, v in fixed.SWAPS.items()]
+
+def swap_table(text: str, synonyms: Mapping[str, Sequence[str]], most: int = 6) -> list[tuple[int, str, str]]:
+    """(place, word, synonym) of the words without which the reading falls, most telling first; at most six a word, without repeats."""
+    telling = [word for word, drop in importance(text) if drop > 0]
+    return [(place, word, s) for place, word in enumerate(telling) for s in list(dict.fromkeys(synonyms.get(word.lower(), ())))[:most]]
+
+
+def revised(draft: Draft, entry: tuple[int, str, str], goal: float, most: int) -> Draft:
+    """The draft with one entry of the swap table put in, if it may still change, its word is not swapped yet and the reading falls."""
+    place, word, synonym = entry
+    if place == draft.place or draft.swaps >= most or draft.reading < goal:
+        return draft
+    found = re.search(rf"\b{re.escape(word)}\b", draft.text)
+    if found is None:
+        return draft
+    text = draft.text[: found.start()] + synonym + draft.text[found.end() :]
+    reading = top_score(text)
+    return Draft(text, reading, draft.swaps + 1, place) if reading < draft.reading else draft
+
+
+def substituted(text: str, threshold: float = fixed.THRESHOLD, most: int = 8, synonyms: Mapping[str, Sequence[str]] = fixed.SYNONYMS) -> tuple[str, int]:
+    """A scan of the swap table that keeps each swap under which the reading falls; the text and how many."""
+    start = Draft(text, top_score(text))
+    if start.reading < threshold or most < 1:
+        return text, 0
+    end = reduce(lambda draft, entry: revised(draft, entry, threshold, most), swap_table(text, synonyms), start)
+    return end.text, end.swaps
+
+
+_OPENERS = re.compile(rf"^({'|'.join(map(re.escape, fixed.DROPPED_OPENERS))}),?\s+", re.I)
+
+
+def without_opener(sentence: str) -> str:
+    rest = _OPENERS.sub("", sentence)
+    return rest[:1].upper() + rest[1:] if rest[:1].islower() else rest
+
+
+def paired(block: list[str]) -> list[str]:
+    """The first two sentences of a block as one, then the others."""
+    if len(block) < 2:
+        return block
+    first, second = (s.rstrip(".") for s in block[:2])
+    return [f"{first}, and {second[:1].lower()}{second[1:]}.", *block[2:]]
 
 
 def scripted(text: str, strength: float) -> str:
-    """The scripted rewrite: openers go, neighbouring sentences join, phrases are swapped."""
-    pieces = [s for s in KEEP.split(text.strip()) if s.strip()]
-    for i, s in enumerate(pieces):
-        if strength >= 0.5 or i % 2 == 0:
-            s = _OPENERS.sub("", s)
-            pieces[i] = s[0].upper() + s[1:] if s and s[0].islower() else s
-    period, out, i = max(2, 4 - round(2 * strength)), [], 0
-    while i < len(pieces):
-        here = pieces[i].strip()
-        if len(pieces) > 1 and strength > 0 and i % period == 0 and i + 1 < len(pieces):
-            there = pieces[i + 1].strip().rstrip(".")
-            out.append(f"{here.rstrip('.')}, and {there[:1].lower()}{there[1:]}.")
-            i += 2
-        else:
-            out.append(here if len(pieces) > 1 else pieces[i])
-            i += 1
-    joined = " ".join(out)
-    if strength >= 0.34:
-        for pattern, word in _SWAPS:
-            joined = pattern.sub(word, joined)
-    return joined
+    """The scripted rewrite: sentences lose their openers (all, or every other one under half strength), each block of two
+    to four sentences begins with a pair that is joined, and from a third of the strength on phrases are swapped."""
+    sentences = [s for s in KEEP.split(text.strip()) if s]
+    every = 1 if strength >= 0.5 else 2
+    sentences[::every] = map(without_opener, sentences[::every])
+    if strength > 0:
+        size = max(2, 4 - round(2 * strength))
+        sentences = [s for at in range(0, len(sentences), size) for s in paired(sentences[at : at + size])]
+    out = " ".join(sentences)
+    for word, put in fixed.SWAPS.items() if strength >= 0.34 else ():
+        out = re.sub(rf"\b{re.escape(word)}\b", put, out, flags=re.I)
+    return out

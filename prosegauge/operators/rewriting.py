@@ -252,8 +252,8 @@ def closed_loop(
 
 # --- training rows -----------------------------------------------------------------------------------------------------
 
-# Fixed value: the prompt of training rows.
-PROMPT = "Rewrite the following text so it reads as natural human writing while preserving its exact meaning:\n\n"
+#: The instruction before each training row's source.
+PROMPT = "Put this text into your own plain words and change nothing of what it says.\n\n"
 
 
 def distilled(sources: DataFrame, results: DataFrame, bar: float = fixed.EMBEDDING_BAR) -> DataFrame:
