@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, lean_group, small_batches
+
 
 def place(members: DataFrame, block_nodes: int, block_bytes: int, shard_bytes: int) -> tuple[DataFrame, int]:
     """members (node, comp, weight in bytes, ...) with the number of blocks of each component; the number of shared tasks."""
-    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes"))
+    sizes = checkpointed(members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")))  # a plain side of the join: a large component can be split
     blocks = F.greatest(F.ceil(F.col("n") / block_nodes), F.ceil(F.col("bytes") / block_bytes), F.lit(1))
     total = members.agg(F.sum("weight")).first()[0] or 0
     return members.join(sizes.select("comp", blocks.cast("long").alias("blocks")), "comp"), int(total // shard_bytes) + 1
@@ -33,7 +35,12 @@ def compare(placed: DataFrame, shards: int, linked: Callable[[list[bytes], np.nd
         F.when(one, F.lit(b"")).otherwise(F.col("comp")).alias("big"),
         F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
     )
-    return dealt.groupBy("shard", "big", "bi", "bj").applyInArrow(lambda t: _task(t, linked), "node binary, label binary, links bigint")
+    small_batches(placed.sparkSession)
+
+    def run(task: pa.Table) -> pa.Table:
+        return _task(task, linked)
+
+    return dealt.groupBy("shard", "big", "bi", "bj").applyInArrow(lean_group(run), "node binary, label binary, links bigint")
 
 
 def settle(ok: np.ndarray) -> np.ndarray:

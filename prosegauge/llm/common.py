@@ -1,28 +1,40 @@
-"""What the training-data operators share: tables, reliable checkpoints and row-local Arrow passes."""
+"""What the training-data operators share: tables, reliable checkpoints, free column names and row-local Arrow passes."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import read
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default of 64 MB and more.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
+    """The checkpoint folder of spark.checkpoint.dir, which all executors share. Where none is set, a session whose tasks run
+    in this process gets one of its own; any other raises, since its executors could not see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return context.getCheckpointDir()
 
 
@@ -32,6 +44,56 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers, unless the session bounds them below 1 MB itself."""
+    if re.fullmatch(r"\d{1,6}b?", spark.conf.get(_BATCH_CONF).lower()) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+@functools.cache
+def _libc() -> Any:
+    """The C library, told once to give arrays of 1 MB and more back to the system when they are freed; None if it has no such call."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)
+        libc.malloc_trim(0)
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(run: Callable[..., Any]) -> Callable[..., Any]:
+    """run for a Python worker that serves many tasks: what one task freed does not stay with the worker."""
+
+    def given_back() -> None:
+        pa.default_memory_pool().release_unused()
+        if (libc := _libc()) is not None:
+            libc.malloc_trim(0)
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _libc()
+        try:
+            yield from run(batches)
+        finally:
+            given_back()
+
+    return over_batches
+
+
+def lean_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for one group, or a pair of cogroups."""
+
+    def over_one(a: pa.Table) -> pa.Table:
+        _libc()
+        return run(a)
+
+    def over_two(a: pa.Table, b: pa.Table) -> pa.Table:
+        _libc()
+        return run(a, b)
+
+    return over_two if run.__code__.co_argcount == 2 else over_one
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -40,6 +102,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """df less its own columns of these names, in any case: results take their place."""
+    gone = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in gone])
+
+
 def text_slices(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most max_bytes of text each, or of a single longer row: whole texts in bounded memory."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -62,9 +130,12 @@ def arrow_columns(
 ) -> DataFrame:
     """df with columns computed from text_col, slice by slice, in one pass without a shuffle.
 
-    compute gets a string array (nulls kept) and returns one array for each added (name, type)."""
+    compute gets a string array (nulls kept) and returns one array for each added (name, type). df's own columns of the
+    added names go, in any case, so that every result can be read."""
+    df = without(df, [n for n, _ in added])
     schema = T.StructType(df.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in added])
     at = df.columns.index(text_col)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,15 +144,21 @@ def arrow_columns(
                 extra = compute(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, *(n for n, _ in added)])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
+
+
+def hash_drawn(rows: DataFrame, share: Column) -> DataFrame:
+    """The distinct rows whose hash falls under their share: a filter, so that no task or driver gathers more than it keeps, and
+    the same rows in whatever order they come. Rows that are repeated, however often, are drawn together and count once."""
+    place = F.pmod(F.xxhash64(*rows.columns, F.lit("drawn")), F.lit(1 << 30))
+    kept = rows.where(place < share * (1 << 30)).select(place.alias("place_"), F.struct(*rows.columns).alias("row_"))
+    return kept.groupBy("place_").agg(F.min("row_").alias("row_")).select("row_.*")
 
 
-def drawn(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
-    """About size rows, and never more than three times as many, by a hash of the key: a filter, so that no task or driver
-    gathers more than it keeps. Needs the count of rows."""
+def drawn(rows: DataFrame, size: int) -> DataFrame:
+    """About size distinct rows by their hash, all if there are fewer. Needs the count of rows."""
     total = rows.count()
-    share = F.lit(min(1.0, size / total) if total else 1.0)
-    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("drawn")), F.lit(1 << 30)) < share * (1 << 30)).limit(3 * size)
+    return hash_drawn(rows, F.lit(min(1.0, size / total) if total else 1.0))
 
 
 def crc32_of_id(id_col: str = "doc_id"):

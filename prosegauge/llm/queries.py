@@ -59,7 +59,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return neardup.classes(table(spark, sf_dir, "documents"))
 
 
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,6 +369,65 @@ def test_jaccard_odd(spark, odd_docs):
     assert neardup.keep_one(empty(odd_docs)).count() == 0
 
 
+def test_prefix_shortens_further_where_links_are_missed():
+    assert neardup.prefix_depth(0.8, 24, 8, 0.9999, {d: 1.0 if d < 4 else 0.99 for d in range(1, 9)}) == 3
+    assert neardup.prefix_depth(0.8, 24, 8, 0.9999, {}) == 5
+
+
+def test_forest_neighbours_are_the_prefix_groups(spark):
+    """Nodes under one prefix are connected by neighbours of the sorted signatures, also over range borders, and no others are."""
+    rng = np.random.default_rng(4)
+    trees, longest, depth = 3, 4, 2
+    sig = rng.integers(0, 2, (200, trees, longest)).astype(">u2")
+    sig[:, :, 0] = rng.integers(0, 30, (200, trees))
+    nodes = spark.createDataFrame([(bytearray(f"{i:04d}".encode()), bytearray(x.tobytes())) for i, x in enumerate(sig)], "name binary, signatures binary")
+    edges = neardup.neighbours(nodes, trees, longest, depth).collect()
+    label = list(range(200))
+    for a, b in ((int(e.a), int(e.b)) for e in edges):
+        assert any((sig[a, t, :depth] == sig[b, t, :depth]).all() for t in range(trees))
+        x, y = sorted((label[a], label[b]))
+        label = [x if v == y else v for v in label]
+    want = list(range(200))
+    for t in range(trees):
+        groups: dict = {}
+        for i in range(200):
+            groups.setdefault(tuple(sig[i, t, :depth]), []).append(i)
+        for g in groups.values():
+            for i in g[1:]:
+                x, y = sorted((want[g[0]], want[i]))
+                want = [x if v == y else v for v in want]
+    assert label == want and len(edges) <= 200 * trees
+
+
+def test_forest_audit_counts_all_links(spark, near_texts):
+    docs = table(spark, near_texts)
+    found = neardup.audit(docs, 0.8, neardup.TREES, neardup.LONGEST, 10_000)
+    distinct = list({tuple(words(t)): t for t in near_texts if words(t)}.values())
+    sets = [brute_links([a])[0] for a in distinct]
+    links, _ = brute_links(distinct)
+    of = Counter(tuple(words(t)) for t in near_texts)
+    pairs = sum(of[tuple(words(b))] for a in distinct for b in distinct if a != b and brute_links([a, b])[0][0])
+    assert len(sets) == len(links) and sum(found.links.values()) == pairs and min(found.recall().values()) > 0.9
+    assert {r.recall for r in neardup.classes(docs).collect()} == {1.0}
+    assert {r.recall for r in neardup.classes(table(spark, ["a lone text"])).collect()} == {None}
+
+
+def test_jaccard_keeps_one_row_of_each_class(spark, prose):
+    a = prose(80, 60)
+    rows = [(3, a, "x"), (5, a + " end", "x"), (5, prose(81, 60), "x"), (5, a, "y"), (7, prose(82, 60), "m"), (7, prose(82, 60), "n"), (None, a, "z"), (2**53 + 1, prose(83, 50), "p"), (-4, prose(83, 50), "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(docs).collect()]
+    assert sorted(kept) == sorted([(3, a), (5, prose(81, 60)), (7, prose(82, 60)), (-4, prose(83, 50))])
+    got = {(r.doc_id, r.class_id, r.n_links) for r in neardup.classes(docs).collect()}
+    assert got == {(3, 3, 3), (5, 3, 3), (None, 3, 3), (5, 5, 0), (7, 7, 1), (2**53 + 1, -4, 1), (-4, -4, 1)}
+
+
+def test_jaccard_reads_clashing_columns(spark, near_texts):
+    docs = table(spark, near_texts).selectExpr("*", "1 AS node", "2 AS rid", "3 AS id", "4 AS label", "5 AS mark_", "6 AS n_links", "7 AS name")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == neardup.keep_one(table(spark, near_texts)).count()
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (130, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
