@@ -17,10 +17,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out = np.full(max(n, 1 << 18), base, np.uint64)
         out[0] = 1
         _powers[base] = have = np.multiply.accumulate(out)
-    if len(have) > 1 << 25:  # one very long text; not kept
+    if len(have) > 1 << 20:  # one long buffer; not kept
         _powers.pop(base)
     return have[:n]
 

@@ -10,8 +10,9 @@ The field is fitted on a bounded sample: about PER_LANGUAGE documents of each la
 out of all those given as training rows. Everything else runs over whole texts of all rows.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any labelled training row
-every text is; ties go to the first language in order; very long texts are one sequence, worked through in chunks of
-bounded memory; empty tables give empty tables; extra columns pass through."""
+every text is; ties go to the first language in order; very long texts are one sequence, worked through in chunks; repeated
+rows each get their row, and are drawn once for the sample; empty tables give empty tables; extra columns pass through,
+but for those named as the results, which are replaced."""
 
 from __future__ import annotations
 
@@ -23,13 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrid import prefix_hashes, span_hashes
-from .common import arrow_columns, crc32_of_id, fresh
+from .common import arrow_columns, crc32_of_id, fresh, hash_drawn
 
-#: Bounds of the training sample: documents of a language, and code points of a document that may be drawn.
-PER_LANGUAGE = 400
+#: Bounds of the training sample: documents of a language, languages (those with most documents), and code points of a
+#: document that may be drawn. The weights take 3 MB a language, so the broadcast model is bounded by the second.
+PER_LANGUAGE, MOST_LANGUAGES = 400, 64
 LONGEST_DRAWN = 20_000
 #: Hash bits of a feature table, words of a training sequence, words of a chunk of forward-backward.
 BITS, SEQUENCE, CHUNK = 17, 60, 48
+#: Bytes of texts that a worker holds features of at once, or one longer text.
+SLICE = 1 << 18
 
 _tables: list = []
 
@@ -98,14 +102,15 @@ class Field:
         return out
 
 
-def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """Exact label probabilities of all words; em of all sequences on end, first their bounds.
+def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray, chunk: int = CHUNK, pairs: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Exact label probabilities of all words; em of all sequences on end, first their bounds. With pairs, also the exact
+    probability of each pair of labels at a word and the one before it, zeros at the first word of a sequence.
 
     Sequences are cut into chunks; products of step matrices carry the messages over chunks, and all chunks of all
     sequences advance together, so a long sequence costs no more per word than a short one."""
     n, labels = em.shape
     if not n:
-        return np.zeros((0, labels))
+        return (np.zeros((0, labels)), np.zeros((0, labels, labels))) if pairs else np.zeros((0, labels))
     e = np.exp((em - em.max(axis=1, keepdims=True)).astype(np.float64))
     a = np.exp(trans - trans.max())
     length = np.diff(first)
@@ -120,7 +125,7 @@ def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray, chunk
     # transfer matrix of each chunk; the first word of a sequence has no step into it
     m = np.broadcast_to(np.eye(labels), (c, labels, labels)).copy()
     for k in range(int(size.max())):
-        live = np.flatnonzero((k < size) & ~(opening if k == 0 else False))
+        live = np.flatnonzero((k < size) & ~opening if k == 0 else k < size)
         if len(live):
             step = (m[live].reshape(-1, labels) @ a).reshape(-1, labels, labels)
             step *= take(k)[live][:, None, :]
@@ -152,6 +157,7 @@ def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray, chunk
         alpha[begin[live] + k] = new
         msg = msg.copy() if k == 0 else msg
         msg[live] = new
+    forward = alpha.copy() if pairs else alpha
     beta = leave.copy()
     for k in range(int(size.max()) - 1, -1, -1):
         live = np.flatnonzero(k < size)
@@ -159,7 +165,17 @@ def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray, chunk
         alpha[at] *= beta[live]
         back = (beta[live] * e[at]) @ a.T
         beta[live] = back / back.sum(axis=1, keepdims=True)
-    return alpha / alpha.sum(axis=1, keepdims=True)
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    if not pairs:
+        return alpha
+    # a pair: forward message, transition, emission and backward message; the last two are what turns the step into the word's own
+    step = forward[:-1, :, None] * a[None]
+    arrived = step.sum(axis=1)
+    pair = np.zeros((n, labels, labels))
+    pair[1:] = step * (alpha[1:] / np.maximum(arrived, 1e-300))[:, None, :]
+    pair[first[:-1][length > 0]] = 0
+    pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)
+    return alpha, pair
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 3) -> Field:
@@ -192,18 +208,16 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 3) -> F
             sub.tri_first = np.concatenate(([0], np.cumsum(sizes)))
             sub.trigram = w.trigram[np.repeat(w.tri_first[at] - sub.tri_first[:-1], sizes) + np.arange(sub.tri_first[-1])]
             em = field.emissions(sub)
-            p = forward_backward(em, first, field.trans)
+            p, pair = forward_backward(em, first, field.trans, pairs=True)
             g = -p
             g[np.arange(len(y)), y] += 1
-            # transitions: observed less expected pairs, the expected ones by the product of neighbours' beliefs
+            # transitions: observed less expected pairs
             inner = np.ones(len(at), bool)
             inner[first[:-1]] = False
             i = np.flatnonzero(inner)
             seen = np.zeros((n, n))
             np.add.at(seen, (y[i - 1], y[i]), 1)
-            pair = p[i - 1][:, :, None] * np.exp(field.trans)[None] * p[i][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            gt = (seen - pair.sum(axis=0)) / len(i) if len(i) else np.zeros((n, n))
+            gt = (seen - pair.sum(axis=0)) / max(1, len(i))
             trans_sq += gt**2
             field.trans += 0.1 * gt / np.sqrt(trans_sq)
             g = g.astype(np.float32)
@@ -217,16 +231,14 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 3) -> F
 
 
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
-    """Fit on a bounded, hash-drawn sample of rows (doc_id, text, lang); None without a labelled row."""
-    rows = rows.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.where(F.length("text") <= LONGEST_DRAWN).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Fit on a bounded, hash-drawn sample of the distinct rows (doc_id, text, lang); None without a labelled row with a letter."""
+    rows = rows.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(F.length("text") <= LONGEST_DRAWN)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    got = rows.where((F.length("text") <= LONGEST_DRAWN) & (draw <= share)).limit(3 * per_language * len(counts)).collect()
-    got = sorted(((r.text, r.lang) for r in got if any(map(str.isalpha, r.text))), key=lambda x: (x[1], x[0]))
-    return fit([t for t, _ in got], [lang for _, lang in got]) if got else None
+    share = F.coalesce(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")], F.lit(0.0))
+    got = sorted((r.lang, r.text) for r in hash_drawn(rows, share).collect() if any(map(str.isalpha, r.text)))
+    return fit([t for _, t in got], [lang for lang, _ in got]) if got else None
 
 
 ADDED = [("lang_pred", "string"), ("score", "double")]
@@ -251,7 +263,7 @@ def predict(docs: DataFrame, field: Field | None, names: list[str] | None = None
             lang = [crf.labels[b] if n else "und" for b, n in zip(best, count, strict=True)]
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    return arrow_columns(docs, "text", [(names[0], "string"), (names[1], "double")], compute, 1 << 20)
+    return arrow_columns(docs, "text", [(names[0], "string"), (names[1], "double")], compute, SLICE)
 
 
 def word_labels(docs: DataFrame, field: Field, name: str = "runs") -> DataFrame:
@@ -273,7 +285,7 @@ def word_labels(docs: DataFrame, field: Field, name: str = "runs") -> DataFrame:
             out.append(runs)
         return [pa.array(out, kind)]
 
-    return arrow_columns(docs, "text", [(name, "array<struct<start:bigint,end:bigint,lang:string>>")], compute, 1 << 20)
+    return arrow_columns(docs, "text", [(name, "array<struct<start:bigint,end:bigint,lang:string>>")], compute, SLICE)
 
 
 def held_out() -> Column:
@@ -284,11 +296,20 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out())
 
 
-def reject(docs: DataFrame, field: Field | None, least: float | None = None) -> DataFrame:
-    """docs without those in no language: no letter, or no language's mean probability reaches `least`, by default 1.05
-    times the even chance. Texts that mix languages are documents and stay."""
+def noise(text: Column) -> Column:
+    """Share of runs of two and more symbols, which belong to no language, among these and the letter runs."""
+    runs = F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\p{Z}\s]{2,}"))
+    words = F.regexp_count(text, F.lit(r"\p{L}+"))
+    return F.when(words + runs > 0, runs / (words + runs)).otherwise(F.lit(0.0))
+
+
+def reject(docs: DataFrame, field: Field | None, least: float | None = None, most_noise: float = 1.0) -> DataFrame:
+    """docs without those in no language: no letter, `most_noise` or more of symbol runs among words and runs, or no language's
+    mean probability reaches `least`, by default 1.05 times the even chance. By default texts with letters stay however noisy
+    they are; 0.4 rejects those in which every other word is followed by symbols. Texts that mix languages are documents and stay."""
     names = [fresh(docs, f"langid_{n}") for n, _ in ADDED]
     bound = least if least is not None else 1.05 / max(1, len(field.labels) if field else 1)
     if field is not None and len(field.labels) == 1:
         bound = 0.0
-    return predict(docs, field, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= bound)).select(*docs.columns)
+    told = predict(docs.where(F.col("text").rlike(r"\p{L}") & (noise(F.col("text")) < most_noise)), field, names)
+    return told.where((F.col(names[0]) != "und") & (F.col(names[1]) >= bound)).select(*docs.columns)

@@ -50,6 +50,23 @@ def test_forward_backward_is_exact():
             np.testing.assert_allclose(got[i:j], p / p.sum(axis=1, keepdims=True), atol=1e-9)
 
 
+def test_pairs_of_labels_are_exact():
+    rng = np.random.default_rng(1)
+    em, first, trans = rng.normal(size=(23, 3)), np.array([0, 1, 1, 9, 23]), rng.normal(size=(3, 3))
+    alone, pair = langid.forward_backward(em, first, trans, chunk=4, pairs=True)
+    np.testing.assert_allclose(alone, langid.forward_backward(em, first, trans), atol=1e-9)
+    for i, j in zip(first[:-1], first[1:], strict=True):
+        a, b = {i: np.exp(em[i])} if j > i else {}, {j - 1: np.ones(3)}
+        for t in range(i + 1, j):
+            a[t] = (a[t - 1] @ np.exp(trans)) * np.exp(em[t])
+        for t in range(j - 1, i, -1):
+            b[t - 1] = np.exp(trans) @ (b[t] * np.exp(em[t]))
+            want = a[t - 1][:, None] * np.exp(trans) * (np.exp(em[t]) * b[t])[None]
+            np.testing.assert_allclose(pair[t], want / want.sum(), atol=1e-9)
+        if j > i:
+            assert not pair[i].any()
+
+
 @pytest.fixture(scope="module")
 def two_languages(spark):
     rng = random.Random(5)
@@ -67,6 +84,22 @@ def test_language_id_held_out_and_switching(spark, two_languages):
     assert [x.lang for x in runs] == ["en", "de"]
 
 
+def test_language_id_rejects_noise_and_keeps_mixed_texts(spark, two_languages):
+    field = langid.train(two_languages)
+    kept = ["the house of water and stone.", "der stein und das haus", "the house of water. der stein und das wasser", "thing: 4111 1111 1111 1111 (water), stone -- house!", "a"]
+    gone = ["the### house$$$ of%%% water&&&", "THE!! HOUSE!! OF.!! STONE!!", "12 34 ...", "", None, "*** ### ***"]
+    got = langid.reject(table(spark, kept + gone), field, least=0.0, most_noise=0.4)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(len(kept)))
+
+
+def test_language_id_draws_repeated_rows_once(spark, two_languages):
+    often = two_languages.unionByName(two_languages.limit(1).crossJoin(spark.range(500)).drop("id"))
+    rows = often.select("doc_id", "text", "lang")
+    assert langid.hash_drawn(rows, F.lit(1.0)).count() == rows.distinct().count()
+    clash = two_languages.selectExpr("*", "1 AS lang_pred", "'x' AS SCORE")
+    assert {r.lang_pred for r in langid.predict(clash, langid.train(two_languages)).collect()} <= {"en", "de", "und"}
+
+
 def test_language_id_odd(spark, two_languages, odd_docs):
     field = langid.train(two_languages)
     got = {(r.doc_id, r.text): r for r in langid.predict(odd_docs, field, ["p", "q"]).collect()}
