@@ -625,6 +625,35 @@ def test_substrings_equal_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_substrings(docs)
 
 
+def test_substrings_keep_large_ids_beside_nulls(spark, prose):
+    """Ids beyond 2**53 are not rounded by a null among them, whatever the other columns are called."""
+    shared = prose(90, 40)
+    docs = [(None, f"{shared} one"), (2**53, "x" + shared), (2**53 + 1, shared + "y"), (2**53 + 1, shared), (-5, shared[:100]), (None, None), (2**62, ""), (None, f"{shared} one"), (2**53 + 1, shared)]
+    df = spark.createDataFrame([(*r, 1, b"d") for r in docs], "doc_id long, text string, n_bytes long, digest binary")
+    got = sorted(map(tuple, substrings.dedup(df, bucket_bytes=300, with_bytes=False).collect()), key=repr)
+    assert got == brute_substrings(docs) and sum(r[2] for r in got) > 4 * 100
+    kept = {bytes(r.kept) for r in substrings.dedup(df).where(F.col("doc_id") == 2**53).collect()}
+    assert len(kept) == 1 and all(hashlib.sha256(k).hexdigest() in {r[4] for r in got} for k in kept)
+
+
+def test_substrings_survive_colliding_hashes(spark, monkeypatch, prose):
+    """With hashes of a few bits nearly all runs collide; the bytes decide inside a bucket and inside a part."""
+    rng = random.Random(3)
+    pool = [prose(i, 14) for i in range(6)]
+    docs = [(i, " ".join(rng.choice(pool) for _ in range(4)) + str(i)) for i in range(30)]
+    tab = pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs]), "bucket": pa.array([0] * 30, pa.int64())})
+    real = substrings.runs
+    monkeypatch.setattr(substrings, "runs", lambda *a: (lambda f, l, at, g, r: (f, l, at, g, r % np.uint64(3)))(*real(*a)))
+    b = substrings.Bucket(tab, 50, 1)
+    raw = b.data.tobytes()
+    text = lambda i: raw[b.first[i] : b.last[i] + 50]
+    assert all(text(i) == text(b.lead[b.of[i]]) for i in range(len(b.first)))
+    assert len({text(i) for i in b.lead}) == len(b.lead)
+    monkeypatch.setattr(substrings.SuffixOrder, "common", lambda self, x, y, length=None: np.full(len(x), self.length) if length is None else length.copy())
+    by, head = substrings.SuffixOrder(np.frombuffer(b"abcabd", np.uint8), 3).classes(np.array([0, 3]), np.zeros(2, np.int64), np.full(2, 3))
+    assert head.all() and sorted(by) == [0, 1]
+
+
 def test_suffix_order_sorts_like_bytes():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 400).astype(np.uint8)
