@@ -52,44 +52,47 @@ def small_batches(spark: SparkSession) -> None:
 
 @functools.cache
 def _libc() -> Any:
-    """The C library, told once to give arrays of 1 MB and more back to the system when they are freed; None if it has no such call."""
+    """The C library, if it can give freed memory back to the system."""
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)
         libc.malloc_trim(0)
         return libc
     except (OSError, AttributeError):
         return None
 
 
-def lean(run: Callable[..., Any]) -> Callable[..., Any]:
-    """run for a Python worker that serves many tasks: what one task freed does not stay with the worker."""
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
 
-    def given_back() -> None:
-        pa.default_memory_pool().release_unused()
-        if (libc := _libc()) is not None:
-            libc.malloc_trim(0)
+
+def lean(run: Callable[..., Any]) -> Callable[..., Any]:
+    """run over batches for a Python worker that serves many tasks: what one task freed does not stay with the worker."""
 
     def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _libc()
         try:
             yield from run(batches)
         finally:
-            given_back()
+            _give_back()
 
     return over_batches
 
 
 def lean_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
-    """The same for one group, or a pair of cogroups."""
+    """The same for one group, or a pair of cogroups; small groups follow one another too fast to be worth it."""
 
     def over_one(a: pa.Table) -> pa.Table:
-        _libc()
-        return run(a)
+        out = run(a)
+        if a.nbytes > 1 << 19:
+            _give_back()
+        return out
 
     def over_two(a: pa.Table, b: pa.Table) -> pa.Table:
-        _libc()
-        return run(a, b)
+        out = run(a, b)
+        if a.nbytes + b.nbytes > 1 << 19:
+            _give_back()
+        return out
 
     return over_two if run.__code__.co_argcount == 2 else over_one
 

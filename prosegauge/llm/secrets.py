@@ -9,15 +9,17 @@ sums of their lengths give each match's offset. Texts are worked on once per dis
 joined back to all rows.
 
 Defined results: null and empty texts have no spans; repeated rows each get their row; spans are in code points, end
-exclusive; spans of different lexical kinds may overlap, a markov span never overlaps a lexical one; very long texts
-are exploded into rows, never folded in an array; empty tables give empty tables; extra columns pass."""
+exclusive; spans of different lexical kinds may overlap, a markov span never overlaps a lexical one, and of spans that begin
+together the kind listed first stands first; a very long text is read in linear time, with its matches and the pieces between them
+as one array, which is exploded into rows before anything is added up; empty tables give empty tables; extra columns
+pass, but for one named secret_spans, in any case, which the result replaces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drawn, fresh
+from .common import checkpointed, drawn, fresh, without
 
 # Fixed patterns: kind, matcher, least code points of the whole match, least of group 2.
 KINDS = [
@@ -27,8 +29,9 @@ KINDS = [
 ]
 #: What a token for the Markov models is: so many of these characters, a digit and a letter among them.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-#: Texts that can hold any span at all.
-HINTS = [r"(?i)password|passwd|secret|token|api_?key", r"AKIA[A-Z0-9]{14}", r"[0-9a-f]{16}", r"(?=[A-Za-z0-9+/_=-]{16})[A-Za-z+/_=-]*[0-9]"]
+#: Texts that can hold any span at all. The last asks for a digit behind the first character of a run, and only there, so that a
+#: long run of letters is read once.
+HINTS = [r"(?i)password|passwd|secret|token|api_?key", r"AKIA[A-Z0-9]{14}", r"[0-9a-f]{16}", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})[A-Za-z+/_=-]*+[0-9]"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bounds of the labelled samples: texts drawn for ordinary words (of at most so many code points), random strings made.
 DRAWN_TEXTS, LONGEST_DRAWN, RANDOM_STRINGS = 300, 20_000, 1500
@@ -105,7 +108,7 @@ def spans_of(texts: DataFrame, sample: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with spans, an array of (start, rank, end, kind) in order of start and kind."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "secret_spans"])
+    docs = without(docs, ["secret_spans"])
     key = fresh(docs, "secret_key")
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     any_hint = F.lit(False)
@@ -114,4 +117,5 @@ def scan(docs: DataFrame) -> DataFrame:
     texts = keyed.where(any_hint).groupBy(F.col(key).alias("text_key")).agg(F.min("text").alias("text"))
     spans = spans_of(texts, docs.select("doc_id", "text"))
     found = spans.groupBy(F.col("text_key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("secret_spans"))
-    return keyed.join(found, key, "left").drop(key)
+    # the spans stand by for a join between two plain shuffles, so that a text of very many rows, also an empty one, can be split
+    return keyed.join(checkpointed(found), key, "left").drop(key)

@@ -98,6 +98,15 @@ def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray)
     return out
 
 
+def part_of(names: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of hashes: names in order are parts in order."""
+    return ((names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+#: What of a hash travels beside the part: the last five bytes.
+FIVE = np.uint64((1 << 40) - 1)
+
+
 class Bucket:
     """The documents of a bucket in order of id, their runs, the distinct runs, and the anchors in order of part and hash."""
 
@@ -121,9 +130,12 @@ class Bucket:
             blocks = [[np.zeros(0, np.int64)]] * 3 + [[np.zeros(0, np.uint64)]] * 2
         self.first, self.last, self.anchor, self.hash, run = map(np.concatenate, blocks)
         self.doc = np.searchsorted(self.off, self.first, "right") - 1
-        self.part = (self.hash % np.uint64(parts)).astype(np.int64)
+        self.part = part_of(self.hash, parts)
         while True:
-            by = np.lexsort((self.doc, run, self.hash, self.part))
+            by = np.argsort(self.hash, kind="stable")  # documents stay in order
+            g = self.hash[by]
+            several = np.flatnonzero(np.append(g[1:] == g[:-1], False) | np.insert(g[1:] == g[:-1], 0, False)) if len(g) else by
+            by[several] = by[several][np.lexsort((run[by[several]], g[several]))]
             g, r = self.hash[by], run[by]
             new = np.insert((g[1:] != g[:-1]) | (r[1:] != r[:-1]), 0, True) if len(by) else np.zeros(0, bool)
             #: Position of each distinct run's first occurrence, and the distinct run of each run.
@@ -196,7 +208,7 @@ def ranges(part: np.ndarray) -> list[tuple[int, int, int]]:
 def send(table: pa.Table, length: int, parts: int) -> pa.Table:
     b = Bucket(table, length, parts)
     bucket, out = table.column("bucket")[0].as_py(), [[] for _ in range(5)]
-    gram = (b.hash[b.lead[b.opens]] >> np.uint64(24)) if len(b.opens) else np.zeros(0, np.uint64)
+    gram = (b.hash[b.lead[b.opens]] & FIVE) if len(b.opens) else np.zeros(0, np.uint64)
     runs_ = (np.minimum(b.count, 127) | np.where(b.several, 128, 0)).astype(np.uint8)
     for p, i, j in ranges(b.anchor_part):
         for c, x in zip(out, (p, bucket, five(gram[i:j]), runs_[i:j].tobytes(), packed(b.least[i:j])), strict=True):
@@ -244,7 +256,7 @@ def send_bytes(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa
     entry = np.flatnonzero(code == SHARED)
     lead = b.lead[entry]
     first, size, anchor = b.first[lead], b.last[lead] - b.first[lead], b.anchor[lead] - b.first[lead]
-    part, gram, shift, doc = b.part[lead], b.hash[lead] >> np.uint64(24), np.zeros(len(lead), np.int64), b.doc[lead]
+    part, gram, shift, doc = b.part[lead], b.hash[lead] & FIVE, np.zeros(len(lead), np.int64), b.doc[lead]
     if len(hot := np.flatnonzero(code == HOT)):
         lead = b.lead[hot]
         n = b.last[lead] - b.first[lead] + 1
@@ -254,8 +266,8 @@ def send_bytes(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa
         zero = np.zeros(len(start), np.int64)
         entry, shift, first = np.concatenate((entry, np.repeat(hot, n))), np.concatenate((shift, nth)), np.concatenate((first, start))
         size, anchor, doc = np.concatenate((size, zero)), np.concatenate((anchor, zero)), np.concatenate((doc, np.repeat(b.doc[lead], n)))
-        part = np.concatenate((part, (name % np.uint64(parts)).astype(np.int64)))
-        gram = np.concatenate((gram, name >> np.uint64(24)))
+        part = np.concatenate((part, part_of(name, parts)))
+        gram = np.concatenate((gram, name & FIVE))
     by = np.argsort(part, kind="stable")
     for p, i, j in ranges(part[by]):
         at = by[i:j]
@@ -425,7 +437,7 @@ def cut(docs: pa.Table, answers: pa.Table, length: int, parts: int, digests: boo
         gone = rest[(mask[b.of[rest]] >> np.uint32(k) & np.uint32(1)).astype(bool)]
         np.add.at(delta, b.first[gone] + k, 1)
         np.add.at(delta, b.first[gone] + k + length, -1)
-    gone = np.cumsum(delta[:-1]) > 0
+    gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
     opens = gone.copy()
     opens[1:] &= ~gone[:-1]
     starts = b.off[:-1][np.diff(b.off) > 0]

@@ -559,8 +559,41 @@ def test_secrets_markov_adds_random_tokens(spark, prose):
     assert all(not r.secret_spans for r in got[3:])
 
 
+def test_secrets_markov_equals_brute_force(spark, prose):
+    """Every token that no lexical span touches, scored pair by pair with the learnt ratios."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    bits = ["".join(rng.choice(letters) for _ in range(rng.randint(10, 40))) for _ in range(60)] + ["river_bank_stone_17", "the-hill-over-the-road-2", "password=", "token: ", "0123456789abcdef0", "é"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) + " " + prose(i, 30) for i in range(80)]
+    docs = table(spark, texts)
+    ratio = {r.pair: r.ratio for r in secrets.markov_ratios(docs).collect()}
+    assert len(ratio) == len(secrets.ALPHABET) ** 2
+    for r in secrets.scan(docs).collect():
+        base, want = brute_secrets(r.text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", r.text):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(s < m.end() and e > m.start() for s, _, e, _ in base):
+                each = [ratio[m[0][k : k + 2]] for k in range(len(m[0]) - 1)]
+                if sum(each) / len(each) >= secrets.LEAST_RATIO:
+                    want.append((m.start(), 3, m.end(), "markov"))
+        assert [tuple(x) for x in r.secret_spans or []] == sorted(base + want)
+
+
+def test_secrets_read_long_runs_once(spark):
+    import time
+
+    texts = ["x" * 1_000_000, "ab" * 400_000 + "1", "password " * 100_000, "AKIA" * 200_000, "0" * 500_000, "a" * 15 + " " + "-" * 700_000]
+    secrets.scan(table(spark, ["warm up 0123456789abcdef0"])).collect()
+    began = time.time()
+    got = [[(x.start, x.end, x.kind) for x in r.secret_spans or []] for r in secrets.scan(table(spark, texts)).orderBy("doc_id").collect()]
+    assert time.time() - began < 60
+    assert got[0] == got[2] == got[5] == [] and got[3] == [(0, 800_000, "access")] and got[4] == [(0, 500_000, "hex")]
+
+
 def test_secrets_odd(spark, odd_docs):
-    assert secrets.scan(odd_docs).count() == 11 and secrets.scan(empty(odd_docs)).count() == 0
+    got = secrets.scan(odd_docs.withColumn("SECRET_SPANS", F.lit(1)).withColumn("text_key", F.lit("x")))
+    assert sorted(map(repr, got.select(*odd_docs.columns).collect())) == sorted(map(repr, odd_docs.collect()))
+    assert got.where("secret_spans is not null").count() == 0 and got.columns == [*odd_docs.columns, "text_key", "secret_spans"]
+    assert secrets.scan(empty(odd_docs)).count() == 0
 
 
 # --- 9 substrings ------------------------------------------------------------------------------------------------------
