@@ -5,14 +5,16 @@ summed along the ranges, and running sums inside a bucket give each document its
 and the order is cut at the source's exact budget, after as many whole epochs as the budget holds.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, last
-in order; repeated rows and ids are counted row by row; an empty table gives an empty table; extra columns pass."""
+in order; repeated rows and ids are counted row by row, and ties of one key are cut in order of id and size; a very long
+text is one document, of which the cut may take a part; an empty table gives an empty table; extra columns pass, whatever
+their names, but for those named as the results, which are replaced."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, without
 
 #: Hexadecimal digits of the key that name a range: 4096 of them for each source.
 RANGE_DIGITS = 3
@@ -45,28 +47,31 @@ def targets(totals: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3
     return df.select("source", "source_size", target.alias("target"))
 
 
+OWN = ["size", "source_size", "target", "taken"]
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target and taken added (documents' own columns of these names go)."""
-    own = ["size", "source_size", "target", "taken"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in own])
-    key, part, name = fresh(docs, "mix_key"), fresh(docs, "mix_range"), fresh(docs, "mix_source")
+    """docs with size, source_size, target and taken added; the documents' own columns of these names go, in any case."""
+    docs = without(docs, OWN)
+    key, part, name, start, along = (fresh(docs, f"mix_{n}") for n in ("key", "range", "source", "start", "along"))
+    source = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
     sized = (
         docs.withColumn("size", token_count(F.col("text")))
         .withColumn(key, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
         .withColumn(part, F.substring(key, 1, RANGE_DIGITS))
-        .withColumn(name, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+        .withColumn(name, source(F.col("source")))
     )
     ranges = sized.groupBy("source", name, part).agg(F.sum("size").alias("range_size"))
     totals = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    along = Window.partitionBy(name).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    plan = targets(totals, share, weights).withColumn(name, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    starts = ranges.select(name, part, F.coalesce(F.sum("range_size").over(along), F.lit(0)).alias("range_start")).join(plan, name)
+    before = Window.partitionBy(name).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    plan = targets(totals, share, weights).withColumn(name, source(F.col("source"))).drop("source")
+    starts = ranges.select(name, part, F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias(start)).join(plan, name)
     inside = Window.partitionBy(name, part).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [name, part])
+    placed = sized.withColumn(along, F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [name, part])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.floor(F.col("target") - epochs * F.col("source_size"))
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_start") - F.col("in_range")))
-    return placed.withColumn("taken", (epochs * F.col("size") + cut).cast("long")).select(*docs.columns, *own)
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col(start) - F.col(along)))
+    return placed.withColumn("taken", (epochs * F.col("size") + cut).cast("long")).select(*docs.columns, *OWN)
 
 
 ORACLE = r"""

@@ -748,3 +748,12 @@ def test_mixing_odd(spark, odd_docs):
     got = mixing.mix(odd_docs)
     assert got.count() == 11 and mixing.mix(empty(odd_docs)).count() == 0
     assert got.columns == [c for c in odd_docs.columns if c != "size"] + ["size", "source_size", "target", "taken"]
+
+
+def test_mixing_reads_clashing_columns(spark, odd_docs):
+    clash = odd_docs.selectExpr("*", "'a' AS in_range", "'b' AS range_start", "1 AS mix_key", "2 AS mix_range", "3 AS mix_source", "4 AS Taken", "5 AS weight")
+    got, want = mixing.mix(clash), mixing.mix(odd_docs)
+    assert {(r.in_range, r.range_start, r.mix_key, r.weight) for r in got.collect()} == {("a", "b", 1, 5)}
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    sizes = {(r.doc_id, r["size"]): r.taken for r in want.collect()}
+    assert sizes[4, 0] == sizes[3, 0] == 0 and all(t <= 2 * n for (_, n), t in sizes.items())
