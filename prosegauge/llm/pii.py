@@ -11,8 +11,10 @@ The field is fitted by pseudo-likelihood on a bounded sample: SAMPLE documents d
 tokens, labelled by the lexical matches, each again with rewritten mentions (a variant beside its original keeps the
 label) and spoilt ones (a failing number alone has none).
 
-Defined results: null and empty texts have no spans; repeated rows each get their row; very long texts are read whole, in linear time;
-without sample documents only lexical matches are given; empty tables give empty tables; extra columns pass."""
+Defined results: null and empty texts have no spans; repeated rows each get their row, and are drawn once for the sample; very
+long texts are read whole, in linear time; spans that begin together stand in the order of their kinds, and of equally
+probable labels none, then the kind listed first, is taken; without sample documents only lexical matches are given;
+empty tables give empty tables; extra columns pass, but for those named as the results, which are replaced."""
 
 from __future__ import annotations
 
@@ -29,6 +31,8 @@ from .common import arrow_columns, drawn, fresh
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample, the least probability of an added span, hash cells of the unary features.
 SAMPLE, LONGEST_DRAWN, LEAST, CELLS = 500, 20_000, 0.9, 1 << 12
+#: What the label of a lexical match has over the others, in nats.
+OBSERVED = 30.0
 
 # Fixed patterns. Where a match could begin inside a longer run and fail again at each of its characters, the run's
 # first character is asked for; that changes no match and keeps the time linear.
@@ -117,23 +121,27 @@ class Graph:
         self.chain, self.skip = chain, sorted({*skip} - {*chain})
 
     def touched(self, base: list[tuple[int, int, int]]) -> list[int]:
-        """The kind of the lexical match that overlaps each node most to the left, or -1; both lists are walked in order."""
+        """The kind of the lexical match that overlaps each node and begins first, or -1. Both lists are walked in order once: matches
+        come into sight where they begin before the node's end, and stay while they end behind its start."""
         order, at, out = sorted((s, e, k) for k, s, e in base), 0, []
+        sight: list[tuple[int, int, int]] = []
         for s, e in self.spans:
-            while at < len(order) and order[at][1] <= s:
+            while at < len(order) and order[at][0] < e:
+                sight.append(order[at])
                 at += 1
-            hit = next((o for o in order[at : at + 8] if o[0] < e and o[1] > s), None)
-            out.append(hit[2] if hit else -1)
+            sight = [o for o in sight if o[1] > s]
+            out.append(sight[0][2] if sight else -1)
         return out
 
 
 def shape(token: str) -> str:
-    out = ""
-    for c in token[:24]:
+    """Kinds of characters, a run of one kind once."""
+    out = [""]
+    for c in token:
         k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
-        if not out.endswith(k):
-            out += k
-    return out
+        if out[-1] != k:
+            out.append(k)
+    return "".join(out)
 
 
 def keys(token: str, n_digits: int) -> list[str]:
@@ -177,23 +185,31 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def beliefs(field: Field, graphs: list[Graph], rounds: int = 25, damping: float = 0.3) -> np.ndarray:
-    """Loopy sum-product: log messages both ways over every edge, damped, until they settle."""
+    """Loopy sum-product: log messages both ways over every edge, damped, until they settle. Each text settles by itself, so
+    that its beliefs do not depend on the texts beside it."""
     feats, a, b, kind = joined(graphs)
     u = scores(feats, field.unary)
+    matched = np.array([k for g in graphs for k in g.kind], np.int64)
+    u[np.flatnonzero(matched >= 0), matched[matched >= 0] + 1] += OBSERVED  # lexical matches stand: their labels are known
     if len(a):
+        of = np.repeat(np.arange(len(graphs)), [len(g.chain) + len(g.skip) for g in graphs])
         pair = np.where(kind[:, None, None] == 1, field.skip[None], field.chain[None])
         ab, ba = np.zeros((len(a), u.shape[1])), np.zeros((len(a), u.shape[1]))
+        live = np.arange(len(a))
         for _ in range(rounds):
             total = u.copy()
-            np.add.at(total, b, ab)
-            np.add.at(total, a, ba)
-            to_b = log_sum((total[a] - ba)[:, :, None] + pair, 1)
-            to_a = log_sum((total[b] - ab)[:, None, :] + pair, 2)
+            x, y = a[live], b[live]
+            np.add.at(total, y, ab[live])
+            np.add.at(total, x, ba[live])
+            to_b = log_sum((total[x] - ba[live])[:, :, None] + pair[live], 1)
+            to_a = log_sum((total[y] - ab[live])[:, None, :] + pair[live], 2)
             to_b -= log_sum(to_b, 1)[:, None]
             to_a -= log_sum(to_a, 1)[:, None]
-            change = max(np.abs(to_b - ab).max(), np.abs(to_a - ba).max())
-            ab, ba = damping * ab + (1 - damping) * to_b, damping * ba + (1 - damping) * to_a
-            if change < 1e-4:
+            change = np.zeros(len(graphs))
+            np.maximum.at(change, of[live], np.maximum(np.abs(to_b - ab[live]).max(axis=1), np.abs(to_a - ba[live]).max(axis=1)))
+            ab[live], ba[live] = damping * ab[live] + (1 - damping) * to_b, damping * ba[live] + (1 - damping) * to_a
+            live = live[change[of[live]] >= 1e-4]
+            if not len(live):
                 break
         np.add.at(u, b, ab)
         np.add.at(u, a, ba)
@@ -201,8 +217,8 @@ def beliefs(field: Field, graphs: list[Graph], rounds: int = 25, damping: float
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(examples: list[tuple[Graph, list[int]]], steps: int = 150) -> Field:
-    """Pseudo-likelihood with a quadratic prior; labels: 0 none, 1 + kind."""
+def fit(examples: list[tuple[Graph, list[int]]], steps: int = 300) -> Field:
+    """Pseudo-likelihood with a quadratic prior; labels: 0 none, 1 + kind. Potentials of skip edges are symmetric."""
     n = len(KINDS) + 1
     feats, a, b, kind = joined([g for g, _ in examples])
     y = np.array([v for _, labels in examples for v in labels], np.int64)
@@ -211,9 +227,9 @@ def fit(examples: list[tuple[Graph, list[int]]], steps: int = 150) -> Field:
     row = np.repeat(np.arange(len(feats)), size)
     field = Field(np.zeros((CELLS, n)), np.zeros((n, n)), np.zeros((n, n)))
     params = [field.unary, field.chain, field.skip]
-    squares = [np.full_like(p, 1e-2) for p in params]
+    means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     hot = np.eye(n)[y]
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         s = scores(feats, field.unary)
         for k, w in ((0, field.chain), (1, field.skip)):
             e = kind == k
@@ -227,11 +243,12 @@ def fit(examples: list[tuple[Graph, list[int]]], steps: int = 150) -> Field:
             w = np.zeros((n, n))
             np.add.at(w, y[a[e]], g[b[e]])
             np.add.at(w.T, y[b[e]], g[a[e]])
-            grads.append(w)
-        for p_, d, q in zip(params, grads, squares, strict=True):
+            grads.append(w + w.T if k else w)  # a skip edge has no direction: which of two mentions stands first says nothing
+        for p_, d, m, q in zip(params, grads, means, squares, strict=True):
             d -= 0.02 * p_
-            q += d * d
-            p_ += 0.3 * d / np.sqrt(q)
+            m += 0.1 * (d - m)
+            q += 0.01 * (d * d - q)
+            p_ += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-6)
     return field
 
 
@@ -249,27 +266,26 @@ def variant(kind: int, mention: str, turn: int) -> str:
 
 
 def examples_of(text: str, turn: int) -> list[tuple[Graph, list[int]]]:
-    """The text as it is; with variants of its mentions put after it; with the variants alone, which stand for nothing."""
+    """The text as it is; with variants of its mentions put after or, every other time, before it; with the variants alone, which
+    stand for nothing."""
     base = lexical(text)
     out = [labelled(text, base, {})]
-    if base:
-        mentions = [(k, text[s:e]) for k, s, e in base[:6]]
-        put, parts, at = {}, [text, " "], len(text) + 1
-        alone, lone = [], 0
-        for k, m in mentions:
-            v = variant(k, m, turn)
-            if len(_DIGITS.findall(v)) < 7 and "@" not in v:
-                continue
+    put: dict[int, int] = {}
+    parts, at = [], 0
+    for k, s, e in base:
+        v = variant(k, text[s:e], turn)
+        if len(_DIGITS.findall(v)) >= 7 or "@" in v:
             put[at] = k
             parts += [v, " und "]
             at += len(v) + 5
-            alone += ["the", v, "and"]
-            lone += 1
-        both = "".join(parts)
-        out.append(labelled(both, [x for x in lexical(both) if x[1] < len(text)], put))
-        if lone:
-            words = " ".join(alone)
-            out.append(labelled(words, lexical(words), {}))
+    if put:
+        words = "".join(parts)
+        first = turn // 2 % 2 == 1  # the variants stand first
+        both, shift = (f"{words} {text}", 0) if first else (f"{text} {words}", len(text) + 1)
+        own = range(len(words) + 1, len(both)) if first else range(len(text))
+        out.append(labelled(both, [x for x in lexical(both) if x[1] in own], {shift + s: k for s, k in put.items()}))
+        alone = " ".join(f"the {v.strip()} and" for v in parts[::2])
+        out.append(labelled(alone, lexical(alone), {}))
     return out
 
 
