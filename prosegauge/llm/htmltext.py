@@ -6,27 +6,33 @@ node whose text never changes belongs to the template, a varying one is a slot;
 reference are judged within their own tree. A text that stands at one path of element keys on more than two thirds of
 the host's pages with that path is template as well, beside varying siblings and across layouts. Slots become content unless their
 place says otherwise (navigation, page header and footer, asides, forms, notices, adverts, reader comments, by element,
-role, class or id); where pages mark an article or main element, content is what lies inside it.
+role, class or id); where pages mark an article or main element, content is what lies inside it, and all text of an
+article that is not furniture by its place stays, also where it is the same on many pages.
 
 Each page's statistics are added up per (host, tree) before the shuffle; trees are aligned once for each pair that
 occurs; the pages are then parsed again and joined with their tree's kept nodes, a join that Spark broadcasts or shuffles by size.
 
-Defined results: null and empty html, and pages without content, give an empty text; a host of one page, or of copies of
+Defined results: null and empty html, and pages without content, give an empty text; very deep and very wide pages cost no more
+a node than others, but for children of two trees that differ, which are compared pair by pair of their distinct subtrees; of
+equally frequent trees of a host the one of the largest key is the reference; a host of one page, or of copies of
 one page, has no template, and a template text stands on at least two different pages; a null url is a host of its own; pages repeated whole each get their row; broken markup is closed as browsers do for
-paragraphs, list items and table cells; empty tables give empty tables; extra columns are dropped."""
+paragraphs, list items and table cells; formulas, drawings and embedded objects are text of their block, buttons and other
+controls are not; empty tables give empty tables; extra columns are dropped, whatever their names."""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, lean, small_batches
 
 _TAG = re.compile(
     r"""<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>)""",
@@ -37,10 +43,10 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
-    "li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul template svg select button canvas object audio video math".split()
+    "li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul template select button".split()
 )
-#: Elements that never hold main text.
-DROPPED = set("head nav footer aside form fieldset menu template svg select button canvas object audio video dialog math".split())
+#: Elements that never hold main text: menus, footers, sidebars, forms and their controls, notices, and what is not shown.
+DROPPED = set("head nav footer aside form fieldset menu template select button dialog".split())
 #: Words of class, id or role that name page furniture.
 FURNITURE = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
@@ -54,7 +60,7 @@ TELLING = FURNITURE | ROOT | {"header", "topbar"}
 LONGEST_VALUE = 60
 _CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-_NO_P_CLOSE = {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "template", "svg", "select", "button", "canvas", "object", "audio", "video", "math"}
+_NO_P_CLOSE = {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "template", "select", "button"}
 
 
 def _digest(data: bytes) -> bytes:
@@ -77,7 +83,7 @@ def short(value: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "slot", "form", "path")
+    __slots__ = ("tag", "key", "children", "slot", "form", "size", "path")
 
     def __init__(self, tag: str, key: str, above: bytes = b""):
         self.tag, self.key, self.children = tag, key, []
@@ -88,6 +94,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     """The block tree, and the blocks of text (node, text, characters inside links) in page order."""
     root = Node("html", "html")
     stack, blocks, buf, links, in_link, pos = [root], [], [], 0, 0, 0
+    opened: Counter = Counter()  # elements on the stack, so that a tag that is not open is not looked for
 
     def flush() -> None:
         nonlocal links
@@ -108,9 +115,12 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
 
     def pop_to(i: int) -> None:
         flush()
-        del stack[i:]
+        while len(stack) > i:
+            opened[stack.pop().tag] -= 1
 
     def find(tags: set[str], stop: set[str]) -> int:
+        if not any(opened[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 return i
@@ -166,27 +176,40 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 key += "".join(f"[{a}={short(re.sub(r'[^0-9A-Za-z_ -]', '_', v))}]" for a, v in found)
             node = Node(tag, key, stack[-1].path)
             stack[-1].children.append(node)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "object"):
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
     say(html[pos:])
     flush()
     return root, blocks
 
 
 def fold(node: Node) -> str:
-    """The skeleton: keys of block elements, equal neighbouring siblings folded into one."""
+    """The skeleton: keys of block elements, equal neighbouring siblings folded into one. A node's form is a number of its key and
+    its children's forms, so that a deep tree costs no more per node than a flat one."""
     todo, order = [node], []
     while todo:
         n = todo.pop()
         order.append(n)
         todo += n.children
     for n in reversed(order):
-        forms: list[str] = []
+        n.size, forms, last = 1, [n.key.encode()], None
         for c in n.children:
-            if not forms or forms[-1] != c.form:
-                forms.append(c.form)
-        n.form = f"{n.key}({''.join(forms)})"
-    return node.form
+            if c.form != last:
+                last = c.form
+                forms.append(last)
+                n.size += c.size
+        n.form = blake2b(b"\0".join(forms), digest_size=16).digest()
+    out: list[str] = []
+    walk: list[Node | None] = [node]
+    while walk:
+        n = walk.pop()
+        if n is None:
+            out.append(")")
+            continue
+        out += [n.key, "("]
+        walk.append(None)
+        walk += [c for c, left in zip(reversed(n.children), [*reversed(n.children[:-1]), None], strict=True) if left is None or c.form != left.form] if n.children else []
+    return "".join(out)
 
 
 def number(node: Node) -> None:
@@ -198,7 +221,7 @@ def number(node: Node) -> None:
         for c in n.children:
             if c.form != last:
                 last, start = c.form, at
-                at += c.form.count("(")
+                at += c.size
             c.slot = start
             todo.append(c)
 
@@ -228,56 +251,121 @@ def tree_of(form: str) -> tuple[list[str], list[list[int]], list[int]]:
     return keys, kids, parents
 
 
+def gains(w: np.ndarray) -> np.ndarray:
+    """The most that children up to each column can match with all rows, in order; w: what each pair matches."""
+    best = np.zeros(w.shape[1] + 1, np.int64)
+    for row in w:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row))
+    return best
+
+
+def paired(w: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns, both ascending, of the largest sum, in memory linear in the sides: rows are halved, and the columns
+    are cut where both halves together match most."""
+    out, todo = [], [(0, w.shape[0], 0, w.shape[1])]
+    while todo:
+        i, j, k, m = todo.pop()
+        if i == j or k == m:
+            continue
+        if j - i == 1:
+            at = int(w[i, k:m].argmax())
+            if w[i, k + at]:
+                out.append((i, k + at))
+            continue
+        half = (i + j) // 2
+        upper, lower = gains(w[i:half, k:m]), gains(w[half:j, k:m][::-1, ::-1])[::-1]
+        cut = k + int((upper + lower).argmax())
+        todo += [(i, half, k, cut), (half, j, cut, m)]
+    return out
+
+
 def match(a: str, b: str) -> list[int]:
-    """Simple tree matching of skeleton a with b: for each slot of b the aligned slot of a, or -1."""
-    (ka, ca, _), (kb, cb, _) = tree_of(a), tree_of(b)
+    """Simple tree matching of skeleton a with b: for each slot of b the aligned slot of a, or -1.
+
+    Subtrees are known by number, equal ones by the same, and a pair of numbers is matched once: equal subtrees match whole,
+    and children that are equal at both ends of two lists match each other before the rest is compared pair by pair."""
+    (ka, ca, pa_), (kb, cb, pb) = tree_of(a), tree_of(b)
     if a == b:
         return list(range(len(kb)))
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def size(x: int, y: int) -> int:
-        """Matched nodes of the subtrees, deepest pairs first, so that deep trees need no recursion."""
-        todo = [(x, y)]
-        while todo:
-            p = todo[-1]
-            if p in memo:
-                todo.pop()
-                continue
-            i, j = p
-            if ka[i] != kb[j]:
-                memo[p] = (0, [])
-                todo.pop()
-                continue
-            need = [(u, v) for u in ca[i] for v in cb[j] if (u, v) not in memo]
-            if need:
-                todo += need
-                continue
-            m, n = len(ca[i]), len(cb[j])
-            table = [[0] * (n + 1) for _ in range(m + 1)]
-            for s in range(1, m + 1):
-                for t in range(1, n + 1):
-                    w = memo[ca[i][s - 1], cb[j][t - 1]][0]
-                    table[s][t] = max(table[s - 1][t], table[s][t - 1], table[s - 1][t - 1] + w)
-            memo[p] = (table[m][n] + 1, table)
+    known: dict[tuple, int] = {}
+    keys, kids, sizes = [], [], []
+
+    def numbered(own: list[str], below: list[list[int]]) -> list[int]:
+        names = [0] * len(own)
+        for n in range(len(own) - 1, -1, -1):  # children stand behind their parent
+            form = (own[n], *(names[c] for c in below[n]))
+            if (name := known.setdefault(form, len(keys))) == len(keys):
+                keys.append(own[n])
+                kids.append([names[c] for c in below[n]])
+                sizes.append(1 + sum(sizes[k] for k in kids[-1]))
+            names[n] = name
+        return names
+
+    na, nb = numbered(ka, ca), numbered(kb, cb)
+    memo: dict[tuple[int, int], int] = {}
+
+    def ends(x: list[int], y: list[int]) -> tuple[int, int]:
+        """Equal children at the beginning and at the end of two lists."""
+        most, i, j = min(len(x), len(y)), 0, 0
+        while i < most and x[i] == y[i]:
+            i += 1
+        while j < most - i and x[-1 - j] == y[-1 - j]:
+            j += 1
+        return i, j
+
+    def weights(x: list[int], y: list[int]) -> np.ndarray | None:
+        """What each pair of children matches; None while some pair below is not known yet, which then is put on the list."""
+        ux, ix = np.unique(np.array(x, np.int64), return_inverse=True)
+        uy, iy = np.unique(np.array(y, np.int64), return_inverse=True)
+        w, need = np.zeros((len(ux), len(uy)), np.int64), []
+        for i, u in enumerate(ux.tolist()):
+            for j, v in enumerate(uy.tolist()):
+                if u == v:
+                    w[i, j] = sizes[u]
+                elif keys[u] == keys[v]:
+                    if (u, v) in memo:
+                        w[i, j] = memo[u, v]
+                    else:
+                        need.append((u, v))
+        if need:
+            todo.extend(need)
+            return None
+        return w[ix][:, iy]
+
+    def inner(u: int, v: int) -> tuple[list[int], list[int], int, int]:
+        i, j = ends(kids[u], kids[v])
+        return kids[u][i : len(kids[u]) - j], kids[v][i : len(kids[v]) - j], i, j
+
+    if keys[na[0]] != keys[nb[0]]:
+        return [-1] * len(kb)
+    todo = [(na[0], nb[0])]
+    while todo:
+        u, v = todo[-1]
+        if (u, v) in memo:
             todo.pop()
-        return memo[x, y][0]
-
+            continue
+        x, y, i, j = inner(u, v)
+        if not x or not y:
+            w = np.zeros((1, 1), np.int64)
+        elif (w := weights(x, y)) is None:
+            continue
+        memo[u, v] = int(gains(w)[-1]) + 1 + sum(sizes[k] for k in [*kids[u][:i], *kids[u][len(kids[u]) - j :]])
+        todo.pop()
     out = [-1] * len(kb)
-    if size(0, 0):
-        todo = [(0, 0)]
-        while todo:
-            i, j = todo.pop()
-            out[j] = i
-            table, s, t = memo[i, j][1], len(ca[i]), len(cb[j])
-            while s and t:
-                w = memo[ca[i][s - 1], cb[j][t - 1]][0]
-                if w and table[s][t] == table[s - 1][t - 1] + w:
-                    todo.append((ca[i][s - 1], cb[j][t - 1]))
-                    s, t = s - 1, t - 1
-                elif table[s][t] == table[s - 1][t]:
-                    s -= 1
-                else:
-                    t -= 1
+    pairs = [(0, 0)]
+    while pairs:
+        p, q = pairs.pop()
+        out[q] = p
+        if na[p] == nb[q]:  # equal subtrees: slot by slot
+            for k in range(1, sizes[na[p]]):
+                out[q + k] = p + k
+            continue
+        x, y, i, j = inner(na[p], nb[q])
+        left, right = ca[p], cb[q]
+        pairs += zip(left[:i], right[:i], strict=True)
+        pairs += zip(left[len(left) - j :], right[len(right) - j :], strict=True)
+        if x and y:
+            pairs += [(left[i + s], right[i + t]) for s, t in paired(weights(x, y))]
     return out
 
 
@@ -285,19 +373,20 @@ def words_of(key: str) -> set[str]:
     return names_in(" ".join(re.findall(r"\[\w+=([^\]]*)\]", key)))
 
 
-def places(form: str) -> list[tuple[bool, bool]]:
-    """For each slot: inside page furniture; inside a content root."""
+def places(form: str) -> list[tuple[bool, bool, bool]]:
+    """For each slot: inside page furniture; inside a content root; inside an article."""
     keys, _, parents = tree_of(form)
-    out: list[tuple[bool, bool]] = []
+    out: list[tuple[bool, bool, bool]] = []
     for key, p in zip(keys, parents, strict=True):
         tag = key.split("[")[0]
-        drop, root = out[p] if p >= 0 else (False, False)
+        drop, root, article = out[p] if p >= 0 else (False, False, False)
         names = words_of(key)
-        if tag in ("article", "main") or names & ROOT and "role=" in key:
-            root = True
+        role = names & ROOT if "role=" in key else set()
+        if tag in ROOT or role:
+            root, article = True, article or tag == "article" or "article" in role
         elif tag in DROPPED or tag != "html" and names & FURNITURE or tag == "header" and not root or not root and names & {"header", "topbar"}:
             drop = True
-        out.append((drop, root))
+        out.append((drop, root, article))
     return out
 
 
@@ -367,16 +456,19 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (form, ref) not in memo:
                 if len(memo) > 5000:
                     memo.clear()
-                memo[form, ref] = [(i, r, d, c) for i, (r, (d, c)) in enumerate(zip(match(ref, form), places(form), strict=True))]
+                memo[form, ref] = [(i, r, *at) for i, (r, at) in enumerate(zip(match(ref, form), places(form), strict=True))]
             rows += [(host, key, *x) for x in memo[form, ref]]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "form_key", "slot", "ref_slot", "furniture", "rooted"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "form_key", "slot", "ref_slot", "furniture", "rooted", "article"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows (host, form_key, keep, common): for each tree of each host, which slots are content; its host's template texts by path."""
-    tally = pages.select("url", "html").mapInArrow(_tally, ", ".join(f"{n} {k}" for n, k in _TALLY))
+    """Rows (host, form_key, keep, common): for each tree of each host, which slots are content (0 no, 1 unless the text is common
+    on the host, 2 always); its host's template texts by path. Tables that are joined by host or tree are
+    plain sides of their joins, so that a host with very many pages can be split."""
+    small_batches(pages.sparkSession)
+    tally = pages.select("url", "html").mapInArrow(lean(_tally), ", ".join(f"{n} {k}" for n, k in _TALLY))
     sums = tally.groupBy("host", "form_key", "slot", "path", "item").agg(
         F.max("form").alias("form"), F.sum("pages").alias("pages"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
@@ -389,26 +481,27 @@ def wrappers(pages: DataFrame) -> DataFrame:
     common = common.groupBy("host").agg(F.collect_set("item").alias("common"))
     sums = sums.where("path is null").drop("path", "item")
     trees = sums.where("slot = 0").select("host", "form_key", "form", "pages")
-    refs = trees.groupBy("host").agg(F.max_by("form", F.struct("pages", "form_key")).alias("ref"))
-    slots = trees.select("host", "form_key", "form").join(refs, "host").mapInArrow(_align, "host string, form_key string, slot int, ref_slot int, furniture boolean, rooted boolean")
-    slots = slots.join(sums.drop("form"), ["host", "form_key", "slot"], "left")
+    refs = checkpointed(trees.groupBy("host").agg(F.max_by("form", F.struct("pages", "form_key")).alias("ref")))
+    slots = trees.select("host", "form_key", "form").join(refs, "host").mapInArrow(lean(_align), "host string, form_key string, slot int, ref_slot int, furniture boolean, rooted boolean, article boolean")
+    slots = checkpointed(slots.join(sums.drop("form"), ["host", "form_key", "slot"], "left"))
     # per aligned node of the host: sums that are added up before any shuffle, a row for each node of the reference
     same = slots.where("ref_slot >= 0").groupBy("host", "ref_slot").agg(
         F.sum("pages").alias("n"), (F.min("least") == F.max("greatest")).alias("one_text"), (F.min("first") != F.max("last")).alias("several"), F.sum("chars").alias("all_chars"), F.sum("links").alias("all_links"), F.min("furniture").alias("always_furniture")
     )
-    same = same.withColumn("constant", F.coalesce(F.col("one_text") & F.col("several"), F.lit(False)))
+    same = checkpointed(same.withColumn("constant", F.coalesce(F.col("one_text") & F.col("several"), F.lit(False))))
     # a host varies if the text of some node does; copies of one page say nothing about its template
     some = same.where(~F.col("one_text") & ~F.col("always_furniture")).select("host").unionByName(slots.where(~F.col("furniture") & (F.col("least") != F.col("greatest"))).select("host"))
-    varies = some.distinct().withColumn("varies", F.lit(True))
+    varies = checkpointed(some.distinct().withColumn("varies", F.lit(True)))
     slots = slots.join(same.drop("always_furniture", "several"), ["host", "ref_slot"], "left").join(varies, "host", "left")
     own = (F.col("least") == F.col("greatest")) & (F.col("first") != F.col("last"))  # of nodes that align with none of the reference
     share = F.coalesce(F.try_divide(F.coalesce("all_links", "links"), F.coalesce("all_chars", "chars")), F.lit(0.0))
     has_root = F.max(F.col("rooted") & ~F.col("furniture") & (F.coalesce("chars", F.lit(0)) > 0)).over(Window.partitionBy("host", "form_key"))
     template = F.coalesce(F.coalesce("constant", own) & F.col("varies"), F.lit(False))
-    keep = ~F.col("furniture") & ~template & F.when(has_root, F.col("rooted")).otherwise(share < 0.5)
-    told = slots.withColumn("keep", keep).groupBy("host", "form_key").agg(F.array_sort(F.collect_list(F.struct("slot", "keep"))).alias("k"))
-    common = common.join(varies.select("host"), "host")
-    return told.join(common, "host", "left").select("host", "form_key", F.transform("k", lambda x: x["keep"]).alias("keep"), "common")
+    keep = ~F.col("furniture") & F.when(has_root, F.col("rooted") & (F.col("article") | ~template)).otherwise(~template & (share < 0.5))
+    level = F.when(~keep, 0).when(has_root & F.col("article"), 2).otherwise(1)
+    told = slots.withColumn("keep", level).groupBy("host", "form_key").agg(F.array_sort(F.collect_list(F.struct("slot", "keep"))).alias("k"))
+    common = checkpointed(common.join(varies.select("host"), "host"))
+    return checkpointed(told.join(common, "host", "left").select("host", "form_key", F.transform("k", lambda x: x["keep"]).alias("keep"), "common"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +522,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, blocks): the kept blocks and their text, joined by one space."""
     kinds = dict(pages.dtypes)
-    seen = pages.select("page_id", "url", "html").mapInArrow(_read, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, form_key string, blocks array<struct<slot:int,text:string,item:bigint>>")
+    small_batches(pages.sparkSession)
+    seen = pages.select("page_id", "url", "html").mapInArrow(lean(_read), f"page_id {kinds['page_id']}, url {kinds['url']}, host string, form_key string, blocks array<struct<slot:int,text:string,item:bigint>>")
     out = seen.join(wrappers(pages), ["host", "form_key"], "left")
-    kept = F.filter("blocks", lambda x: F.element_at("keep", x["slot"] + 1) & ~F.coalesce(F.array_contains("common", x["item"]), F.lit(False)))
+    level = lambda x: F.element_at("keep", x["slot"] + 1)
+    kept = F.filter("blocks", lambda x: (level(x) == 2) | (level(x) == 1) & ~F.coalesce(F.array_contains("common", x["item"]), F.lit(False)))
     return out.select("page_id", "url", F.transform(kept, lambda x: x["text"]).alias("blocks")).withColumn("text", F.coalesce(F.array_join("blocks", " "), F.lit("")))

@@ -287,6 +287,86 @@ def test_html_broken_and_deep(spark):
     assert got[0] == "deep text" and got[1].startswith("a b c d") and got[2] == "text only < 5 & more" and got[3] == "" and got[4].count("x") == 50
 
 
+def brute_match(a, b):
+    """Size of the largest matching of two skeletons by the textbook recursion."""
+    (ka, ca, _), (kb, cb, _) = htmltext.tree_of(a), htmltext.tree_of(b)
+
+    def size(i, j):
+        if ka[i] != kb[j]:
+            return 0
+        m = [[0] * (len(cb[j]) + 1) for _ in range(len(ca[i]) + 1)]
+        for s, x in enumerate(ca[i], 1):
+            for t, y in enumerate(cb[j], 1):
+                m[s][t] = max(m[s - 1][t], m[s][t - 1], m[s - 1][t - 1] + size(x, y))
+        return m[-1][-1] + 1
+
+    return size(0, 0)
+
+
+def test_simple_tree_matching_equals_brute_force():
+    rng = random.Random(31)
+
+    def tree(depth):
+        return rng.choice("abc") + "(" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + ")"
+
+    for _ in range(300):
+        a, b = f"html({tree(3)}{tree(2)})", f"html({tree(2)}{tree(3)}{tree(1)})"
+        if rng.random() < 0.3:
+            b = a.replace("a()", "", 1)
+        got = htmltext.match(a, b)
+        (ka, _, pa_), (kb, _, pb) = htmltext.tree_of(a), htmltext.tree_of(b)
+        matched = [(i, j) for j, i in enumerate(got) if i >= 0]
+        assert len(matched) == brute_match(a, b), (a, b)
+        assert all(ka[i] == kb[j] and (j == 0 or got[pb[j]] == pa_[i]) for i, j in matched)
+        assert [i for i, _ in matched] == sorted({i for i, _ in matched})
+
+
+def site(i, order=(), deep="div"):
+    """A page without marked content or telling names: a strip, a list of links that changes, a story, a box."""
+    rng = random.Random(i)
+    links = "".join(f"<div class=qv><a href=/{k}>Go to place {rng.randint(1, 99)}</a></div>" for k in range(5))
+    story = f"<{deep} class=qx><p>Story {i} opens here.</p><p>It goes on with part {i * 7}.</p>{'<p>A third part ' + str(i) + '.</p>' if i % 3 else ''}</{deep}>"
+    box = "<div class=qy><p>Made by the desk of the town</p></div>"
+    extra = "<div class=qz><p>Open all week</p></div>" if i % 4 == 0 else ""
+    return page(f"<div class=qu>Town paper</div><div class=qw>{links}</div>{extra}{story}{box}")
+
+
+def test_html_alignment_decides_on_unmarked_hosts(spark):
+    """Held-out pages of hosts without article, main or telling names: the alignment with the host's other pages is all there is."""
+    rows = [(f"http://town{h}.example/{i}", site(i)) for h in range(3) for i in range(1, 13)]
+    want = [f"Story {i} opens here. It goes on with part {i * 7}." + (f" A third part {i}." if i % 3 else "") for _ in range(3) for i in range(1, 13)]
+    assert texts_of(spark, rows) == want
+    alone = texts_of(spark, [(f"http://lone{i}.example/", site(i)) for i in range(1, 4)])
+    assert all("Town paper" in t and "Made by the desk" in t for t in alone)  # without other pages nothing is known to be constant
+
+
+def test_html_article_keeps_all_its_text(spark):
+    same = "<p>Each week we print the same greeting.</p>"
+    body = lambda i: page(f"<div>Strip</div><article>{same}<p>Part {i}: Euler wrote <math><mi>e</mi><mo>=</mo><mn>2.718</mn></math> long ago.</p><p><svg><text>Figure {i}</text></svg></p></article>")
+    assert texts_of(spark, [(f"http://e.example/{i}", body(i)) for i in range(6)]) == [f"Each week we print the same greeting. Part {i}: Euler wrote e=2.718 long ago. Figure {i}" for i in range(6)]
+
+
+def test_html_very_deep_and_wide_pages(spark):
+    import time
+
+    deep = lambda i: "<div>" * 50_000 + f"deep text {i}" + "</div>" * 50_000
+    wide = lambda n: "".join(f"<div class=a>left {k}</div><p class=b>right {k}</p>" for k in range(n))
+    began = time.time()
+    got = texts_of(spark, [("http://d/1", deep(1)), ("http://d/2", deep(2)), ("http://w/1", page(wide(5000))), ("http://w/2", page("<section>new</section>" + wide(5001)))])
+    assert got[:2] == ["deep text 1", "deep text 2"] and time.time() - began < 60
+    assert got[3].endswith("right 5000")
+    form = htmltext.read(page(wide(600)))[0]
+    other = htmltext.read(page("".join(f"<p class=b>x</p><div class=a><i>y</i></div><ul><li>{k}</ul>" for k in range(600))))[0]
+    began = time.time()
+    assert len(htmltext.match(form, other)) == other.count("(") and time.time() - began < 10
+
+
+def test_html_extra_columns_are_dropped(spark):
+    df = spark.createDataFrame([(1, "http://h/a", page("<article><p>One</p></article>"), "x", 2)], "page_id long, url string, html string, text string, host int")
+    got = htmltext.extract(df)
+    assert got.columns == ["page_id", "url", "blocks", "text"] and got.first().text == "One"
+
+
 def test_html_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert htmltext.extract(df).count() == 0
