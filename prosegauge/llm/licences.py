@@ -4,17 +4,21 @@ Paragraphs are lines. Features are the word n-grams (one to three words) of the
 common in ordinary paragraphs; a softmax regression over them has a class for ordinary text, one for each licence
 family and one for unknown licences. Its training set is made from the templates (words dropped, ordinary words put in
 and around), from templates whose family words are replaced by invented ones (unknown), and from ordinary paragraphs of a
-bounded sample of the corpus (SAMPLE documents drawn by hash). A temperature fitted on a held-out part calibrates the
+bounded sample of the corpus (SAMPLE documents drawn by hash), also with stray words of templates put in. A temperature fitted on a held-out part calibrates the
 probabilities. A family is given only if its probability reaches LEAST and a template of the family confirms
-it: the share of the template's word pairs found in the paragraph reaches CONFIRMED; otherwise the paragraph is unknown.
+it: the share of the template's word pairs found in the paragraph reaches CONFIRMED, of all pairs and of those that hold a
+word not shared by all notices; otherwise the paragraph is unknown.
 Notices that are wrapped over lines are found by joining: neighbouring lines without a blank one between them are classified and
 confirmed together where they hold more of a template than each of them, and count as one licence paragraph.
 
 Defined results: null and empty texts have no paragraphs; lines without words are no paragraphs; repeated rows each get their
-row; very long texts are read whole; empty tables give empty tables; extra columns pass."""
+row, and are drawn once for the sample; very long texts are read whole; of equally probable families the first in order of
+name is taken; empty tables give empty tables; extra columns pass, but for those named as the results, which are replaced."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,34 +35,53 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Released under the Apache 2.0 license.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied.",
     ],
+    "Artistic": ["Licensed under the Artistic License 2.0."],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD license.",
     ],
+    "Boost": ["Distributed under the Boost Software License, Version 1.0."],
     "CC BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0": ["To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal.", "Released into the public domain under CC0."],
+    "EPL": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "EUPL": ["Licensed under the EUPL, Version 1.2 or later."],
+    "GFDL": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Licensed under the GPL v2 or later.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
     ],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU LGPL v3."],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "MS-PL": ["Licensed under the Microsoft Public License."],
+    "ODbL": ["This database is made available under the Open Database License 1.0."],
+    "Unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain."],
+    "Zlib": ["Released under the zlib License.", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
 }
 COMMON_FRAME = set("this work program source code form file software is are licensed released under the a of license licence version v or later terms subject to 1 2 3 4 0 international public general and".split())
 CLASSES = ["ordinary", *TEMPLATES, "unknown"]
+#: Bounds of the training sample: documents, code points of a document, and ordinary paragraphs, drawn by their hash.
 SAMPLE, LONGEST_DRAWN, MOST_PARAGRAPHS = 300, 20_000, 3000
 LEAST, CONFIRMED, RESEMBLES = 0.5, 0.6, 0.2
-COPIES = 60
+#: Copies of each template that are made for training, and ordinary paragraphs with stray words of templates.
+COPIES, STRAYS = 60, 1500
 
 
 def grams(h: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +130,9 @@ class Classifier:
             sure = self.vocabulary[place] == g[maybe]
             rows.append(unit[at[maybe[sure]]])
             cols.append(place[sure])
-        return np.concatenate(rows), np.concatenate(cols)
+        # a feature is there or not, however long the paragraph
+        cells = np.unique(np.concatenate(rows) * len(self.vocabulary) + np.concatenate(cols))
+        return cells // len(self.vocabulary), cells % len(self.vocabulary)
 
     def probabilities(self, h: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Paragraphs with any feature and their class probabilities; all others are ordinary by the bias alone."""
@@ -129,6 +154,13 @@ def fit(ordinary: list[str], seed: int = 11, steps: int = 200) -> Classifier:
     rng = np.random.default_rng(seed)
     filler = [w for line in ordinary for w in line.split()][:20_000] or ["lorem", "ipsum"]
     lines, y = list(ordinary), [0] * len(ordinary)
+    strays = sorted({w for templates in TEMPLATES.values() for t in templates for w in t.split()})
+    for _ in range(STRAYS):  # a word or two of a notice do not make a licence paragraph
+        put = [filler[i] for i in rng.integers(0, len(filler), rng.integers(6, 30))]
+        for w in rng.choice(strays, rng.integers(1, 3)):
+            put.insert(int(rng.integers(0, len(put) + 1)), str(w))
+        lines.append(" ".join(put))
+        y.append(0)
     for k, (_, templates) in enumerate(TEMPLATES.items(), 1):
         for template in templates:
             for c in range(COPIES):
@@ -158,7 +190,7 @@ def fit(ordinary: list[str], seed: int = 11, steps: int = 200) -> Classifier:
     x_size = len(lines)
     held = rng.random(x_size) < 0.2
     hot = np.eye(n_class)[labels] * ~held[:, None]
-    weight = np.where(labels == 0, 1.0, 1.0)[:, None] * ~held[:, None]
+    weight = ~held[:, None]
     sw, sb = np.full_like(model.weights, 1e-2), np.full_like(model.bias, 1e-2)
 
     def raw() -> np.ndarray:
@@ -193,13 +225,19 @@ def pairs_of(words: list[bytes]) -> set[tuple]:
     return set(zip(words, words[1:], strict=False)) or {tuple(words)}
 
 
+def telling(pairs: set[tuple]) -> set[tuple]:
+    """The word pairs that are not made of the words which all notices share; all, if there are no others."""
+    return {p for p in pairs if any(w.decode("utf-8", "replace") not in COMMON_FRAME for w in p)} or pairs
+
+
 def train(docs: DataFrame) -> Classifier:
     """Fit with ordinary paragraphs of a bounded, hash-drawn sample of docs (doc_id, text)."""
     texts = [r.text for r in drawn(docs.select("doc_id", "text"), SAMPLE).where(F.length("text") <= LONGEST_DRAWN).collect()]
     lines = sorted({line for t in texts for line in t.split("\n") if line.strip()})
     # notices that stand in the sample are not ordinary
-    cues = ("licen", "rights reserved", "copyright", "creative commons", "public domain", "redistribut", "permission is hereby")
-    return fit([line for line in lines if not any(c in line.lower() for c in cues)][:MOST_PARAGRAPHS])
+    cues = ("licen", "rights reserved", "copyright", "creative commons", "public domain", "redistribut", "permission is ", "permission to ", "warrant")
+    lines = sorted((line for line in lines if not any(c in line.lower() for c in cues)), key=lambda line: blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+    return fit(lines[:MOST_PARAGRAPHS])
 
 
 def runs(which: np.ndarray, follows: np.ndarray) -> list[tuple[int, int]]:
@@ -253,6 +291,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
         clf, p = sent.value, Paragraphs(column)
         w = p.words
         templates = {f: [pairs_of(_words(t)) for t in ts] for f, ts in TEMPLATES.items()}
+        names = {f: [telling(t) for t in ts] for f, ts in templates.items()}
         out: list[list] = [[] for _ in range(len(column))]
 
         def words(i: int, j: int) -> list[bytes]:
@@ -262,8 +301,8 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
             own = pairs_of(words(i, j))
             best = int(q[1:-1].argmax()) + 1
             family = CLASSES[best]
-            overlap = max(len(t & own) / len(t) for t in templates[family])
-            known = bool(q[best] >= LEAST and overlap >= CONFIRMED)
+            overlap, named = max((len(t & own) / len(t), len(n & own) / len(n)) for t, n in zip(templates[family], names[family], strict=True))
+            known = bool(q[best] >= LEAST and min(overlap, named) >= CONFIRMED)
             base = w.off[int(np.searchsorted(w.first, i, "right")) - 1]
             start = len(w.low[base : w.start[i]].tobytes().decode("utf-8", "replace"))
             size = len(w.low[w.start[i] : w.end[j - 1]].tobytes().decode("utf-8", "replace"))

@@ -146,9 +146,60 @@ def test_licences_wrapped_notices(spark, prose):
     assert [x.family for x in rows[8].licences] == [*notices] and [x.family for x in rows[9].licences] == ["MIT"]
 
 
-def test_licences_odd(spark, odd_docs):
-    model = licences.train(odd_docs)
-    assert licences.scan(odd_docs, model).count() == 11 and licences.scan(empty(odd_docs), licences.train(empty(odd_docs))).count() == 0
+def families(spark, model, texts):
+    rows = licences.scan(table(spark, texts), model).orderBy("doc_id").collect()
+    return [[x.family for x in r.licences] for r in rows]
+
+
+def test_licences_know_their_families(spark, prose):
+    """Every template of every family among ordinary paragraphs, cut here and there; held-out wordings that name the licence."""
+    model = licences.train(table(spark, [prose(i, 60) for i in range(60)]))
+    rng, texts, want = random.Random(2), [], []
+    for family, templates in licences.TEMPLATES.items():
+        for t in templates:
+            w = t.split()
+            if len(w) > 12:
+                del w[rng.randrange(3, len(w) - 3)]
+            texts.append(f"{prose(len(texts), 15)}\n{' '.join(w)}\n{prose(len(texts) + 70, 15)}")
+            want.append([family])
+    got = families(spark, model, texts)
+    right = sum(g == w for g, w in zip(got, want, strict=True))
+    assert right >= 0.95 * len(want), [(w, g) for g, w in zip(got, want, strict=True) if g != w]
+    others = ["This file is made available under the terms of the Eclipse Public License 2.0.", "This is free and unencumbered software released into the public domain.", "This module is licensed under the Mozilla Public License 2.0."]
+    assert families(spark, model, others) == [["EPL"], ["Unlicense"], ["MPL"]]
+
+
+def test_licences_left_out_families_are_unknown(spark, prose, monkeypatch):
+    """Notices of families that the model was not trained on are given to no other family."""
+    whole, ordinary = licences.TEMPLATES, [prose(i, 60) for i in range(60)]
+    texts, short = [], {"EPL", "MPL", "Artistic", "MIT", "Boost", "MS-PL", "EUPL", "Apache", "BSD", "Unlicense", "ISC", "Zlib"}
+    outcome = Counter()
+    for part in (("EPL", "Artistic", "MIT", "Unlicense"), ("MPL", "Boost", "EUPL", "ISC"), ("MS-PL", "Apache", "BSD", "Zlib")):
+        assert set(part) <= short
+        rest = {f: t for f, t in whole.items() if f not in part}
+        monkeypatch.setattr(licences, "TEMPLATES", rest)
+        monkeypatch.setattr(licences, "CLASSES", ["ordinary", *rest, "unknown"])
+        model = licences.fit(ordinary)
+        texts = [t for f in part for t in whole[f] if "icense" in t or "EUPL" in t]
+        for got in families(spark, model, texts):
+            outcome["unknown" if got == ["unknown"] else "none" if got == [] else "wrong"] += 1
+    assert outcome["wrong"] == 0 and outcome["unknown"] >= 0.8 * sum(outcome.values()), outcome
+
+
+def test_licences_leave_ordinary_text(spark, prose):
+    docs = table(spark, [prose(i, 80) + "\n" + prose(i + 300, 5) for i in range(60)])
+    model = licences.train(docs)
+    assert licences.scan(table(spark, [prose(1000, 30_000)]), model).first().licences == []
+    rows = licences.scan(docs, model).collect()
+    assert sum(len(r.licences) for r in rows) == 0 and all(r.n_paragraphs == 2 for r in rows)
+
+
+def test_licences_odd(spark, odd_docs, prose):
+    model = licences.train(odd_docs.select("doc_id", "text").unionByName(table(spark, [prose(i, 60) for i in range(60)])))
+    clash = odd_docs.withColumn("licences", F.lit("x")).withColumn("N_PARAGRAPHS", F.lit("y"))
+    got = licences.scan(clash, model)
+    assert sorted((r.doc_id or 0, r.n_paragraphs, len(r.licences)) for r in got.collect()) == sorted((r.doc_id or 0, sum(bool(words(x)) for x in (r.text or "").split("\n")), 0) for r in odd_docs.collect())
+    assert licences.scan(empty(odd_docs), licences.train(empty(odd_docs))).count() == 0
 
 
 # --- 3 decontamination -------------------------------------------------------------------------------------------------
