@@ -8,7 +8,9 @@ test items are sent to all shards in blocks of bounded size.
 
 Defined results: null or empty texts have no words and no hits; an item without words matches nothing; items of the same id
 count once; items with a null id count as one item without a name, a null at the end of the items, in
-scan and not in decontaminate, which leaves them out; an empty table gives an empty table; extra columns pass or are dropped by the caller."""
+scan and not in decontaminate, which leaves them out; rows that are repeated, and ties of one window in several
+items, each count; a very long text is a shard of its own; an empty table gives an empty table; extra columns pass, but for
+those named as the results of scan, which are replaced."""
 
 from __future__ import annotations
 

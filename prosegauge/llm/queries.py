@@ -63,7 +63,9 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.neardup(table(spark, sf_dir, "embeddings"))[0]
+    out, audits = vectors.neardup(table(spark, sf_dir, "embeddings"))
+    links, found = audits[-1] if audits else (0, 0)
+    return out.withColumn("audit_recall", F.lit(found / links if links else None).cast("double"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ sets are checked exactly by blocks, and the links found there make the counts an
 
 Defined results: null or zero vectors and those with null or non-finite components, and rows without a label, link with
 nothing and are their own component; copies of a vector link with each other; a null vec_id stays null, and is its own component unless
-linked; repeated rows each get their row; empty tables give empty tables."""
+linked; repeated rows each get their row; of equally near neighbours the one of the smaller hash stands in a list first;
+vectors of any length are read whole; empty tables give empty tables; columns other than vec_id, embedding and
+label are not read."""
 
 from __future__ import annotations
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import checkpointed
+from .common import checkpointed, lean, small_batches
 from .components import components
 
 THRESHOLD = 0.98
@@ -64,7 +66,7 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grp, pa.string()), pa.array(raw, pa.binary())], names=["vec_id", "grp", "vec"])
 
     kind = dict(vectors.dtypes)["vec_id"]
-    out = rows.mapInArrow(run, f"vec_id {kind}, grp string, vec binary")
+    out = rows.mapInArrow(lean(run), f"vec_id {kind}, grp string, vec binary")
     return out.withColumn("node", F.when(F.col("vec").isNotNull(), F.unhex(F.md5(F.concat(F.encode("grp", "UTF-8"), F.lit(b"|"), "vec")))))
 
 
@@ -103,10 +105,10 @@ def start(nodes: DataFrame, orders: int, seed: int, bits: int) -> DataFrame:
             sim = np.concatenate(sims) if sims else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary()), pa.array(sim)], names=["u", "v", "sim"])
 
-    rows = nodes.select("node", "grp", "vec").mapInArrow(keyed, "node binary, grp string, vec binary, t int, key bigint, z double")
+    rows = nodes.select("node", "grp", "vec").mapInArrow(lean(keyed), "node binary, grp string, vec binary, t int, key bigint, z double")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "grp", "t", "key", "z").sortWithinPartitions("grp", "t", "key", "z").select("node", "grp", "vec", "t")
-    return rows.mapInArrow(neighbours, "u binary, v binary, sim double")
+    return rows.mapInArrow(lean(neighbours), "u binary, v binary, sim double")
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
@@ -152,7 +154,7 @@ def joined(nodes: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
             sim = np.concatenate(sims) if sims else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary()), pa.array(sim)], names=["u", "v", "sim"])
 
-    return lists.mapInArrow(run, "u binary, v binary, sim double")
+    return lists.mapInArrow(lean(run), "u binary, v binary, sim double")
 
 
 def audit(nodes: DataFrame, placed: DataFrame, size: int, turn: int) -> tuple[int, int, list[str]]:
@@ -177,7 +179,7 @@ def audit(nodes: DataFrame, placed: DataFrame, size: int, turn: int) -> tuple[in
                 out += [(names[b_], node[at[a]], g) for a, b_ in zip(i, j, strict=True) if names[b_] != node[at[a]]]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.string()))], names=["a", "b", "grp"])
 
-    true = nodes.select("node", "grp", "vec").mapInArrow(run, "a binary, b binary, grp string")
+    true = nodes.select("node", "grp", "vec").mapInArrow(lean(run), "a binary, b binary, grp string")
     with_a = true.join(placed.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
     both = with_a.join(placed.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     found = both.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("long")).alias("inside")).collect()
@@ -210,7 +212,7 @@ def put_together(nodes: DataFrame, labels: DataFrame) -> DataFrame:
                 angle[at] = np.arccos(np.clip(np.einsum("ij,ij->i", unit([vec[i] for i in at]), unit([pivot[i] for i in at])), -1, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(angle)], names=["label", "angle"])
 
-    radius = members.mapInArrow(angles, "label binary, angle double").groupBy("label").agg(F.max("angle").alias("radius"))
+    radius = members.mapInArrow(lean(angles), "label binary, angle double").groupBy("label").agg(F.max("angle").alias("radius"))
     balls = pivots.join(radius, "label").select(
         F.col("label").alias("node"), F.unhex(F.md5(F.encode("grp", "UTF-8"))).alias("comp"), F.lit(1).cast("long").alias("copies"),
         F.concat("pivot", F.encode(F.format_string("%.12f", "radius"), "UTF-8")).alias("payload"), (F.octet_length("pivot") + 14).alias("weight"),
@@ -231,7 +233,9 @@ def meeting(payloads: list[bytes], side: np.ndarray | None) -> np.ndarray:
 
 
 def neardup(vectors: DataFrame, rounds: int = 4, repeats: int = 3) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Rows (vec_id, n_links, component_id, kept), and the audits' (links, links found)."""
+    """Rows (vec_id, n_links, component_id, kept), and the audits' (links, links found): the last one finds all, or what it missed
+    was compared whole."""
+    small_batches(vectors.sparkSession)
     rows = checkpointed(nodes_of(vectors))
     nodes = checkpointed(rows.where("node is not null").groupBy("node").agg(F.min("grp").alias("grp"), F.min("vec").alias("vec"), F.count("*").alias("copies")))
     largest, total = nodes.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
@@ -266,7 +270,10 @@ def neardup(vectors: DataFrame, rounds: int = 4, repeats: int = 3) -> tuple[Data
     labels = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     told = nodes.select("node", "copies").join(labels, "node", "left").join(links, "node", "left")
     told = told.select("node", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "node").join(told, "node", "left")
-    least = out.where("label is not null").groupBy("label").agg(F.min("vec_id").alias("component_id"))
-    out = out.join(least, "label", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # what is joined by node or label stands by, so that a vector of very many rows, or a large component, can be split
+    linked, alone = rows.where("node is not null").select("vec_id", "node"), rows.where("node is null").select("vec_id")
+    out = checkpointed(linked.join(checkpointed(told), "node"))
+    least = checkpointed(out.groupBy("label").agg(F.min("vec_id").alias("component_id")))
+    out = out.join(least, "label").select("vec_id", "n_links", "component_id")
+    out = out.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), audits
