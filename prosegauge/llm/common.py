@@ -61,7 +61,8 @@ def _libc() -> Any:
         return None
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Memory that this process freed goes back to the system, as after a model was fitted in the driver."""
     pa.default_memory_pool().release_unused()
     if (libc := _libc()) is not None:
         libc.malloc_trim(0)
@@ -74,7 +75,7 @@ def lean(run: Callable[..., Any]) -> Callable[..., Any]:
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return over_batches
 
@@ -85,13 +86,13 @@ def lean_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     def over_one(a: pa.Table) -> pa.Table:
         out = run(a)
         if a.nbytes > 1 << 19:
-            _give_back()
+            give_back()
         return out
 
     def over_two(a: pa.Table, b: pa.Table) -> pa.Table:
         out = run(a, b)
         if a.nbytes + b.nbytes > 1 << 19:
-            _give_back()
+            give_back()
         return out
 
     return over_two if run.__code__.co_argcount == 2 else over_one

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrid import prefix_hashes, span_hashes
-from .common import arrow_columns, crc32_of_id, fresh, hash_drawn
+from .common import arrow_columns, crc32_of_id, fresh, give_back, hash_drawn
 
 #: Bounds of the training sample: documents of a language, languages (those with most documents), and code points of a
 #: document that may be drawn. The weights take 3 MB a language, so the broadcast model is bounded by the second.
@@ -85,6 +85,26 @@ class Words:
         self.tri_first = np.concatenate(([0], np.cumsum(e - s)))
 
 
+def gathered(texts: list[str], most: int = 1 << 18) -> Words:
+    """The words of many texts, made piece by piece, as far as the features of a sample are concerned (first, whole, trigram)."""
+    parts, at, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            parts.append(Words(texts[at : i + 1]))
+            for name in ("off", "end"):
+                delattr(parts[-1], name)
+            at, size = i + 1, 0
+    out = Words.__new__(Words)
+    before = np.concatenate(([0], np.cumsum([len(w.start) for w in parts])))
+    letters = np.concatenate(([0], np.cumsum([len(w.trigram) for w in parts])))
+    out.first = np.concatenate([w.first[:-1] + k for w, k in zip(parts, before, strict=False)] + [before[-1:]])
+    out.whole = [np.concatenate([w.whole[k] for w in parts]) for k in range(5)]
+    out.trigram = np.concatenate([w.trigram for w in parts])
+    out.tri_first = np.concatenate([w.tri_first[:-1] + k for w, k in zip(parts, letters, strict=False)] + [letters[-1:]])
+    return out
+
+
 class Field:
     """Weights (6 tables x 2**BITS x labels), transitions and the labels' names."""
 
@@ -181,7 +201,7 @@ def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray, chunk
 def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 3) -> Field:
     """Adaptive-gradient ascent of the conditional likelihood on spliced sequences."""
     field = Field(sorted(set(langs)))
-    w = Words(texts)
+    w = gathered(texts)
     label = {x: i for i, x in enumerate(field.labels)}
     y_doc = np.array([label[x] for x in langs])
     rng = np.random.default_rng(seed)
@@ -238,7 +258,9 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
         return None
     share = F.coalesce(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")], F.lit(0.0))
     got = sorted((r.lang, r.text) for r in hash_drawn(rows, share).collect() if any(map(str.isalpha, r.text)))
-    return fit([t for _, t in got], [lang for lang, _ in got]) if got else None
+    field = fit([t for _, t in got], [lang for lang, _ in got]) if got else None
+    give_back()
+    return field
 
 
 ADDED = [("lang_pred", "string"), ("score", "double")]
@@ -311,5 +333,6 @@ def reject(docs: DataFrame, field: Field | None, least: float | None = None, mos
     bound = least if least is not None else 1.05 / max(1, len(field.labels) if field else 1)
     if field is not None and len(field.labels) == 1:
         bound = 0.0
-    told = predict(docs.where(F.col("text").rlike(r"\p{L}") & (noise(F.col("text")) < most_noise)), field, names)
+    with_letters = docs.where(F.col("text").rlike(r"\p{L}"))
+    told = predict(with_letters if most_noise >= 1 else with_letters.where(noise(F.col("text")) < most_noise), field, names)
     return told.where((F.col(names[0]) != "und") & (F.col(names[1]) >= bound)).select(*docs.columns)

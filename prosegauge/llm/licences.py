@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrid import Words, mixed
-from .common import arrow_columns, drawn
+from .common import arrow_columns, drawn, give_back
 
 # Customary notices of well-known licences.
 TEMPLATES = {
@@ -237,7 +237,9 @@ def train(docs: DataFrame) -> Classifier:
     # notices that stand in the sample are not ordinary
     cues = ("licen", "rights reserved", "copyright", "creative commons", "public domain", "redistribut", "permission is ", "permission to ", "warrant")
     lines = sorted((line for line in lines if not any(c in line.lower() for c in cues)), key=lambda line: blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest())
-    return fit(lines[:MOST_PARAGRAPHS])
+    model = fit(lines[:MOST_PARAGRAPHS])
+    give_back()
+    return model
 
 
 def runs(which: np.ndarray, follows: np.ndarray) -> list[tuple[int, int]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, drawn, fresh
+from .common import arrow_columns, drawn, fresh, give_back
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample, the least probability of an added span, hash cells of the unary features.
@@ -299,7 +299,9 @@ def train(docs: DataFrame) -> Field | None:
     rows = docs.select("doc_id", "text").where((F.length("text") <= LONGEST_DRAWN) & F.col("text").rlike("@|[0-9]{3}"))
     texts = sorted(r.text for r in drawn(rows, SAMPLE).collect())
     examples = [x for i, t in enumerate(texts) for x in examples_of(t, i) if x[0].nodes]
-    return fit(examples) if examples else None
+    field = fit(examples) if examples else None
+    give_back()
+    return field
 
 
 def spans_of(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int, bool]]]:
