@@ -1,11 +1,11 @@
 """Rewriters, strategies, the closed loop and what is built from their results.
 
-A rewriter is a named Column -> Column. The loop is a batch iteration: each round works on the rows that are still
-active, accepts or rejects candidates, and is cut off by a reliable checkpoint; finished rows are put aside."""
+A rewriter is a named Column -> Column; null is a draw that failed. The loop is a batch iteration: each round works on the
+rows that are still active, accepts or rejects candidates, and is cut off by a reliable checkpoint; finished rows are put
+aside."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,19 +16,42 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, plain
 from ..functions.columns import is_blank, round4
+from ..sources.tables import shared_folder
 from .hidden import scrub
 from .locks import lock, restore, same_sentinels
-from .scoring import lite_counts, lite_signal, sentence_flags
+from .scoring import flagged_array, lite_counts, lite_signal, sentence_flags
 
 
 @dataclass(frozen=True)
 class Rewriter:
-    """rewrite takes text and draw number (a literal column); deterministic ones stop the loop when nothing changes."""
+    """rewrite takes text and draw number (a literal column), and where it is guided the prompt of the round: the reading, the
+    wanted voice and the flagged sentences. It returns the new text, or null if the draw failed. Deterministic ones stop the
+    loop when nothing changes."""
 
     name: str
-    rewrite: Callable[[Column, Column], Column]
+    rewrite: Callable[..., Column]
     deterministic: bool = False
     available: Callable[[], bool] = lambda: True
+    guided: bool = False
+
+
+def python_rewriter(name: str, rewrite: Callable[[str, str], str], deterministic: bool = False) -> Rewriter:
+    """A guided rewriter from a Python function of text and prompt; whatever it raises is a failed draw of that text."""
+
+    def column(text: Column, draw: Column, ask: Column) -> Column:
+        @F.pandas_udf("string")
+        def run(texts: pd.Series, draws: pd.Series, prompts_: pd.Series) -> pd.Series:
+            def one(t: str, p: str) -> str | None:
+                try:
+                    return rewrite(t, p)
+                except Exception:
+                    return None
+
+            return pd.Series([one(t, p) for t, p in zip(texts, prompts_, strict=True)], dtype=object)
+
+        return run(text, draw, ask)
+
+    return Rewriter(name, column, deterministic, guided=True)
 
 
 def scripted(text: Column, strength: float) -> Column:
@@ -39,12 +62,13 @@ def scripted(text: Column, strength: float) -> Column:
     return run(text)
 
 
-def surgical(text: Column, threshold: float = fixed.THRESHOLD, most: int = 8) -> Column:
-    """struct(text, substitutions)."""
+def surgical(text: Column, threshold: float = fixed.THRESHOLD, most: int = 8, more: dict[str, list[str]] | Callable[[str], list[str]] | None = None) -> Column:
+    """struct(text, substitutions); more extends the synonym table."""
+    table = extended(more)
 
     @F.pandas_udf("text string, substitutions int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([plain.substituted(t or "", threshold, most) for t in texts], columns=["text", "substitutions"])
+        return pd.DataFrame([plain.substituted(t or "", threshold, most, table) for t in texts], columns=["text", "substitutions"])
 
     return run(text)
 
@@ -83,10 +107,19 @@ def without_word(text: Column, word: Column) -> Column:
     return F.regexp_replace(text, F.concat(F.lit(rf"(?<!{edge})\Q"), word, F.lit(rf"\E(?!{edge})")), F.lit(""))
 
 
-def synonyms(df: DataFrame, word: str, most: int = 6) -> DataFrame:
-    """Rows (word, place, synonym) of the table's words: in order, without repeats in another case, the first six."""
+def extended(more: dict[str, list[str]] | Callable[[str], list[str]] | None) -> dict[str, list[str]]:
+    """The synonym table with further synonyms behind its own: a table, or a function that is asked once for each word of the table."""
+    if more is None:
+        return fixed.SYNONYMS
+    further = {w: more(w) for w in fixed.SYNONYMS} if callable(more) else {w.lower(): v for w, v in more.items()}
+    return {w: [*fixed.SYNONYMS.get(w, []), *further.get(w, [])] for w in [*fixed.SYNONYMS, *(w for w in further if w not in fixed.SYNONYMS)]}
+
+
+def synonyms(df: DataFrame, word: str, most: int = 6, more: dict[str, list[str]] | Callable[[str], list[str]] | None = None) -> DataFrame:
+    """Rows (word, place, synonym) of the table's words: in order, without repeats in another case, the first six; more extends
+    the table, whose size is that of a word list."""
     spark = df.sparkSession
-    rows = [(k, i, s) for k, v in fixed.SYNONYMS.items() for i, s in enumerate(v)]
+    rows = [(k, i, s) for k, v in extended(more).items() for i, s in enumerate(v)]
     table = spark.createDataFrame(rows, "entry string, place int, synonym string")
     first = F.row_number().over(Window.partitionBy("entry", F.lower("synonym")).orderBy("place"))
     ranked = table.withColumn("again", first).where("again = 1").withColumn("place", F.row_number().over(Window.partitionBy("entry").orderBy("place"))).where(F.col("place") <= most)
@@ -193,27 +226,29 @@ def run_strategies(docs: DataFrame, names: list[str], **how) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def closed_loop(
     docs: DataFrame, rewriter: Rewriter | None = SURGICAL, threshold: float = fixed.THRESHOLD, margin: float = 0.0, bar: float = fixed.TOKEN_BAR,
     max_iters: int = fixed.MAX_ITERS, best_of: int = 1, scrub_first: bool = True, confirm: int = 0, polish: bool = False, score_on: str = "masked",
-    score: Callable[[Column], Column] = reading, confirm_score: Callable[[Column, int], Column] | None = None,
+    score: Callable[[Column], Column] = reading, confirm_score: Callable[[Column, int], Column] | None = None, style: str | None = None, tier: str = "lite",
 ) -> DataFrame:
-    """Rows (doc_id, final, iterations, rewrites, pre_max, post_max, similarity, flagged, stopped).
+    """Rows (doc_id, final, iterations, rewrites, pre_max, post_max, similarity, flagged, stopped, tier, sim_bar, quality_metric).
 
-    stopped: passed, stalled, max_iters, passed_unconfirmed, or error where no rewriter is available (text unchanged).
-    score_on: readings of the masked text, or of the restored one."""
+    stopped: passed, stalled, max_iters, passed_unconfirmed, or error where no rewriter is available (text unchanged) or the
+    first draw of a round fails (the text as it stood before the round). Later draws that fail leave the others to choose from.
+    score_on: readings, also the confirming ones, of the masked text, or of the restored one. A guided rewriter gets each
+    round's prompt with the reading, the style and the flagged sentences of the best text so far. tier is the scorer's own."""
+    fields = [F.lit(tier).alias("tier"), F.lit(bar).cast("double").alias("sim_bar"), F.lit("token").alias("quality_metric")]
     if rewriter is None or not rewriter.available():
         df = docs.select("doc_id", F.col("text").alias("final"))
-        return df.select("*", F.lit(0).alias("iterations"), F.lit(0).alias("rewrites"), F.lit(None).cast("double").alias("pre_max"), F.lit(None).cast("double").alias("post_max"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("flagged"), F.lit("error").alias("stopped"))
+        return df.select("*", F.lit(0).alias("iterations"), F.lit(0).alias("rewrites"), F.lit(None).cast("double").alias("pre_max"), F.lit(None).cast("double").alias("post_max"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("flagged"), F.lit("error").alias("stopped"), *fields)
     text = F.coalesce(F.col("text"), F.lit(""))
     state = lock(docs.select("doc_id", (scrub(text) if scrub_first else text).alias("text")))
-    seen = (lambda c: score(F.col(c))) if score_on == "masked" else (lambda c: score(restore(F.col(c), F.col("mapping"))))
+    view = (lambda c: F.col(c)) if score_on == "masked" else (lambda c: restore(F.col(c), F.col("mapping")))
+    seen = lambda c: score(view(c))
     state = state.select("doc_id", "masked", "mapping", F.col("masked").alias("best")).withColumn("pre_max", seen("masked"))
     state = state.withColumns({"post_max": F.col("pre_max"), "similarity": F.lit(1.0), "iterations": F.lit(0), "rewrites": F.lit(0), "stopped": F.lit("max_iters")})
     goal, done = threshold - margin, None
@@ -221,16 +256,21 @@ def closed_loop(
     for turn in range(1, max_iters + 1):
         active = active.withColumn("iterations", F.lit(turn))
         over = active.where(F.col("post_max") < goal).withColumn("stopped", F.lit("passed"))
-        rest = active.where(F.col("post_max") >= goal).withColumns({"before": F.col("best"), "cand": F.lit(None).cast("string"), "cand_max": F.lit(None).cast("double"), "cand_sim": F.lit(None).cast("double")})
+        rest = active.where(F.col("post_max") >= goal).withColumns({"before": F.col("best"), "cand": F.lit(None).cast("string"), "cand_max": F.lit(None).cast("double"), "cand_sim": F.lit(None).cast("double"), "failed": F.lit(False)})
+        if rewriter.guided:
+            worst = F.array(F.struct(F.lit(1).alias("place"), F.lit("perplexity_burstiness").alias("detector"), F.col("post_max").alias("score")))
+            rest = rest.withColumn("ask", prompt(F.col("best"), worst, flagged_array(F.col("best"), threshold), F.lit(style).cast("string"), threshold))
         for draw in range(max(1, best_of)):
-            rest = rest.withColumn("new", rewriter.rewrite(F.col("best"), F.lit(draw)))
+            rest = rest.withColumn("new", rewriter.rewrite(F.col("best"), F.lit(draw), *([F.col("ask")] if rewriter.guided else [])))
             rest = rest.withColumns({"new_max": seen("new"), "new_sim": dice_of("masked", "new"), "rewrites": F.col("rewrites") + 1})
-            valid = same_sentinels(F.col("new"), F.col("mapping")) & (F.col("new_sim") >= bar) & (F.col("cand_max").isNull() | (F.col("new_max") < F.col("cand_max")))
+            if draw == 0:
+                rest = rest.withColumn("failed", F.col("new").isNull())
+            valid = ~F.col("failed") & F.col("new").isNotNull() & same_sentinels(F.col("new"), F.col("mapping")) & (F.col("new_sim") >= bar) & (F.col("cand_max").isNull() | (F.col("new_max") < F.col("cand_max")))
             rest = rest.withColumns({c: F.when(valid, F.col(n)).otherwise(F.col(c)) for c, n in (("cand", "new"), ("cand_max", "new_max"), ("cand_sim", "new_sim"))})
         take = F.coalesce(F.col("cand_max") <= F.col("post_max"), F.lit(False))
         rest = rest.withColumns({c: F.when(take, F.col(n)).otherwise(F.col(c)) for c, n in (("best", "cand"), ("similarity", "cand_sim"), ("post_max", "cand_max"))})
         stalled = F.lit(rewriter.deterministic) & (F.col("best") == F.col("before"))
-        rest = rest.withColumn("stopped", F.when(F.col("post_max") < goal, "passed").when(stalled, "stalled").otherwise("max_iters"))
+        rest = rest.withColumn("stopped", F.when(F.col("failed"), "error").when(F.col("post_max") < goal, "passed").when(stalled, "stalled").otherwise("max_iters"))
         both = _saved(over.unionByName(rest.select(*over.columns)))
         ended = both.where("stopped != 'max_iters'")
         done = ended if done is None else done.unionByName(ended)
@@ -240,14 +280,14 @@ def closed_loop(
     out = done.unionByName(active)
     again = confirm_score or (lambda c, _: score(c))
     for k in range(confirm):
-        out = out.withColumn("again", again(F.col("best"), k))
+        out = out.withColumn("again", again(view("best"), k))
         fails = (F.col("stopped") == "passed") & (F.col("again") >= goal)
         out = out.withColumns({"post_max": F.when(fails, F.col("again")).otherwise(F.col("post_max")), "stopped": F.when(fails, "passed_unconfirmed").otherwise(F.col("stopped"))}).drop("again")
     if polish:
         out = out.withColumn("new", surgical(F.col("best"), threshold)["text"]).withColumns({"new_max": seen("new"), "new_sim": dice_of("masked", "new")})
-        take = same_sentinels(F.col("new"), F.col("mapping")) & (F.col("new_sim") >= bar) & (F.col("new_max") <= F.col("post_max"))
+        take = (F.col("stopped") != "error") & same_sentinels(F.col("new"), F.col("mapping")) & (F.col("new_sim") >= bar) & (F.col("new_max") <= F.col("post_max"))
         out = out.withColumns({c: F.when(take, F.col(n)).otherwise(F.col(c)) for c, n in (("best", "new"), ("similarity", "new_sim"), ("post_max", "new_max"))})
-    return out.select("doc_id", restore(F.col("best"), F.col("mapping")).alias("final"), "iterations", "rewrites", "pre_max", "post_max", "similarity", (F.col("post_max") >= threshold).alias("flagged"), "stopped")
+    return out.select("doc_id", restore(F.col("best"), F.col("mapping")).alias("final"), "iterations", "rewrites", "pre_max", "post_max", "similarity", (F.col("post_max") >= threshold).alias("flagged"), "stopped", *fields)
 
 
 # --- training rows -----------------------------------------------------------------------------------------------------

@@ -119,17 +119,41 @@ def rank(tier: Column) -> Column:
     return out
 
 
-def selected(scorers: list[Scorer], tier: str) -> list[Scorer]:
+def selected(scorers: list, tier: str) -> list:
     """Available scorers up to a tier; an unknown tier asks for the lowest; never empty if the lite one is among them."""
     most = fixed.TIERS.index(tier) if tier in fixed.TIERS else 0
     found = [s for s in scorers if fixed.TIERS.index(s.tier) <= most and s.available()]
     return found or [s for s in scorers if s.tier == "lite"][:1]
 
 
-def readings(df: DataFrame, scorers: list[Scorer], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, detector, tier, score, error): one per scorer; a scorer that is out gives a null score."""
-    each = [F.struct(F.lit(s.name).alias("detector"), F.lit(s.tier).alias("tier"), round4(s.build(F.col(text))).alias("score"), F.lit(None).cast("string").alias("error")) for s in scorers]
-    return df.select(key, F.explode(F.array(*each)).alias("r")).select(key, "r.*")
+def readings(df: DataFrame, scorers: list, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, detector, tier, score, error): one per scorer; a scorer that is out gives a null score, one that fails also an
+    error: a Column that cannot be built for all rows, a model or Python scorer (operators.models) for the texts at fault.
+
+    Columns are one projection; all models together are one Arrow pass, only if there are any."""
+    from . import models
+
+    def one(name: str, tier: str, score: Column, error: Column) -> Column:
+        return F.struct(F.lit(name).alias("detector"), F.lit(tier).alias("tier"), score.alias("score"), error.alias("error"))
+
+    none, rows = F.lit(None).cast("string"), df.select(key, text)
+    native = []
+    for s in scorers:
+        if isinstance(s, models.ModelScorer):
+            continue
+        try:
+            built = round4(s.build(F.col(text)))
+            rows.select(built).schema  # noqa: B018  analysed now, so that a Column that cannot be is this scorer's error alone
+            native.append(one(s.name, s.tier, built, none))
+        except Exception as e:
+            native.append(one(s.name, s.tier, F.lit(None).cast("double"), F.lit(models.told(e))))
+    with_model = [s for s in scorers if isinstance(s, models.ModelScorer)]
+    kind = "array<struct<detector:string,tier:string,score:double,error:string>>"
+    each = F.array(*native).cast(kind) if native else F.array().cast(kind)
+    if with_model:
+        rows = models.with_model_readings(rows, with_model, text, "model_readings_")
+        each = F.concat(each, F.transform("model_readings_", lambda r: F.struct(r["detector"], r["tier"], round4(clamp01(r["score"])).alias("score"), r["error"])).cast(kind))
+    return rows.select(key, F.explode(each).alias("r")).select(key, "r.*")
 
 
 def ensemble(readings_: DataFrame, key: str, requested: str = "full", threshold: float = fixed.THRESHOLD) -> DataFrame:
@@ -177,6 +201,20 @@ def sentence_flags(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     return rows.withColumn("flagged", (worst <= most) & (F.col("score") >= threshold))
 
 
+def flagged_array(text: Column, threshold: float = fixed.THRESHOLD) -> Column:
+    """sentence_flags of one text as an array of its flagged sentences in order; row-local, for the loop's prompts."""
+
+    def read(s: Column) -> Column:
+        lengths = F.filter(F.transform(F.split(s, DROP_SPLIT, -1), lambda x: F.regexp_count(x, F.lit(LITE_WORDS))), lambda n: n > 0)
+        return e4(lite_signal(count_of(s, word_list(fixed.COMMON_WORDS)).cast("long"), moments(lengths), is_blank(s)))
+
+    pieces = F.filter(F.transform(F.split(trimmed(F.coalesce(text, F.lit(""))), KEEP_SPLIT, -1), trimmed), lambda s: s != "")
+    ranked = F.array_sort(F.transform(pieces, lambda s, i: F.struct((-read(s)).alias("order"), i.alias("pos"), s.alias("sentence"))))
+    worst = F.slice(ranked, 1, F.greatest(F.lit(1), F.floor((F.size(ranked) + 2) / 3).cast("int")))
+    at = F.lit(int(threshold * 10000 + 0.5))
+    return F.transform(F.array_sort(F.transform(F.filter(worst, lambda x: -x["order"] >= at), lambda x: F.struct(x["pos"], x["sentence"]))), lambda x: x["sentence"])
+
+
 def worst_detectors(readings_: DataFrame, key: str, k: int = 3) -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.desc("score"), "detector")
     return readings_.where("score is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -64,5 +64,6 @@ def before_after(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """rows with value from table by key, the key itself where it is unknown; Spark broadcasts the table if it is small."""
-    return rows.join(table.select(key, value).dropDuplicates([key]), key, "left").withColumn(value, F.coalesce(value, key))
+    """rows with value from table by key, the least one where the table has several, the key itself where it is unknown; Spark
+    broadcasts the table if it is small."""
+    return rows.join(table.groupBy(key).agg(F.min(value).alias(value)), key, "left").withColumn(value, F.coalesce(value, key))

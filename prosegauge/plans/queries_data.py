@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPACE, e4
-from ..operators import markers, reports, rewriting, scoring
+from ..operators import markers, models, reports, rewriting, scoring
 from ..sources import tables
 from ..streaming import scores
 from .queries_reports import readings
@@ -124,6 +123,25 @@ def prove(spark, sf_dir):
     return before.join(loop.select("doc_id", "iterations"), "doc_id").join(after, "doc_id")
 
 
+@query("model_readings", f"""WITH {SEEDED}, n AS (SELECT doc_id, len(text) AS n FROM seeded)
+SELECT doc_id, 'by_length' AS detector, CASE WHEN n % 7 <> 0 AND n % 11 <> 0 THEN n % 101 * 100 END::BIGINT AS score_e4, n % 7 = 0 AS failed FROM n
+UNION ALL SELECT doc_id, 'unloaded', NULL, TRUE FROM n""")
+def model_readings(spark, sf_dir):
+    """Two models without weights: one reads lengths, fails on some texts and stays out of others; one does not load."""
+
+    def by_length(divisor: int, texts: list[str]) -> list[float | None]:
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("a text that this model cannot read")
+        return [None if len(t) % 11 == 0 else len(t) % divisor / 100 for t in texts]
+
+    def missing() -> int:
+        raise FileNotFoundError("no weights")
+
+    scorers = [models.ModelScorer("by_length", "full", lambda: 101, by_length), models.ModelScorer("unloaded", "heavy", missing, by_length)]
+    rows = scoring.readings(documents(spark, sf_dir), scorers)
+    return rows.select("doc_id", "detector", e4(F.col("score")).alias("score_e4"), F.col("error").isNotNull().alias("failed"))
+
+
 # --- samples and labels ------------------------------------------------------------------------------------------------
 
 
@@ -209,11 +227,8 @@ def json_rows(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that all executors see: beside the checkpoints; one of our own only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """A folder that all executors see, beside the checkpoints."""
+    return f"{tables.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("jsonl_roundtrip", f"WITH {SEEDED} SELECT doc_id, md5(text) AS digest FROM seeded")
@@ -277,6 +292,21 @@ def marker_stream(spark, sf_dir):
     return _drain(scores.marked(_stream(spark, sf_dir)).select("doc_id", "words", "tells"), spark).agg(F.count("*").alias("n_docs"))
 
 
+_PLAIN = "seeded AS (SELECT doc_id, text, lang, source FROM documents)"
+
+
+@query("lite_score_stream_rows", f"WITH {LITE.replace(SEEDED, _PLAIN)} SELECT doc_id, n_words, score_e4, score_e4 >= 3000 AS flagged FROM scored")
+def lite_score_stream_rows(spark, sf_dir):
+    """Every row that the stream scores, not their number alone."""
+    return _drain(scores.scored(_stream(spark, sf_dir)).select("doc_id", "n_words", e4(F.col("score")).alias("score_e4"), "flagged"), spark)
+
+
+@query("marker_stream_rows", f"WITH {MARKED.replace(SEEDED, _PLAIN)} SELECT doc_id, words, tells, rate_e2 FROM rated")
+def marker_stream_rows(spark, sf_dir):
+    rate = F.floor(F.col("tells_per_100w") * 100 + 0.5).cast("long")
+    return _drain(scores.marked(_stream(spark, sf_dir)).select("doc_id", F.col("words").cast("long").alias("words"), "tells", rate.alias("rate_e2")), spark)
+
+
 @query("stream_equals_batch", "SELECT doc_id, TRUE AS same FROM documents")
 def stream_equals_batch(spark, sf_dir):
     live = _drain(scores.scored(_stream(spark, sf_dir)).select("doc_id", e4(F.col("score")).alias("live")), spark)

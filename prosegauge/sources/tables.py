@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import io
+import re
+import tempfile
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPACE, clamp01, is_blank, trimmed
@@ -47,8 +55,60 @@ def labelled_passages(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumn("k", (F.col("id") % len(LABELLED)).cast("int")).join(F.broadcast(table), "k").select("id", "text", "label")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors see. Where none is set, a session whose tasks run in this process gets one of its
+    own; any other raises, since its executors could not see it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
+    return context.getCheckpointDir()
+
+
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_text(data: bytes) -> str:
+    """The paragraphs of a word-processor file, joined by line ends; tabs and breaks inside a paragraph are kept."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    marks = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
+    paragraph = lambda p: "".join(e.text or "" if e.tag == f"{_WORD}t" else marks.get(e.tag, "") for e in p.iter())
+    return "\n".join(paragraph(p) for p in root.iter(f"{_WORD}p"))
+
+
+def pdf_text(data: bytes) -> str:
+    """The pages of a PDF, joined by line ends; needs pypdf."""
+    from pypdf import PdfReader
+
+    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
+
+
+def file_text(path: str, data: bytes) -> tuple[str | None, str | None]:
+    """(text, error) of one file by its ending: .docx, .pdf, else UTF-8."""
+    ending = path.lower().rsplit(".", 1)[-1]
+    try:
+        return {"docx": docx_text, "pdf": pdf_text}.get(ending, lambda d: d.decode("utf-8"))(data), None
+    except Exception as e:  # files of others may be broken in any way, and a reader may be missing
+        return None, f"{type(e).__name__}: {e}"[:140]
+
+
+def documents_in_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, text, error), one per file of any kind; a file that cannot be read has an error and no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text, error = file_text(at, data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([text], pa.string()), pa.array([error], pa.string())], names=["path", "text", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string, error string")
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, text), one per file; .docx and .pdf need a reader that is not installed and are refused by name."""
+    """Rows (path, text), one per UTF-8 file, read by the JVM alone; .docx and .pdf files are left to documents_in_files."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return files.where(~F.lower("path").rlike(r"\.(docx|pdf)$"))
 
@@ -104,17 +164,37 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 
 def balanced(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Equal numbers of both classes (cut at 0.5): the first of each by key, in a seeded order. Counts, not rows, reach the driver."""
+    """Equal numbers of both classes (cut at 0.5): the first of each by key, in a seeded order. Counts, not rows, reach the driver,
+    and each task hands on no more rows of a class than the sample takes."""
     high = F.coalesce(F.col("label") >= 0.5, F.lit(False))
     got = {r.high: r["count"] for r in rows.groupBy(high.alias("high")).count().collect()}
     k = min(got.get(True, 0), got.get(False, 0), max(1, n // 2))
-    place = F.row_number().over(Window.partitionBy(high).orderBy(key))
-    return rows.withColumn("place", place).where(F.col("place") <= k).drop("place").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    first = rows.where(high).orderBy(key).limit(k).unionByName(rows.where(~high).orderBy(key).limit(k))
+    return first.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+
+
+def stream_sample(rows: DataFrame, key: str, n: int, seed: int = 0, reach: float = 1.3) -> DataFrame:
+    """The balanced sample of a long labelled table of which only the first 1.3 n rows by key are looked at."""
+    return balanced(rows.orderBy(key).limit(int(reach * n)), key, n, seed)
+
+
+def to_json(df: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Rows (value): each row as one line of JSON. With ascii_only other characters are escapes of four hexadecimal digits, two of
+    them beyond the basic plane."""
+    value = F.to_json(F.struct(*df.columns))
+    if ascii_only:
+        code = lambda x: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(x), 4, "0")))
 
+        def escaped(c: Column) -> Column:
+            utf16 = F.encode(c, "UTF-16BE")
+            half = lambda k: F.conv(F.hex(F.substring(utf16, k, 2)), 16, 10).cast("int")
+            return F.when(F.octet_length(utf16) > 2, F.concat(code(half(1)), code(half(3)))).otherwise(code(half(1)))
 
-def to_json(df: DataFrame) -> DataFrame:
-    """Rows (value): each row as one line of JSON, non-ASCII characters kept."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+        plain = F.split(value, r"[^\x00-\x7f]", -1)
+        other = F.transform(F.regexp_extract_all(value, F.lit(r"[^\x00-\x7f]"), F.lit(0)), escaped)
+        joined = F.array_join(F.flatten(F.zip_with(plain, other, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+        value = F.when(value.rlike(r"[^\x00-\x7f]"), joined).otherwise(value)
+    return df.select(value.alias("value"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
