@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import read
+from ..sources.tables import read, shared_folder
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default of 64 MB and more.
 BATCH_BYTES = 4 << 20
@@ -26,18 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of spark.checkpoint.dir, which all executors share. Where none is set, a session whose tasks run
-    in this process gets one of its own; any other raises, since its executors could not see it."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
-    return context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
     shared_folder(df.sparkSession)
