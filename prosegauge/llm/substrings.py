@@ -46,6 +46,8 @@ BLOCK_BYTES = 1 << 20
 LARGEST = np.iinfo(np.int64).max
 #: Runs of one anchor in a bucket, and in all buckets, beyond which the anchor is hot.
 HOT_RUNS, HOT_TOTAL = 16, 4096
+#: How the bytes of runs are packed.
+CODEC = "zstd"
 #: Answers for an anchor: in documents of one id alone; in several; in several and hot.
 FREE, SHARED, HOT = 0, 1, 2
 
@@ -128,7 +130,9 @@ class Bucket:
                 blocks[at].append(x + lo if at < 3 else x)
         if not blocks[0]:
             blocks = [[np.zeros(0, np.int64)]] * 3 + [[np.zeros(0, np.uint64)]] * 2
-        self.first, self.last, self.anchor, self.hash, run = map(np.concatenate, blocks)
+        self.first, self.last, self.anchor, gram, run = map(np.concatenate, blocks)
+        # anchors are the smallest by their first four bytes, which are small numbers; the last four are even and come first here
+        self.hash = (gram << np.uint64(32)) | (gram >> np.uint64(32))
         self.doc = np.searchsorted(self.off, self.first, "right") - 1
         self.part = part_of(self.hash, parts)
         while True:
@@ -273,7 +277,7 @@ def send_bytes(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa
         at = by[i:j]
         text = b"".join(b.data[i : i + k + length].tobytes() for i, k in zip(first[at], size[at], strict=True))
         small = lambda x: x[at].astype(np.uint8).tobytes()  # noqa: E731, B023
-        row = (p, bucket, entry[at].astype("<u4").tobytes(), small(shift), five(gram[at]), small(anchor), small(size), packed(b.ids[doc[at]]), text)
+        row = (p, bucket, entry[at].astype("<u4").tobytes(), small(shift), five(gram[at]), small(anchor), small(size), packed(b.ids[doc[at]]), pa.compress(text, CODEC, asbytes=True))
         for col, x in zip(out, row, strict=True):
             col.append(x)
     return rows(BYTES, out)
@@ -390,12 +394,15 @@ def windows(table: pa.Table, length: int) -> pa.Table:
     """Which windows of the sent runs also start in a document of a smaller id; anchor by anchor, about BLOCK_BYTES at once."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
     join = lambda c, kind: np.frombuffer(b"".join(cols[c]), kind)
-    data, gram, each = join("bytes", np.uint8), unfive(b"".join(cols["gram"])), [len(x) for x in cols["size"]]
+    each = [len(x) for x in cols["size"]]
+    lead, size = join("lead", np.uint8).astype(np.int64), join("size", np.uint8).astype(np.int64)
+    total, cuts = np.concatenate(([0], np.cumsum(size + length))), np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
+    raw = np.diff(total[cuts]).tolist()
+    data = np.frombuffer(b"".join(pa.decompress(x, n, CODEC, asbytes=True) for x, n in zip(cols["bytes"], raw, strict=True)), np.uint8)
+    gram = unfive(b"".join(cols["gram"]))
     if not len(gram):
         return rows(WINDOWS, [[] for _ in range(4)])
-    lead, size = join("lead", np.uint8).astype(np.int64), join("size", np.uint8).astype(np.int64)
     ids = np.concatenate([unpacked(x, n) for x, n in zip(cols["ids"], each, strict=True)])
-    total = np.concatenate(([0], np.cumsum(size + length)))
     mask = np.zeros(len(gram), np.uint32)
     by = np.argsort(gram, kind="stable")
     opens = np.flatnonzero(np.insert(gram[by][1:] != gram[by][:-1], 0, True))
@@ -411,7 +418,7 @@ def windows(table: pa.Table, length: int) -> pa.Table:
         here = data[np.repeat(total[at] - start, n) + np.arange(n.sum())]
         mask[at] = removed(here, start, gram[at], lead[at], size[at], ids[at], length)
         i = j
-    cuts, out = np.concatenate(([0], np.cumsum(each))), [[] for _ in range(4)]
+    out: list[list] = [[] for _ in range(4)]
     for k, (b, e, s) in enumerate(zip(cols["bucket"], cols["entry"], cols["shift"], strict=True)):
         m = mask[cuts[k] : cuts[k + 1]]
         if hit := np.flatnonzero(m).tolist():
