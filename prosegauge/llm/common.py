@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
+def checkpointed(df: DataFrame, scanned: bool = False) -> DataFrame:
+    """Cut the lineage through the shared folder, in at most three files a core: many small partitions would each be a file, and
+    creating files is what small checkpoints cost. A table that comes straight from a scan keeps the scan's splits."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    few = df if scanned else df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+    return few.checkpoint(eager=True)
 
 
 def small_batches(spark: SparkSession) -> None:

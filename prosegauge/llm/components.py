@@ -23,7 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     parents = checkpointed(links.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent"), F.lit(True).alias("changed")))
     for _ in range(most_rounds):
         above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        grand = checkpointed(parents.select("node", "parent").join(above, "parent").select("node", "parent", "grand"))
+        grand = parents.select("node", "parent").join(above, "parent").select("node", "parent", "grand")
         heard = links.join(grand.select(F.col("node").alias("v"), "grand"), "v").groupBy("u").agg(F.min("grand").alias("least"))
         told = grand.join(heard.withColumnRenamed("u", "node"), "node").withColumn("least", F.least("least", "grand"))
         sent = told.select(F.explode(F.array(F.struct("node", "least", F.col("parent").alias("was")), F.struct(F.col("parent").alias("node"), "least", F.lit(None).cast(parents.schema["parent"].dataType).alias("was")))).alias("h")).select("h.*")

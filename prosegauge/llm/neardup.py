@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .bytegrid import Words, mixed
-from .common import arrow_columns, checkpointed, fresh, lean, small_batches
+from .common import arrow_columns, checkpointed, fresh, lean, small_batches, text_slices
 from .components import components
 
 SHINGLE, THRESHOLD, TREES, LONGEST, TARGET = 5, 0.8, 24, 8, 0.9999
@@ -206,8 +206,8 @@ def audit(docs: DataFrame, threshold: float, trees: int, longest: int, size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, counts = sent.value, np.zeros(longest + 1, np.int64)
-        for b in batches:
-            s = Shingles(b.column(0))
+        for part in (b.column(0).slice(i, j - i) for b in batches for i, j in text_slices(b.column(0), 1 << 19)):
+            s = Shingles(part)
             if not len(s.hash):
                 continue
             text, query = q.links(s, threshold)
@@ -347,7 +347,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, lo
     texts = docs.select("doc_id", "text")
     recall = audit(texts, threshold, trees, longest, audited).recall() if audited else {}
     depth = prefix_depth(threshold, trees, longest, target, recall)
-    rows = checkpointed(signed(docs, trees, longest))
+    rows = checkpointed(signed(docs, trees, longest), scanned=True)
     nodes = rows.where("node is not null").groupBy(F.col("node").alias("hash")).agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n_words").alias("n_words"), F.min("signatures").alias("signatures"))
     nodes = checkpointed(nodes.withColumn("name", named()))
     comps = components(neighbours(nodes.select("name", "signatures"), trees, longest, depth)).select(F.col("node").alias("name"), F.col("label").alias("comp"))

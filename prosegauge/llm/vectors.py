@@ -200,7 +200,7 @@ def put_together(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     large = checkpointed(labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("label"))
     if len(large.head(2)) < 2:
         return labels.select("node", F.col("label").alias("comp"))
-    pivots = nodes.select(F.col("node").alias("label"), "grp", F.col("vec").alias("pivot")).join(large, "label")
+    pivots = checkpointed(nodes.select(F.col("node").alias("label"), "grp", F.col("vec").alias("pivot")).join(large, "label"))
     members = nodes.select("node", "vec").join(labels, "node").join(pivots.drop("grp"), "label").select("label", "vec", "pivot")
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def neardup(vectors: DataFrame, rounds: int = 4, repeats: int = 3) -> tuple[Data
     """Rows (vec_id, n_links, component_id, kept), and the audits' (links, links found): the last one finds all, or what it missed
     was compared whole."""
     small_batches(vectors.sparkSession)
-    rows = checkpointed(nodes_of(vectors))
+    rows = checkpointed(nodes_of(vectors), scanned=True)
     nodes = checkpointed(rows.where("node is not null").groupBy("node").agg(F.min("grp").alias("grp"), F.min("vec").alias("vec"), F.count("*").alias("copies")))
     largest, total = nodes.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
     largest, audited = largest or 0, max(AUDITED, int(4 * (total or 0) ** 0.5))
