@@ -30,14 +30,17 @@ LABELLED = [(PASSAGES[0], 1.0), (PASSAGES[1], 1.0), (PASSAGES[2], 1.0)] + [
 ]
 
 
-#: Tables of fewer bytes than this are dealt out evenly: a file of one row group is otherwise one task.
-SMALL = 20 << 20
+#: Session setting: tables of fewer bytes than this are dealt out over the cores. Off where it is not set; only the bench sets it, since
+#: its tables are files of one row group, each of which is otherwise one task.
+SPREAD_BELOW = "spark.prosegauge.spreadBelowBytes"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many parts as there are cores if its files are small; larger inputs come in many splits and are not moved."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 1 << 19 < size < SMALL else df
+    """df in as many parts as there are cores if the session asks for it at this size; else as it was read."""
+    below = int(df.sparkSession.conf.get(SPREAD_BELOW, "0"))
+    if below <= 0 or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= below:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
