@@ -39,8 +39,8 @@ PHASED = f"{READINGS}, {_readings_sql('r2', 61)}, phased AS (SELECT 'after' AS p
 
 def readings(spark: SparkSession, sf_dir: str, factor: int = 37) -> DataFrame:
     """(doc_id, k, detector, tier, score, error): five scorers a document, some out, some failed, some documents without any."""
-    table = spark.createDataFrame([(k, d, t) for k, (d, t) in enumerate(SCORERS)], "k int, detector string, tier string")
-    df = tables.read(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(table), how="cross")
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("detector"), F.lit(t).alias("tier")) for k, (d, t) in enumerate(SCORERS)])
+    df = tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("s")).select("doc_id", "s.*")
     n = F.col("doc_id") + F.col("k")
     live = (n % 7 != 0) & (n % 11 != 0) & (F.col("doc_id") % 50 != 0)
     score = F.when(live, (F.col("doc_id") * factor + F.col("k") * 1013) % 10001 / 10000.0)
@@ -132,8 +132,8 @@ STORED = f"""stored AS (SELECT doc_id, s AS strategy, (doc_id * 41) % 10001 AS p
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame([("noop", 0), ("single_pass", 1), ("full_loop", 3)], "strategy string, g int")
-    df = tables.read(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(table), how="cross")
+    each = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(g).alias("g")) for s, g in (("noop", 0), ("single_pass", 1), ("full_loop", 3))])
+    df = tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("s")).select("doc_id", "s.*")
     post = F.floor(F.col("doc_id") * 41 * (7 - F.col("g")) / 7).cast("long") % 10001
     return df.select("doc_id", "strategy", (F.col("doc_id") * 41 % 10001 / 10000.0).alias("pre_max"), (post / 10000.0).alias("post_max"), ((10000 - F.col("doc_id") * 13 * F.col("g") % 4000) / 10000.0).alias("similarity"), F.col("g").alias("iterations"))
 
