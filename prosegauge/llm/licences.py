@@ -137,9 +137,10 @@ class Classifier:
     def probabilities(self, h: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Paragraphs with any feature and their class probabilities; all others are ordinary by the bias alone."""
         row, col = self.hits(h, unit)
-        which, back = np.unique(row, return_inverse=True)
+        which, first = np.unique(row, return_index=True)
         s = np.tile(self.bias, (len(which), 1))
-        np.add.at(s, back, self.weights[col])
+        if len(which):
+            s += np.add.reduceat(self.weights[col], first)
         s /= self.temperature
         p = np.exp(s - s.max(axis=1, keepdims=True))
         return which, p / p.sum(axis=1, keepdims=True)
@@ -193,9 +194,11 @@ def fit(ordinary: list[str], seed: int = 11, steps: int = 200) -> Classifier:
     weight = ~held[:, None]
     sw, sb = np.full_like(model.weights, 1e-2), np.full_like(model.bias, 1e-2)
 
+    which, first = np.unique(row, return_index=True)  # rows come in order
+
     def raw() -> np.ndarray:
         s = np.tile(model.bias, (x_size, 1))
-        np.add.at(s, row, model.weights[col])
+        s[which] += np.add.reduceat(model.weights[col], first)
         return s
 
     for _ in range(steps):
