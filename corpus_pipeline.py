@@ -1,6 +1,7 @@
 """A training corpus in five stages, each one operator of prosegauge.llm over all rows that its predecessor kept.
 
-1. language_id: documents in no language go (no letter, or no language reaches the least mean probability).
+1. language_id: documents in no language go (no letter, or most words are like noise to a field that learned noise beside the
+   languages of lang; a document labelled with a language of which the field saw too little stays).
 2. ngram_jaccard_join: one document of each class of near copies stays, that of the smallest id.
 3. decontaminate: documents that hold a window of a benchmark item go.
 4. personal_data: every span is masked in the text; n_chars follows; no document goes.
@@ -22,7 +23,7 @@ from prosegauge.sources.tables import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.reject(docs, langid.train(langid.training_rows(docs)))
+    return langid.reject(docs, langid.train(langid.training_rows(docs), noise=True))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

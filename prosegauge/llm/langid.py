@@ -6,6 +6,10 @@ Training sequences are spliced from pieces of documents of different languages,
 often text switches. Forward-backward gives each word's label probabilities; a text's language is the one with the
 largest mean probability, which is its score. `word_labels` returns the labelled runs of code-switched texts.
 
+To tell texts in no language, a field may learn one label more, `und`, from noise made of its sample: random letters,
+shuffled letters, letters of other scripts and hexadecimal codes. Features that stand in fewer than two texts of the
+sample share one weight for each table, so that what the field never met speaks for `und` as far as it did there.
+
 The field is fitted on a bounded sample: about PER_LANGUAGE documents of each language, chosen by a hash of the id,
 out of all those given as training rows. Everything else runs over whole texts of all rows.
 
@@ -17,6 +21,7 @@ but for those named as the results, which are replaced."""
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,9 @@ LONGEST_DRAWN = 20_000
 BITS, SEQUENCE, CHUNK = 17, 60, 48
 #: Bytes of texts that a worker holds features of at once, or one longer text.
 SLICE = 1 << 18
+#: Of how many documents of the sample one is made into noise; different texts of a language, and code points in them, that tell it
+#: from noise; letters that a text needs to be told as noise.
+NOISE_OF, ENOUGH, ENOUGH_LONG, TELLING = 4, 10, 20_000, 3
 
 _tables: list = []
 
@@ -106,10 +114,13 @@ def gathered(texts: list[str], most: int = 1 << 18) -> Words:
 
 
 class Field:
-    """Weights (6 tables x 2**BITS x labels), transitions and the labels' names."""
+    """Weights (6 tables x 2**BITS x labels), transitions and the labels' names; with noise, the last label is no language, and
+    judged are the languages that the sample tells from it."""
 
-    def __init__(self, labels: list[str]):
-        self.labels, n = labels, len(labels)
+    def __init__(self, labels: list[str], noise: bool = False):
+        self.labels, self.noise = [*labels, "und"] if noise else labels, noise
+        self.judged: list[str] = []
+        n = len(self.labels)
         self.weights = np.zeros((6, 1 << BITS, n), np.float32)
         self.trans = np.zeros((n, n), np.float64)
 
@@ -198,15 +209,52 @@ def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray, chunk
     return alpha, pair
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 3) -> Field:
-    """Adaptive-gradient ascent of the conditional likelihood on spliced sequences."""
-    field = Field(sorted(set(langs)))
-    w = gathered(texts)
-    label = {x: i for i, x in enumerate(field.labels)}
-    y_doc = np.array([label[x] for x in langs])
+def noise_like(texts: list[str], seed: int = 11) -> list[str]:
+    """Every NOISE_OF-th text with other letters, in turn: any of the letters of all texts, its own shuffled, any of all scripts,
+    hexadecimal digits."""
+    letter, rng = code_tables()[1], np.random.default_rng(seed)
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    seen = np.zeros(len(letter), bool)
+    for c in codes:
+        seen[c] = True
+    among = [np.flatnonzero(seen & letter), None, np.flatnonzero(letter), np.frombuffer(b"0123456789abcdef", np.uint8)]
+    out = []
+    for k, c in enumerate(codes[::NOISE_OF]):
+        c, inside = c.copy(), letter[c]
+        letters = among[k % 4]
+        c[inside] = rng.permutation(c[inside]) if letters is None else rng.choice(letters, int(inside.sum()))
+        out.append(c.tobytes().decode("utf-32-le", "surrogatepass"))
+    return out
+
+
+def rare_as_one(w: Words, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+    """Puts one cell in the place of all cells that stand in fewer than two different texts, which are the first of w. Returns, for
+    each table, the cells that it stands for, and which it is."""
+    last = {t: i for i, t in enumerate(texts)}
+    bounds = [(w.first[i], w.first[i + 1]) for i in last.values()]
+    out = []
+    for k, f in enumerate([*w.whole, w.trigram]):
+        met = np.zeros(1 << BITS, np.int32)
+        for i, j in bounds:
+            met[np.unique(f[i:j] if k < 5 else f[w.tri_first[i] : w.tri_first[j]])] += 1
+        rare = met < 2
+        one = int(rare.argmax())
+        if rare.any():
+            f[rare[f]] = one
+        out.append((rare, one))
+    return out
+
+
+def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 3, noise: list[str] | None = None) -> Field:
+    """Adaptive-gradient ascent of the conditional likelihood on spliced sequences; noise: texts in no language."""
+    field = Field(sorted(set(langs)), bool(noise))
+    w = gathered([*texts, *(noise or [])])
+    rare = rare_as_one(w, texts) if noise else []
+    label = {x: i for i, x in enumerate(field.labels[: len(field.labels) - field.noise])}
+    y_doc = np.array([label[x] for x in langs] + [len(label)] * len(noise or []))
     rng = np.random.default_rng(seed)
     pieces = []  # (document, from, to) in words
-    for d in range(len(texts)):
+    for d in range(len(y_doc)):
         i, j = w.first[d], w.first[d + 1]
         while i < j:
             k = min(j, i + int(rng.integers(5, 40)))
@@ -247,27 +295,49 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 3) -> F
                 total = np.stack([np.bincount(back, step[:, j], len(cells)) for j in range(n)], axis=1).astype(np.float32)
                 squares[k][cells] += total**2
                 field.weights[k][cells] += 0.3 * total / np.sqrt(squares[k][cells])
+    for weights, (cells, one) in zip(field.weights, rare, strict=False):
+        weights[cells] = weights[one]
     return field
 
 
-def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
-    """Fit on a bounded, hash-drawn sample of the distinct rows (doc_id, text, lang); None without a labelled row with a letter."""
+def train(rows: DataFrame, per_language: int = PER_LANGUAGE, noise: bool = False) -> Field | None:
+    """Fit on a bounded, hash-drawn sample of the distinct rows (doc_id, text, lang); None without a labelled row with a letter.
+    With noise, the field also learns texts in no language, if the sample has enough texts of some language."""
     rows = rows.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(F.length("text") <= LONGEST_DRAWN)
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
     share = F.coalesce(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")], F.lit(0.0))
     got = sorted((r.lang, r.text) for r in hash_drawn(rows, share).collect() if any(map(str.isalpha, r.text)))
-    field = fit([t for _, t in got], [lang for lang, _ in got]) if got else None
+    many, long = Counter(), Counter()
+    for lang, t in set(got):
+        many[lang] += 1
+        long[lang] += len(t)
+    judged = sorted(x for x, n in many.items() if n >= ENOUGH and long[x] >= ENOUGH_LONG) if noise else []
+    texts = [t for _, t in got]
+    field = fit(texts, [lang for lang, _ in got], noise=noise_like(texts) if judged else None) if got else None
+    if field is not None:
+        field.judged = judged
     give_back()
     return field
 
 
+def parts_of_codes(w: Words, texts: list[str]) -> np.ndarray:
+    """What each letter run of w counts: those that only digits part, as in a key or a number in hexadecimal, count as one word together."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    digits = np.concatenate(([0], np.cumsum((codes >= 48) & (codes <= 57))))
+    opens = np.ones(len(w.start), bool)
+    opens[1:] = digits[w.start[1:]] - digits[w.end[:-1]] < w.start[1:] - w.end[:-1]
+    code = np.cumsum(opens) - 1
+    return 1 / np.bincount(code)[code] if len(code) else np.zeros(0)
+
+
 ADDED = [("lang_pred", "string"), ("score", "double")]
 
 
 def predict(docs: DataFrame, field: Field | None, names: list[str] | None = None) -> DataFrame:
-    """docs with the language of each text and its mean word probability."""
+    """docs with the language of each text and its mean word probability. With noise, the letter runs of one code count as one word,
+    and a text of at least TELLING letters is `und` where the mean probability of no language is over one half."""
     names = names or [n for n, _ in ADDED]
     model = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -277,9 +347,15 @@ def predict(docs: DataFrame, field: Field | None, names: list[str] | None = None
         if (crf := model.value) is not None:
             w = Words(texts)
             p = forward_backward(crf.emissions(w), w.first, crf.trans)
+            if crf.noise:
+                p *= parts_of_codes(w, texts)[:, None]
             total = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)))
             count = np.diff(w.first)
             mean = (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(count, 1)[:, None]
+            if crf.noise:
+                mean /= np.maximum(mean.sum(axis=1, keepdims=True), 1e-300)
+                letters = w.tri_first[w.first[1:]] - w.tri_first[w.first[:-1]]
+                mean[:, -1] = np.where((mean[:, -1] > 0.5) & (letters >= TELLING), mean[:, -1], 0)
             best = mean.argmax(axis=1)
             score = np.where(count > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
             lang = [crf.labels[b] if n else "und" for b, n in zip(best, count, strict=True)]
@@ -326,13 +402,18 @@ def noise(text: Column) -> Column:
 
 
 def reject(docs: DataFrame, field: Field | None, least: float | None = None, most_noise: float = 1.0) -> DataFrame:
-    """docs without those in no language: no letter, `most_noise` or more of symbol runs among words and runs, or no language's
-    mean probability reaches `least`, by default 1.05 times the even chance. By default texts with letters stay however noisy
-    they are; 0.4 rejects those in which every other word is followed by symbols. Texts that mix languages are documents and stay."""
+    """docs without those in no language: no letter, told `und` by a field with noise, `most_noise` or more of symbol runs among words
+    and runs, or no language's mean probability reaches `least`, by default 0 for a field with noise and else 1.05 times the even
+    chance. A text whose `lang` names a language that a field with noise had too few texts of, or none, is not judged by the field
+    and stays: to the field it is like noise. By default texts stay however many symbols they hold; 0.4 rejects those in which every
+    other word is followed by symbols. Texts that mix languages are documents and stay."""
     names = [fresh(docs, f"langid_{n}") for n, _ in ADDED]
     bound = least if least is not None else 1.05 / max(1, len(field.labels) if field else 1)
-    if field is not None and len(field.labels) == 1:
+    if field is not None and (len(field.labels) == 1 or least is None and field.noise):
         bound = 0.0
     with_letters = docs.where(F.col("text").rlike(r"\p{L}"))
     told = predict(with_letters if most_noise >= 1 else with_letters.where(noise(F.col("text")) < most_noise), field, names)
-    return told.where((F.col(names[0]) != "und") & (F.col(names[1]) >= bound)).select(*docs.columns)
+    stays = (F.col(names[0]) != "und") & (F.col(names[1]) >= bound)
+    if field is not None and field.noise and "lang" in docs.columns:
+        stays |= F.coalesce(~F.col("lang").isin(field.judged), F.lit(False))
+    return told.where(stays).select(*docs.columns)

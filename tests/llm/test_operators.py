@@ -110,6 +110,38 @@ def test_language_id_odd(spark, two_languages, odd_docs):
     assert langid.reject(odd_docs, field).columns == odd_docs.columns
 
 
+def no_language(seed, n):
+    """Random letters, letters of another script, a text's own letters shuffled, a key in hexadecimal: n texts, in turn."""
+    rng = random.Random(seed)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(2, 9)))
+    kinds = [
+        lambda: " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(30)), lambda: " ".join(word("абвгдежзийклмнопрстуфхцчшщ") for _ in range(30)),
+        lambda: "".join(rng.sample("the house of water and stone is that thing with the river " * 5, 290)), lambda: " ".join(f"{rng.getrandbits(64):016x}" for _ in range(20)),
+    ]
+    return [kinds[i % 4]() for i in range(n)]
+
+
+def test_language_id_learns_noise(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang")
+    field = langid.train(langid.training_rows(docs), noise=True)
+    assert field.labels == ["de", "en", "es", "fr", "und"] and field.judged == ["de", "en", "fr"]
+    texts = {r.lang: r.text for r in docs.where("length(text) > 1000").orderBy("doc_id").collect()}
+    key = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" '
+    switched = [texts["de"][:500] + " " + texts["fr"][:500] + " " + texts["es"][:500], key + texts["en"][:60], texts["en"][:500] + " " + no_language(2, 1)[0][:100], "A."]
+    gone = no_language(1, 40) + ["", None, "12 -- 34"]
+    rows = [(i, t, None) for i, t in enumerate(switched + gone)]
+    got = langid.reject(spark.createDataFrame(rows, "doc_id long, text string, lang string"), field)
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3]
+    # a label that the field learned does not save noise; one that it knows too little of is all there is to go by
+    labelled = spark.createDataFrame([(i, t, lang) for i, t in enumerate(gone) for lang in ("en", "es")], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang) for r in langid.reject(labelled, field).collect()} == {(i, "es") for i in range(40)}
+
+
+def test_language_id_of_few_texts_learns_no_noise(spark, two_languages):
+    assert not langid.train(two_languages, noise=True).noise
+    assert langid.train(two_languages.where("1 = 0"), noise=True) is None
+
+
 # --- 2 licences --------------------------------------------------------------------------------------------------------
 
 

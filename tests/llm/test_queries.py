@@ -11,7 +11,7 @@ import corpus_pipeline
 from prosegauge.llm import queries
 
 from ..conftest import ROOT, duck, same_rows
-from .test_operators import brute_hits, brute_links, brute_pii
+from .test_operators import brute_hits, brute_links, brute_pii, no_language
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -70,6 +70,14 @@ def test_pipeline_stages_equal_brute_force(spark, tiny):
             assert four[i] == r
 
 
+def test_pipeline_drops_texts_in_no_language(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    made = [(10**6 + i, t, "en" if i % 2 else None, "src0", len(t)) for i, t in enumerate(no_language(3, 20))]
+    more = docs.unionByName(spark.createDataFrame(made, docs.schema))
+    kept = corpus_pipeline.STAGES[0][1](spark, more, tiny).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
 def test_pipeline_on_odd_documents(spark, tiny, odd_docs, tmp_path):
     for name, rows in (("odd", odd_docs), ("none", odd_docs.where("1 = 0"))):
         docs = rows
