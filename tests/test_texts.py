@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import fixed, plain
 from prosegauge.functions.columns import clamp01, e4
-from prosegauge.operators import hidden, locks, markers, scoring, similarity
+from prosegauge.operators import hidden, locks, markers, rewriting, scoring, similarity
 
 TEXTS = ["One. Two! Three? Done.", "", "   ", "no end", "A. b. C", "It works... truly! Yes?\nNew line. “q” é.", "a b. c", "..."]
 
@@ -176,3 +176,37 @@ def test_verdict(spark):
     rows = [(1, "a", 0.1, None), (1, "b", 0.2, None), (2, "a", 0.1, None), (2, "b", 0.31, None), (3, "a", None, "down"), (4, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, detector string, score double, error string")
     assert {r.doc_id: (r.passes_all, r.n_configured) for r in scoring.verdict(df, "doc_id").collect()} == {1: (True, 2), 2: (False, 2), 3: (False, 1), 4: (False, 0)}
+
+
+def test_single_pass_is_one_arrow_call(spark):
+    """One Python node and no pattern of the JVM: readings that Spark inlines were worked out over a hundred times a text."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Moreover, it's numerous. It rained.", None, "", "ſignificant Kelvin. Vaſt amounts of İt."])], "doc_id long, text string")
+    out = rewriting.single_pass(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+    for r in out.collect():
+        source = dict(docs.collect())[r.doc_id]
+        made = None if source is None else plain.scripted(source, 0.5)
+        assert (r.text, r.history) == (made, [plain.round4(plain.Counts(t or "").score()) for t in (source, made)])
+
+
+def test_swaps_read_like_patterns():
+    """The look before each swap finds what re.I finds, also letters beyond ASCII that it takes for ASCII ones."""
+    texts = ["SIGNIFICANT and ſignificantly varıous", "increaſingly utİlize, uTılizing", "in recent years vast amounts of numerous", "crucial İ, ESSENTİAL ß É", "tend to Tend To"]
+    for t in texts:
+        out = " ".join(map(plain.without_opener, plain.KEEP.split(t.strip())))
+        for word, put in fixed.SWAPS.items():
+            out = re.sub(rf"\b{re.escape(word)}\b", put, out, flags=re.I)
+        assert plain.scripted(t, 0.5) == out
+
+
+def test_loop_works_each_plan_out_once():
+    """Five rounds of a text that stays flagged come down to two scripted rewrites."""
+    assert len({plain.plan(min(1.0, 0.5 + 0.125 * k)) for k in range(5)}) == 2
+    assert all(plain.scripted(t, 0.5) == plain.scripted(t, 0.625) and plain.scripted(t, 0.75) == plain.scripted(t, 1.0) for t in ["A b. C d. E f. G h. I j.", "One. Two."])
+
+
+def test_quick_tokens_are_the_patterns_tokens():
+    for t in ["It's 3 o'clock. Naïve—éa b'c!? 9x", "", "ſK İı x", "a b\x85c.  D"]:
+        assert [w.decode() for w in plain.tokens(t)] == [w.lower() for w in plain.WORDS.findall(t)]
+        assert plain.lite(t) == plain.Counts(t).score()
