@@ -72,3 +72,13 @@ def by_row(one: Callable[..., Any], kind: str) -> Callable[..., Column]:
     single.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     several.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     return lambda *columns: F.arrow_udf(single if len(columns) == 1 else several, kind)(*columns)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a mapInArrow in pieces of the same bounds."""
+    try:
+        for batch in batches:
+            for at, n in piece_sizes(batch.num_rows, batch.nbytes):
+                yield batch.slice(at, n)
+    finally:
+        give_back()

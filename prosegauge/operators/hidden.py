@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.columns import count_of
+from .arrow import by_row
 
 _CARRIERS = rf"[{fixed.INVISIBLE}]|[\x{{E0000}}-\x{{E007F}}]"
 _JOINER, _ASIDE = "\u200d", "\ufdd0"  # the second is a noncharacter, which no text may interchange
@@ -25,9 +24,8 @@ def hidden_count(text: Column) -> Column:
     return count_of(t, _CARRIERS) + alike
 
 
-@F.pandas_udf(T.StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def composed(t: str | None) -> str | None:
+    return t if t is None or t.isascii() else unicodedata.normalize("NFC", t)
 
 
 def scrubbed(text: Column) -> Column:
@@ -43,7 +41,7 @@ def scrubbed(text: Column) -> Column:
 
 def scrub(text: Column) -> Column:
     """scrubbed, then composed (NFC); ASCII is its own composed form, but only a filter keeps it from the Arrow hop."""
-    return _composed(scrubbed(text))
+    return by_row(composed, "string")(scrubbed(text))
 
 
 def with_lookalikes(text: Column, rate: float) -> Column:
@@ -52,15 +50,13 @@ def with_lookalikes(text: Column, rate: float) -> Column:
         return text
     every, table = max(1, round(1 / rate)), dict(zip(fixed.ASCII_LETTERS, fixed.LOOKALIKES, strict=True))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str) -> str:
-            n, out = 0, []
-            for c in t:
-                n += c in table
-                out.append(table[c] if c in table and n % every == 0 else c)
-            return "".join(out)
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        n, out = 0, []
+        for c in t:
+            n += c in table
+            out.append(table[c] if c in table and n % every == 0 else c)
+        return "".join(out)
 
-        return texts.map(one, na_action="ignore")
-
-    return run(text)
+    return by_row(one, "string")(text)

@@ -8,12 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import count_of, java
+from .arrow import by_row
 
 _LOCKED = [re.compile(p) for p in fixed.LOCKED.values()]
 SENTINEL = java(fixed.SENTINEL, "ud")
@@ -46,16 +46,15 @@ def mask(text: str, recogniser: Recogniser | None = None) -> tuple[str, list[str
     return "".join([*parts, text[at:]]), kept
 
 
-def lock(df: DataFrame, text: str = "text", recogniser: Recogniser | None = None) -> DataFrame:
-    """df with masked and mapping (sentinel -> original span)."""
+def mapping_of(kept: Column) -> Column:
+    """sentinel -> original span, from the spans in order."""
+    return F.map_from_entries(F.transform(kept, lambda x, i: F.struct(F.format_string(fixed.SENTINEL_FORMAT, i).alias("key"), x.alias("value"))))
 
-    @F.pandas_udf("masked string, kept array<string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([mask(t or "", recogniser) for t in texts], columns=["masked", "kept"])
 
-    out = df.withColumn("lock_", run(text))
-    entries = F.transform("lock_.kept", lambda x, i: F.struct(F.format_string(fixed.SENTINEL_FORMAT, i).alias("key"), x.alias("value")))
-    return out.withColumns({"masked": F.col("lock_.masked"), "mapping": F.map_from_entries(entries)}).drop("lock_")
+def lock(df: DataFrame, text: str = "text", recogniser: Recogniser | None = None) -> DataFrame:
+    """df with masked and mapping (sentinel -> original span)."""
+    out = df.withColumn("lock_", by_row(lambda t: mask(t or "", recogniser), "struct<masked:string,kept:array<string>>")(F.col(text)))
+    return out.withColumns({"masked": F.col("lock_.masked"), "mapping": mapping_of(F.col("lock_.kept"))}).drop("lock_")
 
 
 def restore(masked: Column, mapping: Column) -> Column:

@@ -10,17 +10,15 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed, plain
 from ..functions.columns import is_blank, round4
 from ..sources.tables import shared_folder
 from .arrow import by_row
-from .hidden import scrub
-from .locks import lock, restore, same_sentinels
+from .hidden import composed, scrub, scrubbed
+from .locks import lock, mapping_of, mask, restore, same_sentinels
 from .scoring import flagged_array, lite_counts, lite_signal, sentence_flags
 
 
@@ -35,44 +33,33 @@ class Rewriter:
     deterministic: bool = False
     available: Callable[[], bool] = lambda: True
     guided: bool = False
+    #: rewrite as a Python function of the text alone, where there is one; a round is then a single Arrow call.
+    plain: Callable[[str | None], str | None] | None = None
 
 
 def python_rewriter(name: str, rewrite: Callable[[str, str], str], deterministic: bool = False) -> Rewriter:
     """A guided rewriter from a Python function of text and prompt; whatever it raises is a failed draw of that text."""
 
     def column(text: Column, draw: Column, ask: Column) -> Column:
-        @F.pandas_udf("string")
-        def run(texts: pd.Series, draws: pd.Series, prompts_: pd.Series) -> pd.Series:
-            def one(t: str, p: str) -> str | None:
-                try:
-                    return rewrite(t, p)
-                except Exception:
-                    return None
-
-            return pd.Series([one(t, p) for t, p in zip(texts, prompts_, strict=True)], dtype=object)
+        def one(t: str, _: int, p: str) -> str | None:
+            try:
+                return rewrite(t, p)
+            except Exception:
+                return None
 
-        return run(text, draw, ask)
+        return by_row(one, "string")(text, draw, ask)
 
     return Rewriter(name, column, deterministic, guided=True)
 
 
 def scripted(text: Column, strength: float) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: plain.scripted(t, strength), na_action="ignore")
-
-    return run(text)
+    return by_row(lambda t: None if t is None else plain.scripted(t, strength), "string")(text)
 
 
 def surgical(text: Column, threshold: float = fixed.THRESHOLD, most: int = 8, more: dict[str, list[str]] | Callable[[str], list[str]] | None = None) -> Column:
     """struct(text, substitutions); more extends the synonym table."""
     table = extended(more)
-
-    @F.pandas_udf("text string, substitutions int")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([plain.substituted(t or "", threshold, most, table) for t in texts], columns=["text", "substitutions"])
-
-    return run(text)
+    return by_row(lambda t: plain.substituted(t or "", threshold, most, table), "struct<text:string,substitutions:int>")(text)
 
 
 def back_translated(text: Column, translate: Callable[[str], str] | None = None) -> Column:
@@ -80,27 +67,23 @@ def back_translated(text: Column, translate: Callable[[str], str] | None = None)
     if translate is None:
         return text
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str) -> str:
-            try:
-                return translate(t) if t.strip() else t
-            except Exception:  # a translator may fail in any way; the text then stays as it is
-                return t
-
-        return texts.map(one, na_action="ignore")
+    def one(t: str | None) -> str | None:
+        try:
+            return translate(t) if t is not None and t.strip() else t
+        except Exception:  # a translator may fail in any way; the text then stays as it is
+            return t
 
-    return run(text)
+    return by_row(one, "string")(text)
 
 
 def importance_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, place, word, drop_e4): unique words by how much the reading falls without them."""
 
-    @F.pandas_udf("array<struct<word:string,drop_e4:bigint>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"word": w, "drop_e4": round(d * 10000)} for w, d in plain.importance(t or "")])
+    def one(t: str) -> list[dict]:
+        return [{"word": w, "drop_e4": round(d * 10000)} for w, d in plain.importance(t)]
 
-    return df.select(key, F.posexplode(run(F.coalesce(F.col(text), F.lit("")))).alias("place", "w")).select(key, "place", "w.word", "w.drop_e4")
+    rows = by_row(one, "array<struct<word:string,drop_e4:bigint>>")(F.coalesce(F.col(text), F.lit("")))
+    return df.select(key, F.posexplode(rows).alias("place", "w")).select(key, "place", "w.word", "w.drop_e4")
 
 
 def without_word(text: Column, word: Column) -> Column:
@@ -128,22 +111,20 @@ def synonyms(df: DataFrame, word: str, most: int = 6, more: dict[str, list[str]]
     return df.select(word).join(F.broadcast(ranked), F.lower(word) == F.col("entry")).select(word, "place", "synonym")
 
 
-@F.pandas_udf(T.DoubleType())
-def dice_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([plain.dice(x or "", y or "") for x, y in zip(a, b, strict=True)])
+def dice_of(a: Column | str, b: Column | str) -> Column:
+    return by_row(lambda x, y: plain.dice(x or "", y or ""), "double")(a, b)
 
 
-def reading(text: Column) -> Column:
-    """The lite reading of a text column that is worked on by Python anyway."""
+def _read(t: str | None) -> float:
+    return plain.round4(plain.lite(t or ""))
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: plain.round4(plain.lite(t or "")))
 
-    return run(text)
+def reading(text: Column) -> Column:
+    """The lite reading of a text column that is worked on by Python anyway."""
+    return by_row(_read, "double")(text)
 
 
-SURGICAL = Rewriter("surgical", lambda t, _: surgical(t, most=12)["text"], deterministic=True)
+SURGICAL = Rewriter("surgical", lambda t, _: surgical(t, most=12)["text"], deterministic=True, plain=lambda t: plain.substituted(t or "", most=12)[0])
 
 
 def prompt(text: Column, worst: Column, flagged: Column, style: Column, threshold: float = fixed.THRESHOLD) -> Column:
@@ -265,12 +246,29 @@ def closed_loop(
         df = docs.select("doc_id", F.col("text").alias("final"))
         return df.select("*", F.lit(0).alias("iterations"), F.lit(0).alias("rewrites"), F.lit(None).cast("double").alias("pre_max"), F.lit(None).cast("double").alias("post_max"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("flagged"), F.lit("error").alias("stopped"), *fields)
     text = F.coalesce(F.col("text"), F.lit(""))
-    state = lock(docs.select("doc_id", (scrub(text) if scrub_first else text).alias("text")))
+    fused = score is reading and score_on == "masked"  # readings are then taken where the text is made, by the same worker
+    if fused:
+
+        def masked(t: str) -> tuple[str, list[str], float]:
+            out, kept = mask(composed(t) if scrub_first else t)
+            return out, kept, _read(out)
+
+        cells = by_row(masked, "struct<masked:string,kept:array<string>,pre_max:double>")(scrubbed(text) if scrub_first else text)
+        state = docs.select("doc_id", cells.alias("r")).select("doc_id", "r.masked", mapping_of(F.col("r.kept")).alias("mapping"), "r.pre_max")
+    else:
+        state = lock(docs.select("doc_id", (scrub(text) if scrub_first else text).alias("text")))
     view = (lambda c: F.col(c)) if score_on == "masked" else (lambda c: restore(F.col(c), F.col("mapping")))
     seen = lambda c: score(view(c))
-    state = state.select("doc_id", "masked", "mapping", F.col("masked").alias("best")).withColumn("pre_max", seen("masked"))
+    state = state.select("doc_id", "masked", "mapping", F.col("masked").alias("best"), (F.col("pre_max") if fused else seen("masked")).alias("pre_max"))
     state = state.withColumns({"post_max": F.col("pre_max"), "similarity": F.lit(1.0), "iterations": F.lit(0), "rewrites": F.lit(0), "stopped": F.lit("max_iters")})
     goal, done = threshold - margin, None
+    rewrite = rewriter.plain
+
+    def draw_of(best: str, source: str) -> tuple[str | None, float, float]:
+        new = rewrite(best)
+        return new, _read(new), plain.dice(source or "", new or "")
+
+    drawn = by_row(draw_of, "struct<new:string,new_max:double,new_sim:double>")
     active = _saved(state)
     for turn in range(1, max_iters + 1):
         active = active.withColumn("iterations", F.lit(turn))
@@ -280,8 +278,12 @@ def closed_loop(
             worst = F.array(F.struct(F.lit(1).alias("place"), F.lit("perplexity_burstiness").alias("detector"), F.col("post_max").alias("score")))
             rest = rest.withColumn("ask", prompt(F.col("best"), worst, flagged_array(F.col("best"), threshold), F.lit(style).cast("string"), threshold))
         for draw in range(max(1, best_of)):
-            rest = rest.withColumn("new", rewriter.rewrite(F.col("best"), F.lit(draw), *([F.col("ask")] if rewriter.guided else [])))
-            rest = rest.withColumns({"new_max": seen("new"), "new_sim": dice_of("masked", "new"), "rewrites": F.col("rewrites") + 1})
+            if fused and rewriter.plain is not None:
+                rest = rest.withColumn("drawn", drawn("best", "masked")).withColumns({c: F.col(f"drawn.{c}") for c in ("new", "new_max", "new_sim")}).drop("drawn")
+            else:
+                rest = rest.withColumn("new", rewriter.rewrite(F.col("best"), F.lit(draw), *([F.col("ask")] if rewriter.guided else [])))
+                rest = rest.withColumns({"new_max": seen("new"), "new_sim": dice_of("masked", "new")})
+            rest = rest.withColumn("rewrites", F.col("rewrites") + 1)
             if draw == 0:
                 rest = rest.withColumn("failed", F.col("new").isNull())
             valid = ~F.col("failed") & F.col("new").isNotNull() & same_sentinels(F.col("new"), F.col("mapping")) & (F.col("new_sim") >= bar) & (F.col("cand_max").isNull() | (F.col("new_max") < F.col("cand_max")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import fixed, plain
 from prosegauge.functions.columns import clamp01, e4
-from prosegauge.operators import hidden, locks, markers, rewriting, scoring, similarity
+from prosegauge.operators import arrow, hidden, locks, markers, rewriting, scoring, similarity
 
 TEXTS = ["One. Two! Three? Done.", "", "   ", "no end", "A. b. C", "It works... truly! Yes?\nNew line. “q” é.", "a b. c", "..."]
 
@@ -210,3 +211,25 @@ def test_quick_tokens_are_the_patterns_tokens():
     for t in ["It's 3 o'clock. Naïve—éa b'c!? 9x", "", "ſK İı x", "a b\x85c.  D"]:
         assert [w.decode() for w in plain.tokens(t)] == [w.lower() for w in plain.WORDS.findall(t)]
         assert plain.lite(t) == plain.Counts(t).score()
+
+
+def test_python_columns_work_in_bounded_pieces(spark):
+    """Batches are cut by rows and bytes before any row becomes a Python object, and results leave piece by piece."""
+    rows = pa.record_batch({"text": ["x" * 1000] * 3000})
+    cut = list(arrow.pieces(iter([rows])))
+    assert sum(b.num_rows for b in cut) == 3000 and max(b.num_rows for b in cut) <= arrow.PIECE_ROWS
+    assert list(arrow.piece_sizes(3, 30 * arrow.PIECE_BYTES)) == [(0, 1), (1, 1), (2, 1)] and list(arrow.piece_sizes(0, 0)) == []
+    docs = texts(spark, ["One thing. Two things.", None, ""] * 700)
+    for df in (docs.select(hidden.scrub(F.col("text"))), locks.lock(docs), rewriting.importance_rows(docs), docs.select(rewriting.surgical(F.col("text"))), docs.select(rewriting.dice_of("text", "text"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and "], 200" not in plan  # 200: a whole batch at once
+    assert locks.lock(docs).count() == docs.count() and docs.select(rewriting.dice_of("text", "text").alias("d")).where("d = 1").count() == docs.count()
+
+
+def test_round_of_the_loop_is_one_arrow_call(spark):
+    """Scrubbing, masking and the first reading come from one Python node, and so does a round's draw with its readings."""
+    assert rewriting.SURGICAL.plain("") == "" and rewriting.SURGICAL.plain(None) == ""
+    docs = texts(spark, ["Moreover, numerous teams utilize it. Crucial 12%.", None])
+    same = rewriting.closed_loop(docs).orderBy("doc_id").collect()
+    other = rewriting.closed_loop(docs, rewriter=rewriting.Rewriter("surgical", rewriting.SURGICAL.rewrite, deterministic=True), score=lambda c: rewriting.reading(c)).orderBy("doc_id").collect()
+    assert same == other
