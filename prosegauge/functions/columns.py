@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +12,14 @@ from . import fixed
 
 #: White space as Python's str methods and patterns see it, as the inside of a character class.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same set for the JVM, which asks a range after the other: the common ones as single characters, which it looks up at once,
+#: and the others only beyond Latin-1.
+JAVA_SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
+_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORDS, LITE_WORDS = r"[A-Za-z0-9']+", r"[A-Za-z']+"
 #: Sentence ends of the counting splitter, and of the one that keeps punctuation.
 DROP_SPLIT, KEEP_SPLIT = rf"[.!?]+(?:[{SPACE}]+|\z)", rf"(?<=[.!?])[{SPACE}]+"
+JAVA_DROP, JAVA_KEEP = rf"[.!?]+(?:{JAVA_SPACE}+|\z)", rf"(?<=[.!?]){JAVA_SPACE}+"
 _W = r"[\p{L}\p{N}_]"
 
 
@@ -64,11 +70,23 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(~text.rlike(rf"[^{SPACE}]"), F.lit(True))
+    return F.coalesce(trimmed(text) == "", F.lit(True))
+
+
+def more_words(text: Column, least: int) -> Column:
+    """Whether the text has more than that many runs without white space; no more of it is read than that takes."""
+    other = JAVA_SPACE.replace("[", "[^", 1)
+    return F.coalesce(text.rlike(rf"\A{JAVA_SPACE}*+(?:{other}++{JAVA_SPACE}++){{{least}}}{other}"), F.lit(False))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once a row however often use names it: Spark puts Columns into each other and may
+    then work out each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def clamp01(x: Column) -> Column:
@@ -92,17 +110,17 @@ def round4(x: Column) -> Column:
 
 def sentences_keep(text: Column) -> Column:
     """Sentences with their punctuation, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(trimmed(F.coalesce(text, F.lit(""))), KEEP_SPLIT, -1), trimmed), lambda s: s != "")
+    return F.filter(F.transform(F.split(trimmed(F.coalesce(text, F.lit(""))), JAVA_KEEP, -1), trimmed), lambda s: s != "")
 
 
 def sentences_drop(text: Column) -> Column:
     """Sentences without their final punctuation, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), DROP_SPLIT, -1), trimmed), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), JAVA_DROP, -1), trimmed), lambda s: s != "")
 
 
 def sentence_sizes(text: Column, words: str) -> Column:
     """Matches of words in each piece of the counting splitter that is not blank."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), DROP_SPLIT, -1), lambda s: s.rlike(rf"[^{SPACE}]"))
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), JAVA_DROP, -1), lambda s: ~is_blank(s))
     return F.transform(pieces, lambda s: F.regexp_count(s, F.lit(words)))
 
 

@@ -47,31 +47,34 @@ def piece_sizes(rows: int, size: int) -> Iterator[tuple[int, int]]:
 
 def by_row(one: Callable[..., Any], kind: str) -> Callable[..., Column]:
     """A function of Columns whose value in each row is one(values of the row). A struct comes as a tuple of its fields."""
-    result = to_arrow_type(T._parse_datatype_string(kind) if kind.startswith(("struct", "array")) else T._parse_datatype_string(f"v {kind}")[0].dataType)
-
-    def made(values: list) -> pa.Array:
+    def made(values: list, result: pa.DataType) -> pa.Array:
         if not pa.types.is_struct(result):
             return pa.array(values, result)
         fields = zip(*values, strict=True) if values else [[] for _ in result]
         return pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(fields, result, strict=True)], fields=list(result))
 
-    def worked(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    def worked(batches: Iterator[tuple[pa.Array, ...]], result: pa.DataType) -> Iterator[pa.Array]:
         try:
             for columns in batches:
                 for at, n in piece_sizes(len(columns[0]), sum(c.nbytes for c in columns)):
-                    yield made([one(*row) for row in zip(*(c.slice(at, n).to_pylist() for c in columns), strict=True)])
+                    yield made([one(*row) for row in zip(*(c.slice(at, n).to_pylist() for c in columns), strict=True)], result)
         finally:
             give_back()
 
-    def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from worked((b,) for b in batches)
+    def column(*columns: Column | str) -> Column:
+        result = to_arrow_type(T._parse_datatype_string(f"v {kind}")[0].dataType)
+
+        def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from worked(((b,) for b in batches), result)
+
+        def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            yield from worked(batches, result)
 
-    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        yield from worked(batches)
+        single.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        several.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+        return F.arrow_udf(single if len(columns) == 1 else several, kind)(*columns)
 
-    single.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    several.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    return lambda *columns: F.arrow_udf(single if len(columns) == 1 else several, kind)(*columns)
+    return column
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,22 +11,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..functions.columns import DROP_SPLIT, KEEP_SPLIT, LITE_WORDS, SPACE, clamp01, count_of, e4, is_blank, moments, round4, trimmed, variation, word_list
+from ..functions import fixed, plain
+from ..functions.columns import JAVA_DROP, JAVA_KEEP, LITE_WORDS, SPACE, bound, clamp01, count_of, e4, is_blank, moments, round4, trimmed, variation, word_list
+from .arrow import by_row
 
 
 def lite_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, n_common and lite (struct n, s1, s2 over sentences that have words)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lengths = F.filter(F.transform(F.split(t, DROP_SPLIT, -1), lambda s: F.regexp_count(s, F.lit(LITE_WORDS))), lambda n: n > 0)
+    lengths = F.filter(F.transform(F.split(t, JAVA_DROP, -1), lambda s: F.regexp_count(s, F.lit(LITE_WORDS))), lambda n: n > 0)
     return df.withColumns({"n_common": count_of(t, word_list(fixed.COMMON_WORDS)).cast("long"), "lite": moments(lengths)}).withColumn("n_words", F.col("lite.s1"))
 
 
 def lite_signal(n_common: Column, m: Column, blank: Column) -> Column:
-    """P(machine) of the lite scorer from its counts; 0.5 for a blank text."""
-    ratio = F.when(m["s1"] > 0, n_common / m["s1"]).otherwise(F.lit(0.0))
-    burst = F.when(m["n"] < 2, F.lit(0.5)).otherwise(clamp01((F.lit(0.55) - variation(m)) / F.lit(0.55)))
-    return F.when(blank, F.lit(0.5)).otherwise(clamp01(F.lit(0.6) * burst + F.lit(0.4) * clamp01((ratio - F.lit(0.30)) / F.lit(0.30))))
+    """P(machine) of the lite scorer from its counts, each worked out once; 0.5 for a blank text."""
+
+    def signal(c: Column) -> Column:
+        m = c["m"]
+        ratio = F.when(m["s1"] > 0, c["n_common"] / m["s1"]).otherwise(F.lit(0.0))
+        burst = F.when(m["n"] < 2, F.lit(0.5)).otherwise(bound((F.lit(0.55) - variation(m)) / F.lit(0.55), clamp01))
+        return F.when(c["blank"], F.lit(0.5)).otherwise(bound(F.lit(0.6) * burst + F.lit(0.4) * bound((ratio - F.lit(0.30)) / F.lit(0.30), clamp01), clamp01))
+
+    return bound(F.struct(n_common.alias("n_common"), m.alias("m"), blank.alias("blank")), signal)
 
 
 def lite_scores(df: DataFrame, text: str = "text", threshold: float = fixed.THRESHOLD) -> DataFrame:
@@ -187,14 +193,19 @@ def verdict(readings_: DataFrame, key: str, threshold: float = fixed.THRESHOLD)
 
 def sentence_rows(df: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """Rows (key, pos, sentence): pieces without empty ones, numbered from 0."""
-    pieces = F.split(trimmed(F.coalesce(F.col(text), F.lit(""))) if keep else F.coalesce(F.col(text), F.lit("")), KEEP_SPLIT if keep else DROP_SPLIT, -1)
+    pieces = F.split(trimmed(F.coalesce(F.col(text), F.lit(""))) if keep else F.coalesce(F.col(text), F.lit("")), JAVA_KEEP if keep else JAVA_DROP, -1)
     full = F.filter(F.transform(pieces, trimmed), lambda s: s != "")
     return df.select(key, F.posexplode(full).alias("pos", "sentence"))
 
 
 def sentence_flags(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = fixed.THRESHOLD, top: int | None = None) -> DataFrame:
     """Each sentence's reading; flagged if among the worst third (at least one, or `top`) and at the threshold."""
-    rows = lite_scores(sentence_rows(df, key, text), "sentence").select(key, "pos", "sentence", "score")
+
+    def one(t: str | None) -> list[dict]:
+        return [{"pos": i, "sentence": s, "score": plain.round4(plain.lite(s))} for i, s in enumerate(plain.sentences(t or ""))]
+
+    each = by_row(one, "array<struct<pos:int,sentence:string,score:double>>")(F.col(text))
+    rows = df.select(key, F.explode(each).alias("s")).select(key, "s.pos", "s.sentence", "s.score")
     worst = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))
     n = F.count("*").over(Window.partitionBy(key))
     most = F.lit(top) if top is not None else F.greatest(F.lit(1), F.floor((n + 2) / 3))
@@ -205,10 +216,10 @@ def flagged_array(text: Column, threshold: float = fixed.THRESHOLD) -> Column:
     """sentence_flags of one text as an array of its flagged sentences in order; row-local, for the loop's prompts."""
 
     def read(s: Column) -> Column:
-        lengths = F.filter(F.transform(F.split(s, DROP_SPLIT, -1), lambda x: F.regexp_count(x, F.lit(LITE_WORDS))), lambda n: n > 0)
+        lengths = F.filter(F.transform(F.split(s, JAVA_DROP, -1), lambda x: F.regexp_count(x, F.lit(LITE_WORDS))), lambda n: n > 0)
         return e4(lite_signal(count_of(s, word_list(fixed.COMMON_WORDS)).cast("long"), moments(lengths), is_blank(s)))
 
-    pieces = F.filter(F.transform(F.split(trimmed(F.coalesce(text, F.lit(""))), KEEP_SPLIT, -1), trimmed), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split(trimmed(F.coalesce(text, F.lit(""))), JAVA_KEEP, -1), trimmed), lambda s: s != "")
     ranked = F.array_sort(F.transform(pieces, lambda s, i: F.struct((-read(s)).alias("order"), i.alias("pos"), s.alias("sentence"))))
     worst = F.slice(ranked, 1, F.greatest(F.lit(1), F.floor((F.size(ranked) + 2) / 3).cast("int")))
     at = F.lit(int(threshold * 10000 + 0.5))

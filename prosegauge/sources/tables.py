@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPACE, clamp01, is_blank, trimmed
+from ..functions.columns import JAVA_SPACE, clamp01, is_blank, more_words, trimmed
 
 # Sample passages of our own: five in a formulaic tone, then three labelled pairs.
 PASSAGES = [
@@ -127,12 +127,12 @@ def paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(rf"[^{SPACE}]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(JAVA_SPACE.replace("[", "[^", 1) + "+")), F.lit(0))
 
 
 def first_long_answers(rows: DataFrame, answers: str, key: str, n: int | None = None, least: int = 30) -> DataFrame:
     """Rows (key, text): the first answer of each row with more than `least` words, in order of key; n rows at most."""
-    long = F.filter(answers, lambda a: n_words(a) > least)
+    long = F.filter(answers, lambda a: more_words(a, least))
     out = rows.where(F.size(long) > 0).select(key, trimmed(F.element_at(long, 1)).alias("text"))
     return out.orderBy(key).limit(n) if n is not None else out
 
@@ -140,13 +140,13 @@ def first_long_answers(rows: DataFrame, answers: str, key: str, n: int | None =
 def generations(rows: DataFrame, key: str, n: int | None = None, least: int = 30) -> DataFrame:
     """rows (key, generation, text, model): machine generations with more than `least` words."""
     text = F.coalesce(F.when(F.col("generation") != "", F.col("generation")), F.col("text"))
-    out = rows.where((F.coalesce(F.col("model"), F.lit("human")) != "human") & (n_words(text) > least)).select(key, trimmed(text).alias("text"))
+    out = rows.where((F.coalesce(F.col("model"), F.lit("human")) != "human") & more_words(text, least)).select(key, trimmed(text).alias("text"))
     return out.orderBy(key).limit(n) if n is not None else out
 
 
 def machine_labelled(rows: DataFrame, key: str, n: int | None = None, least: int = 30) -> DataFrame:
     """rows (key, text, label): label 0 is machine text."""
-    out = rows.where((F.coalesce(F.col("label"), F.lit(1)) == 0) & (n_words(F.col("text")) > least)).select(key, trimmed(F.col("text")).alias("text"))
+    out = rows.where((F.coalesce(F.col("label"), F.lit(1)) == 0) & more_words(F.col("text"), least)).select(key, trimmed(F.col("text")).alias("text"))
     return out.orderBy(key).limit(n) if n is not None else out
 
 
@@ -163,7 +163,7 @@ def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 def labelled(rows: DataFrame) -> DataFrame:
     """Scores that are numbers, bound to 0..1, of texts of at least five words."""
     text = trimmed(F.coalesce(F.col("text"), F.lit("")))
-    return rows.select(text.alias("text"), clamp01(F.col("score").try_cast("double")).alias("label")).where("label is not null").where(n_words(F.col("text")) >= 5)
+    return rows.select(text.alias("text"), clamp01(F.col("score").try_cast("double")).alias("label")).where("label is not null").where(more_words(F.col("text"), 4))
 
 
 def balanced(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
