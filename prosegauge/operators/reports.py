@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, plain
 from ..functions.columns import e4, is_blank
-
-LITE_WORDS = r"[A-Za-z']+"
+from .arrow import by_row
 
 
 def flagged_rate(score: Column, threshold: float = fixed.THRESHOLD) -> Column:
@@ -67,10 +66,12 @@ def techniques(results: DataFrame, baseline: str, threshold: float = fixed.THRES
 
 def fluency_counts(text: Column) -> Column:
     """struct(words, bigrams, distinct): adjacent lower-case word pairs."""
-    w = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LITE_WORDS), F.lit(0)), F.lower)
-    n = F.size(w)
-    pairs = F.when(n > 1, F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.struct(n.alias("words"), F.size(pairs).alias("bigrams"), F.size(F.array_distinct(pairs)).alias("distinct"))
+
+    def one(t: str | None) -> tuple[int, int, int]:
+        w = plain.lite_tokens(t or "")
+        return len(w), max(0, len(w) - 1), len(set(zip(w, w[1:], strict=False)))
+
+    return by_row(one, "struct<words:int,bigrams:int,distinct:int>")(text)
 
 
 def fluency(counts: Column) -> Column:
