@@ -171,20 +171,26 @@ def low_burstiness_share(spark, sf_dir):
 _PAIRS = ", ".join(f"{{'k': '{c}', 'n': n_{c}}}" for c in fixed.EVERY_CATEGORY)
 
 
+def _by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, category, n). Of an explode Spark infers a filter by the map's size, for which it runs every pattern again; of
+    an outer one it does not."""
+    return marked(spark, sf_dir).select("doc_id", F.explode_outer("by_category").alias("category", "n")).where("category is not null")
+
+
 @query("marker_by_category", f"WITH {MARKED}, rows AS (SELECT doc_id, unnest([{_PAIRS}]) AS e FROM rated) SELECT doc_id, e.k AS category, e.n AS n FROM rows WHERE e.n > 0")
 def marker_by_category(spark, sf_dir):
-    return marked(spark, sf_dir).select("doc_id", F.explode("by_category").alias("category", "n")).withColumn("n", F.col("n").cast("long"))
+    return _by_category(spark, sf_dir).withColumn("n", F.col("n").cast("long"))
 
 
 @query("marker_totals_by_category", f"WITH {MARKED}, rows AS (SELECT unnest([{_PAIRS}]) AS e FROM rated) SELECT e.k AS category, sum(e.n)::BIGINT AS n, sum((e.n > 0)::BIGINT)::BIGINT AS n_docs FROM rows WHERE e.n > 0 GROUP BY e.k")
 def marker_totals_by_category(spark, sf_dir):
-    rows = marked(spark, sf_dir).select(F.explode("by_category").alias("category", "n"))
+    rows = _by_category(spark, sf_dir)
     return rows.groupBy("category").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
 
 
 @query("marker_matches", f"WITH {SEEDED}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(re2(fixed.CATEGORIES['ai_vocab']))}, 1)) AS word FROM seeded) SELECT doc_id, lower(word) AS word, count(*) AS n FROM m GROUP BY ALL")
 def marker_matches(spark, sf_dir):
-    rows = markers.matches(documents(spark, sf_dir)).select("doc_id", F.explode(F.col("matches")["ai_vocab"]).alias("word"))
+    rows = markers.matches(documents(spark, sf_dir), categories=["ai_vocab"]).select("doc_id", F.explode_outer(F.col("matches")["ai_vocab"]).alias("word")).where("word is not null")  # outer: see _by_category
     return rows.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 

@@ -10,9 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from prosegauge.functions import fixed, plain
+from prosegauge.functions import columns, fixed, plain
 from prosegauge.functions.columns import clamp01, e4
-from prosegauge.operators import arrow, hidden, locks, markers, rewriting, scoring, similarity
+from prosegauge.operators import arrow, hidden, locks, markers, reports, rewriting, scoring, similarity
 
 TEXTS = ["One. Two! Three? Done.", "", "   ", "no end", "A. b. C", "It works... truly! Yes?\nNew line. “q” é.", "a b. c", "..."]
 
@@ -233,3 +233,67 @@ def test_round_of_the_loop_is_one_arrow_call(spark):
     same = rewriting.closed_loop(docs).orderBy("doc_id").collect()
     other = rewriting.closed_loop(docs, rewriter=rewriting.Rewriter("surgical", rewriting.SURGICAL.rewrite, deterministic=True), score=lambda c: rewriting.reading(c)).orderBy("doc_id").collect()
     assert same == other
+
+
+@pytest.mark.parametrize("name", list(markers.PATTERNS))
+def test_gate_opens_for_every_match(name):
+    """Whatever a category's pattern matches holds one of its keys, in any case and with the letters that re.I takes for ASCII."""
+    pattern = re.compile(fixed.CATEGORIES[name].replace(fixed.OPENER, "").replace(".*[", "[^\n]*["), re.I | re.M)
+    bit = 1 << list(markers.PATTERNS).index(name)
+    swaps = str.maketrans("sSkKiI", "ſſKKıİ")
+
+    @settings(max_examples=80, deadline=None, database=None, derandomize=True)
+    @given(st.from_regex(pattern))
+    def holds(t):
+        assert markers.gates(t) & bit and markers.gates(t.upper()) & bit and markers.gates(t.translate(swaps)) & bit
+
+    holds()
+    assert markers.gates("Plain words only; 3 of them.") == 0
+
+
+def test_markers_run_only_the_patterns_that_may_match(spark):
+    """Survey, gates and exact patterns give what each pattern gives over the whole text; sizes and dashes come from the survey."""
+    values = [*TEXTS, None, "Fast. Simple. Bold. Done. It is a long one here. A. B. C - D - 3 - 4 — e; f; g.", "VITAL ſeamleſſ pıvotal. Certainly! It's not a b, it's c.\n# x ✅\nThus, from ancient x to the y."]
+    docs = texts(spark, values)
+    out = markers.counts(docs)
+    assert "CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString() and "survey_" not in out.columns
+    whole = docs.select("doc_id", *[F.coalesce(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(p)), F.lit(0)).alias(f"n_{c}") for c, p in markers.PATTERNS.items()])
+    names = whole.columns
+    assert sorted(out.select(names).collect()) == sorted(whole.collect())
+    sizes = docs.select("doc_id", markers.rule_of_three(columns.sentence_sizes(F.col("text"), columns.WORDS)).alias("n_rule_of_three"), columns.count_of(F.col("text"), columns.WORDS).alias("words"), (columns.count_of(F.col("text"), "—") + columns.count_of(F.col("text"), markers.SPACED_HYPHEN)).alias("n_em_dash"))
+    assert sorted(out.select(sizes.columns).collect()) == sorted(sizes.collect())
+
+
+def test_white_space_without_patterns(spark):
+    """Trimming and the word bound read what the patterns read, and neither tries a pattern at every place."""
+    space = f"[{columns.SPACE}]"
+    values = ["", " ", "a b c d e", "\x1c a b\x85c　d  ", "one two three four five six", "​ x ​", "a b c d", "\n\t"]
+    docs = texts(spark, values)
+    t = F.col("text")
+    old = docs.select("doc_id", F.regexp_replace(t, rf"^{space}+|{space}+\z", "").alias("trimmed"), (F.regexp_count(t, F.lit(rf"[^{columns.SPACE}]+")) > 4).alias("more"), (~t.rlike(rf"[^{columns.SPACE}]")).alias("blank"))
+    new = docs.select("doc_id", columns.trimmed(t).alias("trimmed"), columns.more_words(t, 4).alias("more"), columns.is_blank(t).alias("blank"))
+    assert sorted(new.collect()) == sorted(old.collect()) and "regexp_replace" not in new._jdf.queryExecution().optimizedPlan().toString()
+    assert texts(spark, ["x" * 200000]).select(columns.more_words(t, 4)).first()[0] is False
+
+
+def test_sentences_and_pairs_are_read_once(spark):
+    """Sentence readings and word pairs come from one Arrow call, not from arrays that Spark works out at each mention."""
+    values = ["The cat sat. the cat sat! It's ok? Naïve the cat.", None, "", "a b a b a"]
+    docs = texts(spark, values)
+    for df in (scoring.sentence_flags(docs), docs.select(reports.fluency_counts(F.col("text")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+    for r in docs.select("text", reports.fluency_counts(F.col("text")).alias("f")).collect():
+        w = [x.lower() for x in plain.LITE.findall(r.text or "")]
+        assert tuple(r.f) == (len(w), max(0, len(w) - 1), len(set(zip(w, w[1:], strict=False))))
+
+
+def test_exploded_markers_run_each_pattern_once(spark, tiny):
+    """No filter on the size of a map of counts, which would run every pattern a second time."""
+    from prosegauge.plans.queries_text import QUERIES
+
+    pattern = markers.PATTERNS["inflated_copula"]
+    for name in ("marker_by_category", "marker_totals_by_category"):
+        assert QUERIES[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString().count(pattern) == 1
+    plan = QUERIES["marker_matches"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert pattern not in plan and plan.count(markers.PATTERNS["ai_vocab"]) == 1
