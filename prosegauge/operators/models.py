@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp01, is_blank, round4, sentences_keep
-from .arrow import pieces
+from .arrow import pieces as in_pieces
 from .scoring import lite_counts, lite_signal, perplexity_score
 
 ERROR_CHARS = 140
@@ -78,7 +78,7 @@ def with_model_readings(df: DataFrame, scorers: list[ModelScorer], text: str, na
     arrow = pa.list_(pa.struct([("detector", pa.string()), ("tier", pa.string()), ("score", pa.float64()), ("error", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in in_pieces(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             rows: list[list] = [[] for _ in texts]
             for detector, tier, load, score, token in parts:
@@ -120,7 +120,7 @@ def perplexities(df: DataFrame, model: TokenModel, text: str = "text", name: str
         return SHORT_PERPLEXITY if len(logs) < 2 else math.exp(min(700.0, -sum(logs) / len(logs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in in_pieces(batches):
             loaded, error = model_of(token, load)
             out = []
             for pieces in batch.column(at).to_pylist():
